@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup
+from quern.llm import exact_dedup, license_scan
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 ORACLES = {
+    "op1_license_scan": license_scan.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
