@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, license_scan
+from quern.llm import exact_dedup, license_scan, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_sharding": sharding.op8_sharding,
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
