@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_dedup, license_scan, packing, sharding
+from quern.llm import decontaminate, exact_dedup, license_scan, packing, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op5_packing": packing.op5_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
