@@ -144,21 +144,23 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     h, count = words.hash, words.per_doc
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(h), np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(h))):
             rolled[: len(h) - k] = mix(rolled[: len(h) - k] * np.uint64(0xD6E8FEB86659FD93) + h[k:])
         at = np.arange(len(h)) - np.repeat(words.bounds[:-1], count)
         whole = at <= np.repeat(count, count) - n
         short = np.flatnonzero((count > 0) & (count < n))
         values, doc = rolled[whole], words.doc[whole]
+        own = np.zeros(len(short), np.uint64)
+        for k in range(n - 1):
+            has = count[short] > k
+            own[has] = mix(own[has] * np.uint64(0xD6E8FEB86659FD93) + h[words.bounds[:-1][short[has]] + k])
+        values, doc = np.concatenate([values, own]), np.concatenate([doc, short])
         if len(short):
-            own = np.zeros(len(short), np.uint64)
-            for k in range(n - 1):
-                has = count[short] > k
-                own[has] = mix(own[has] * np.uint64(0xD6E8FEB86659FD93) + h[words.bounds[:-1][short[has]] + k])
-            values, doc = np.concatenate([values, own]), np.concatenate([doc, short])
-    order = np.lexsort((values, doc))
-    values, doc = values[order], doc[order]
+            order = np.argsort(doc, kind="stable")
+            values, doc = values[order], doc[order]
+    bounds = np.searchsorted(doc, np.arange(len(count) + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
-    values, doc = values[keep], doc[keep]
-    return values, np.searchsorted(doc, np.arange(len(count) + 1))
+    return values[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
