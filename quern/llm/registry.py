@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, license_scan, packing, sharding
+from quern.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,8 +10,10 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }
