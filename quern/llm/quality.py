@@ -1,7 +1,9 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A text is counted in hashed features: pairs of bytes (upper and lower case differ) and words.  Logarithms of the counts,
-weighted by inverse document frequency and scaled to length one, are projected on the leading singular vectors.  The bank is
+A text is counted in hashed features, pairs of bytes (upper and lower case differ) and words, and in shares that tell its shape
+(repeated neighbours, distinct words, capitals, signs, digits, single signs, word length), each spread over KNOTS features.
+Logarithms of the counts, weighted by inverse document frequency, and the shares are each scaled to length one and together
+projected on the leading singular vectors.  The bank is
 a sample of labelled rows, at most PER_CLASS of each label, those with the smallest hashes of their ids; its vectors and
 labels are broadcast (PER_CLASS * 2 * RANK numbers at most).  Every text meets the whole bank in blocked matrix products; its
 NEIGHBOURS nearest vote with the power SHARPNESS of their cosine.
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Words, chunks, crc_mod, mix, stored, table, utf8
 
-HALF = 1024
+HALF, KNOTS, SHARES = 1024, 9, 8
+WIDTH = 2 * HALF + KNOTS * SHARES
 RANK, PER_CLASS, NEIGHBOURS, SHARPNESS, THRESHOLD = 64, 2048, 32, 8, 0.7
 
 
@@ -50,7 +53,43 @@ def features(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             np.bincount(doc[:-1][within] * HALF + pair, minlength=n * HALF).reshape(n, HALF),
             np.bincount(words.doc * HALF + (words.hash >> np.uint64(54)).astype(np.int64), minlength=n * HALF).reshape(n, HALF),
         ], axis=1)
-        yield a, b, np.log1p(counts).astype(np.float32)
+        yield a, b, np.concatenate([np.log1p(counts), _shape(own, at, words, (counts[:, HALF:] > 0).sum(axis=1))], axis=1).astype(np.float32)
+
+
+_UPPER, _LETTER, _DIGIT, _SIGN = (np.zeros(256, bool) for _ in range(4))
+_UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = _DIGIT[48:58] = True
+_SIGN[33:127] = ~(_LETTER | _DIGIT)[33:127]
+
+
+def _shape(data: np.ndarray, at: np.ndarray, words: Words, buckets: np.ndarray) -> np.ndarray:
+    """Each share as weights of the two knots next to it."""
+    n = len(at) - 1
+
+    def per_row(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(mask)])[bounds])
+
+    size, count = np.maximum(np.diff(at), 1), np.maximum(words.per_doc, 1)
+    again = np.zeros(len(words.hash), bool)
+    again[1:] = (words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])
+    length = words.end - words.start
+    shares = np.stack([
+        per_row(again, words.bounds) / count,
+        buckets / np.minimum(count, HALF),
+        per_row(_UPPER[data], at) / np.maximum(per_row(_LETTER[data], at), 1),
+        4 * per_row(_SIGN[data], at) / size,
+        4 * per_row(_DIGIT[data], at) / size,
+        per_row((length == 1) & _SIGN[data[words.start]], words.bounds) / count,
+        per_row(length, words.bounds) / count / 16,
+        per_row(_SIGN[data[words.end - 1]], words.bounds) / count,
+    ], axis=1)
+    place = np.clip(shares, 0, 1) * (KNOTS - 1)
+    low = np.minimum(place.astype(np.int64), KNOTS - 2)
+    out = np.zeros((n, SHARES, KNOTS))
+    rows, cols = np.indices(low.shape)
+    out[rows, cols, low] = 1 - (place - low)
+    out[rows, cols, low + 1] = place - low
+    out[words.per_doc == 0] = 0
+    return out.reshape(n, SHARES * KNOTS)
 
 
 @dataclass
@@ -60,8 +99,15 @@ class Bank:
     vectors: np.ndarray
     labels: np.ndarray
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        x = x * self.idf
+        for part in (slice(0, HALF), slice(HALF, 2 * HALF), slice(2 * HALF, None)):
+            size = np.linalg.norm(x[:, part], axis=1, keepdims=True)
+            x[:, part] /= np.where(size > 0, size, 1)
+        return x
+
     def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.idf) @ self.axes
+        z = self.scaled(x) @ self.axes
         size = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(size > 0, size, 1)
 
@@ -108,12 +154,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(count, f"_id {kind}, _label int, _x binary").groupBy("_id", "_label").agg(F.min("_x").alias("_x")).orderBy("_id").collect()
     y = np.array([r["_label"] for r in got], np.float64)
     if not len(got):
-        return Bank(np.ones(2 * HALF, np.float32), np.zeros((2 * HALF, 1), np.float32), np.zeros((0, 1), np.float32), y)
-    x = np.frombuffer(b"".join(bytes(r["_x"]) for r in got), np.float16).reshape(len(got), 2 * HALF).astype(np.float32)
+        return Bank(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
+    x = np.frombuffer(b"".join(bytes(r["_x"]) for r in got), np.float16).reshape(len(got), WIDTH).astype(np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    weighted = x * idf
-    size = np.linalg.norm(weighted, axis=1, keepdims=True)
-    bank = Bank(idf, _axes(weighted / np.where(size > 0, size, 1), rank), np.zeros((0, rank), np.float32), y)
+    idf[2 * HALF :] = 1
+    bank = Bank(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
+    bank.axes = _axes(bank.scaled(x), rank)
     bank.vectors = bank.project(x)
     return bank
 

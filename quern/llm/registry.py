@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, sharding
+from quern.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
