@@ -7,10 +7,10 @@ Keys: two collections of TABLES small hashes, each of WIDTH minhashes.  Every pa
 the second is a table, so TABLES^2 tables of 2 * WIDTH minhashes each come from 2 * TABLES * WIDTH minhashes computed: at a
 similarity of 0.8 two sets share no table with probability 1 - (1 - (1 - 0.8^WIDTH)^TABLES)^2.
 
-Buckets: those with two members give their pair.  Larger ones give a star from their smallest member; after those links are
-verified and joined into components, only buckets whose members are still in different components go on.  They give first
-the most promising pairs between components, then, after those are joined too, all that are left.  So a large group of near
-copies costs about as many pairs as it has members, and no link between components is lost: nothing is capped.
+Buckets: those with two members give their pair.  Larger ones give a star from the member that meets most others.  After those
+links are verified and joined into components, only buckets whose members are still in different components go on: their
+members are compared in blocks, see _crossing.  So a large group of near copies costs about as many pairs as it has members,
+and no link between components is lost: nothing is capped.
 
 Verification is exact: a sketch of one byte of each minhash sets aside pairs with fewer than SKETCH_LEAST equal ones (at 0.8
 that is one true pair in a million) and sizes that rule out the similarity, then the full sets are compared.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import mix, scan_words, shingles, stored, table
@@ -112,12 +112,16 @@ def promising(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     return both.select("_l", "_r", "_ls", "_rs").mapInArrow(alike, "_l long, _r long")
 
 
+def _fetched(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """_id, _values of those ids; of texts that share an id the one whose set's bytes come first."""
+    ids = stored(ids, "ids")
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
+    return stored(_sets(wanted, words).groupBy("_id").agg(F.min("_values").alias("_values")), "sets")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
     """Those pairs whose full sets have the similarity."""
-    ids = stored(pairs.select(F.col("_l").alias("_id")).union(pairs.select("_r")).distinct(), "ids")
-    n = ids.count()
-    wanted = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "_id", "left_semi")
-    sets = stored(_sets(wanted, words), "sets")
+    sets = _fetched(pairs.select(F.col("_l").alias("_id")).union(pairs.select("_r")).distinct(), docs, words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,69 +162,103 @@ def _labelled(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
 
 
-def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, similarity: int, most: int | None) -> DataFrame | None:
-    """Pairs (_l, _r) of a bucket's members in different components, that sizes and sketches allow; with most, only so many of
-    the best for each member in a piece.  None if all buckets are in one component each."""
+def _pieces(rows: pa.Table) -> Iterator[pa.Table]:
+    """The runs of equal first columns."""
+    edges = np.flatnonzero(np.diff(rows.column(0).to_numpy())) + 1
+    for s, e in zip([0, *edges], [*edges, rows.num_rows], strict=True):
+        if e > s:
+            yield rows.slice(s, e - s)
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole pieces from batches sorted by piece."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        for run in _pieces(pa.Table.from_batches([batch])):
+            if held and held[-1].column(0)[0] != run.column(0)[0]:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(run)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame | None:
+    """Links (_l, _r) between members of a bucket that are in different components; None if each bucket is in one.
+
+    Buckets that share members form a family, so that a pair that meets in many tables is compared once.  A family is cut into
+    blocks of its main component and of the others; each block of others meets each block in one piece.  A piece compares whole
+    sets and gives at most one link for each component that it joins: pairs are never rows.
+    """
     known = _labelled(members, labels)
-    state = known.groupBy("_key").agg(F.min("_label").alias("_least"), F.max("_label").alias("_last"), F.count(F.lit(1)).alias("_size"), F.min(F.struct("_id", "_label")).alias("_first"))
-    state = stored(state.where("_least != _last").select("_key", F.col("_first._label").alias("_main")), "open")
+    state = known.groupBy("_key").agg(F.min("_label").alias("_least"), F.max("_label").alias("_last"), F.min("_id").alias("_first"))
+    state = stored(state.where("_least != _last").select("_key", "_first"), "open")
     if not state.limit(1).count():
         return None
-    rows = known.join(state, "_key").join(reps.select("_id", "_n", "_sketch"), "_id").withColumn("_other", F.col("_label") != F.col("_main"))
-    rows = stored(rows, "rows")
-    size = rows.groupBy("_key").agg(F.ceil(F.sum(F.col("_other").cast("int")) / BLOCK).alias("_no"), F.ceil(F.sum((~F.col("_other")).cast("int")) / BLOCK).alias("_nm"))
-    rows = rows.join(size, "_key").withColumn("_at", F.expr("cast(pmod(xxhash64(_id), if(_other, _no, _nm)) as int)"))
-    # pieces: blocks of others with one another, and each with each block of the main component; main with main is linked
-    spread = F.expr("""if(_other, concat(transform(sequence(0, cast(_no - 1 as int)), x -> named_struct('p', least(x, _at), 'q', greatest(x, _at), 'm', false)),
-                                     if(_nm > 0, transform(sequence(0, cast(greatest(_nm, 1) - 1 as int)), x -> named_struct('p', _at, 'q', x, 'm', true)), array())),
-                              transform(sequence(0, cast(_no - 1 as int)), x -> named_struct('p', x, 'q', _at, 'm', true)))""")
-    pieces = rows.withColumn("_piece", F.explode(spread)).withColumn("_piece", F.xxhash64("_key", "_piece.p", "_piece.q", "_piece.m"))
-    pieces = pieces.select("_piece", "_id", "_label", "_n", "_other", "_sketch").repartition("_piece").sortWithinPartitions("_piece", "_id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        held: pa.Table | None = None
-
-        def work(rows: pa.Table) -> list[tuple[int, int]]:
-            ids, label, n, other = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+    rows = stored(known.join(state, "_key").select("_first", "_id", "_label"), "rows")
+    families = components(rows.select(F.col("_first").alias("_l"), F.col("_id").alias("_r"))).withColumnRenamed("_label", "_family")
+    own = stored(rows.select("_id", "_label").distinct().join(families, "_id", "left").withColumn("_family", F.coalesce("_family", "_id")), "family")
+    main = own.groupBy("_family", "_label").count().groupBy("_family").agg(F.max(F.struct("count", "_label")).alias("_m")).select("_family", F.col("_m._label").alias("_main"))
+    own = own.join(main, "_family").withColumn("_other", F.col("_label") != F.col("_main"))
+    size = own.groupBy("_family").agg(F.ceil(F.sum(F.col("_other").cast("int")) / BLOCK).cast("int").alias("_no"), F.ceil(F.sum((~F.col("_other")).cast("int")) / BLOCK).cast("int").alias("_nm"))
+    own = own.join(size, "_family").withColumn("_at", F.expr("cast(pmod(xxhash64(_id), if(_other, _no, _nm)) as int)"))
+    spread = F.expr("""if(_other, concat(transform(sequence(0, _no - 1), x -> named_struct('p', least(x, _at), 'q', greatest(x, _at), 'm', false)),
+                                         transform(sequence(0, _nm - 1), x -> named_struct('p', _at, 'q', x, 'm', true))),
+                              transform(sequence(0, _no - 1), x -> named_struct('p', x, 'q', _at, 'm', true)))""")
+    pieces = own.where("_no > 0").withColumn("_piece", F.explode(spread)).withColumn("_piece", F.xxhash64("_family", "_piece.p", "_piece.q", "_piece.m"))
+    pieces = pieces.select("_piece", "_id", "_label", "_other").join(reps.select("_id", "_n", "_sketch"), "_id")
+    pieces = pieces.select("_piece", "_id", "_label", "_other", "_n", "_sketch").repartition("_piece").sortWithinPartitions("_piece", "_id")
+
+    def promising_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_piece(batches):
+            label, other, n = (rows.column(i).to_numpy() for i in (2, 3, 4))
             sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
-            out = []
+            keep = np.zeros(len(label), bool)
             for i in np.flatnonzero(other):
                 ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
                 js = np.flatnonzero(ok)
-                if len(js):
-                    alike = (sketch[js] == sketch[i]).sum(axis=1)
-                    js, alike = js[alike >= SKETCH_LEAST], alike[alike >= SKETCH_LEAST]
-                    if most is not None and len(js) > most:
-                        js = js[np.argsort(-alike, kind="stable")[:most]]
-                    for j in js:
-                        pair = (min(ids[i], ids[j]), max(ids[i], ids[j]))
-                        if pair not in seen:
-                            seen.add(pair)
-                            out.append(pair)
-            if len(seen) > 1_000_000:  # only saves repeats, which distinct removes anyway
-                seen.clear()
-            return out
-
-        def send(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["_l", "_r"])
+                js = js[(sketch[js] == sketch[i]).sum(axis=1) >= SKETCH_LEAST]
+                keep[js] = True
+                keep[i] |= len(js) > 0
+            if keep.any():
+                yield from rows.select(["_piece", "_id", "_label", "_other"]).filter(pa.array(keep)).to_batches()
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows.cast(held.schema)]) if held is not None else rows
-            piece = rows.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(piece)) + 1
-            last = edges[-1] if len(edges) else 0
-            out = []
-            for a, b in zip([0, *edges[:-1]], edges, strict=False):
-                out += work(rows.slice(a, b - a))
-            held = rows.slice(last)
-            if out:
-                yield send(out)
-        if held is not None and held.num_rows:
-            yield send(work(held))
-
-    return pieces.mapInArrow(compare, "_l long, _r long").distinct()
+    hopeful = stored(pieces.mapInArrow(promising_members, "_piece long, _id long, _label long, _other boolean"), "hopeful")
+    sets = _fetched(hopeful.select("_id").distinct(), docs, words)
+    whole = hopeful.join(sets, "_id").select("_piece", "_id", "_label", "_other", "_values").repartition("_piece").sortWithinPartitions("_piece", "_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_piece(batches):
+            ids, label, other = (rows.column(i).to_numpy() for i in (1, 2, 3))
+            values = [np.frombuffer(x, np.uint64) for x in rows.column(4).to_pylist()]
+            n = np.array([len(x) for x in values])
+            _, index = np.unique(np.concatenate(values), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(n)])
+            mark = np.zeros(index.max() + 1, bool)
+            joined = {int(x): int(x) for x in label}
+
+            def root(x: int, joined=joined) -> int:
+                while joined[x] != x:
+                    joined[x] = joined[joined[x]]
+                    x = joined[x]
+                return x
+
+            left, right = [], []
+            for i in np.flatnonzero(other):
+                mine = index[starts[i] : starts[i + 1]]
+                mark[mine] = True
+                same = np.add.reduceat(mark[index].astype(np.int32), starts[:-1])
+                mark[mine] = False
+                for j in np.flatnonzero((label != label[i]) & (100 * same >= similarity * (n + n[i] - same))):
+                    a, b = root(int(label[i])), root(int(label[j]))
+                    if a != b:
+                        joined[max(a, b)] = min(a, b)
+                        left.append(int(ids[i]))
+                        right.append(int(ids[j]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["_l", "_r"])
+
+    return whole.mapInArrow(compare, "_l long, _r long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,20 +273,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
 
     keys = reps.select("_id", F.explode(F.expr(f"flatten(transform(sequence(0, {TABLES - 1}), i -> transform(sequence(0, {TABLES - 1}), j -> xxhash64(_a[i], _b[j], i * {TABLES} + j))))")).alias("_key"))
     buckets = stored(keys.groupBy("_key").agg(F.min("_id").alias("_l"), F.max("_id").alias("_r"), F.count(F.lit(1)).alias("_k")).where("_k > 1"), "buckets")
-    members = stored(keys.join(buckets.where("_k > 2").select("_key", "_l"), "_key"), "members")
-    pairs = buckets.where("_k = 2").select("_l", "_r").union(members.where("_l != _id").select("_l", F.col("_id").alias("_r"))).where("_l != _r").distinct()
+    members = stored(keys.join(buckets.where("_k > 2").select("_key", "_k"), "_key"), "members")
+    # the centre of a star: the member that meets most others, in all tables together
+    degree = members.groupBy("_id").agg(F.sum("_k").alias("_d"))
+    centres = members.join(degree, "_id").groupBy("_key").agg(F.max(F.struct("_d", (-F.col("_id")).alias("_i"))).alias("_c")).select("_key", (-F.col("_c._i")).alias("_c"))
+    stars = members.join(centres, "_key").select(F.least("_c", "_id").alias("_l"), F.greatest("_c", "_id").alias("_r"))
     members = members.select("_key", "_id")
+    pairs = buckets.where("_k = 2").select("_l", "_r").union(stars).where("_l != _r").distinct()
 
-    pairs = stored(promising(pairs, reps.dropDuplicates(["_id"]), similarity), "pairs")
+    nodes = reps.dropDuplicates(["_id"]) if shared.limit(1).count() else reps
+    pairs = stored(promising(pairs, nodes, similarity), "pairs")
     edges = stored(verify(pairs, docs, words, similarity).union(shared.distinct()), "links")
     labels = components(edges)
-    for most in (2, None):
-        more = _crossing(members, labels, reps.dropDuplicates(["_id"]), similarity, most)
-        if more is None:
-            break
-        pairs = stored(more, "pairs")
-        edges = stored(verify(pairs, docs, words, similarity).union(labels.select(F.col("_label").alias("_l"), F.col("_id").alias("_r"))), "links")
-        labels = components(edges)
+    more = _crossing(members, labels, nodes, docs, words, similarity)
+    if more is not None:
+        labels = components(more.union(labels.select(F.col("_label").alias("_l"), F.col("_id").alias("_r"))))
 
     labels = stored(labels, "labels")
     named = stored(_labelled(classes.withColumnRenamed("_rep", "_id"), labels).select(*SET, "_label"), "named")
