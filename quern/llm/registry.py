@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, license_scan, lm_score, near_dedup, packing, quality, sharding
+from quern.llm import decontaminate, exact_dedup, license_scan, lm_score, near_dedup, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_pii": pii.op3_pii,
     "op4_lm_score": lm_score.op4_lm_score,
     "op5_packing": packing.op5_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
