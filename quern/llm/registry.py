@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, exact_dedup, license_scan, lm_score, near_dedup, packing, pii, quality, sharding
+from quern.llm import decontaminate, exact_dedup, html_extract, license_scan, lm_score, near_dedup, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_lm_score": lm_score.op4_lm_score,
     "op5_packing": packing.op5_packing,
+    "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_near_dedup": near_dedup.op9_near_dedup,
