@@ -5,7 +5,8 @@ fewer groups are cut over shards, the better.  Rows of a group are alike, so the
 each (group, shard) with a count: a group that holds a third of all rows has 16 such rows, not a third of all.
 
 1. Rows of groups of two or more are dealt round the shards, so that the start is even but cuts every group.
-2. Rounds: each (group, shard) wants to join the shard where most neighbours of its group are.  Quotas between each two
+2. Rounds: each (group, shard) wants to join the shard where most neighbours of its group are (one of the first few, for a
+   group larger than a shard).  Quotas between each two
    shards are the smaller of both demands (an exchange) and then the free room of the target.  Movers are taken in the order
    of a hash of their group, by prefix sums over hash buckets, and the one at the quota's end moves in part.
 3. Rows without neighbours fill what room is left, so that counts end exactly even.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import prefix_offsets, stored, table
 
-SHARDS, PARTS, ROUNDS = 16, 256, 4
+SHARDS, PARTS, ROUNDS = 16, 256, 8
 GROUP = ["_digest", "_bytes"]
 
 
@@ -42,11 +43,16 @@ def _quotas(demand: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
     return {k: v for k, v in allowed.items() if v > 0}
 
 
-def _round(cells: DataFrame, capacity: list[int]) -> tuple[DataFrame, int]:
+def _round(cells: DataFrame, capacity: list[int], number: int) -> tuple[DataFrame, int]:
     """Cells (group, _shard, _n) after one round, and the rows that moved."""
     spark = cells.sparkSession
-    best = F.max(F.struct("_n", F.xxhash64(*GROUP, "_shard").alias("h"), F.col("_shard").alias("s"))).over(Window.partitionBy(*GROUP))
-    wish = cells.withColumn("_to", best["s"]).withColumn("_part", F.pmod(F.xxhash64(*GROUP, F.lit(7)), F.lit(PARTS)).cast("int"))
+    group = Window.partitionBy(*GROUP)
+    order = F.row_number().over(group.orderBy(F.desc("_n"), F.xxhash64(*GROUP, "_shard"))) - 1
+    wish = cells.withColumns({"_order": order, "_most": F.ceil(F.sum("_n").over(group) * (1 + number / 4) / max(1, max(capacity))).cast("int")})
+    # a group larger than a shard gathers in as many shards as it fills, in later rounds in more, as others hold room there
+    heads = F.collect_list("_shard").over(group.orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wish = wish.withColumn("_to", F.element_at(heads, (F.col("_order") % F.col("_most") + 1).cast("int"))).drop("_order", "_most")
+    wish = wish.withColumn("_part", F.pmod(F.xxhash64(*GROUP, F.lit(7)), F.lit(PARTS)).cast("int"))
     wish = stored(wish, "wishes")
     load, demand = [0] * len(capacity), {}
     for r in wish.groupBy("_shard", "_to").agg(F.sum("_n").alias("n")).collect():  # shards x shards rows at most
@@ -88,8 +94,8 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     cells = several.select(*GROUP, F.explode(at).alias("c")).where("c.n > 0").select(*GROUP, F.col("c.s").cast("int").alias("_shard"), F.col("c.n").alias("_n"))
     if total[1]:
         cells = stored(cells, "cells")
-        for _ in range(ROUNDS):
-            cells, moved = _round(cells, capacity)
+        for number in range(ROUNDS):
+            cells, moved = _round(cells, capacity, number)
             if not moved:
                 break
 
