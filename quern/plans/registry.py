@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quern.plans import corpus, matching, records, texts
+from quern.plans.texts import flagship
 
-from pyspark.sql import DataFrame, SparkSession
+QUERIES = {name: f for part in (texts, matching, records, corpus) for name, (f, _) in part.QUERIES.items()}
+ORACLES = {name: sql for part in (texts, matching, records, corpus) for name, (_, sql) in part.QUERIES.items() if sql}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
