@@ -32,7 +32,7 @@ def clamped_confidence(value: Column) -> Column:
     """A number between 0 and 1, or the number of a label, else a half."""
     table = F.create_map(*(F.lit(x) for pair in LABEL_CONFIDENCE.items() for x in pair))
     number = value.try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.try_element_at(table, F.lower(value)), F.lit(0.5))
+    return F.coalesce(F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))), F.try_element_at(table, F.lower(value)), F.lit(0.5))
 
 
 def canonical_field(name: Column) -> Column:
@@ -65,7 +65,8 @@ def estimated_cost(tokens_in: Column, tokens_out: Column, rate_in: float, rate_o
 
 def time_score(left: Column, right: Column, most_days: int = 3) -> Column:
     """1 at the same time, falling to 0 at most_days; a quarter if either is unknown."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - days_apart(left, right) / most_days), F.lit(0.25))
+    days = days_apart(left, right)
+    return F.when(days.isNull(), 0.25).otherwise(F.greatest(F.lit(0.0), 1 - days / most_days))
 
 
 def days_apart(left: Column, right: Column) -> Column:

@@ -6,8 +6,10 @@ A pair is worth a decision if its total reaches 0.45.  Without a shared place or
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.rules import adjudicated, days_apart, time_score, total_score
@@ -79,9 +81,8 @@ def components(edges: DataFrame, left: str = "l_id", right: str = "r_id") -> Dat
     """node, component (its smallest member) for every node with an edge: smallest-neighbour links with shortcuts.
 
     Each round writes its links to the shared checkpoint folder, so that lineage stays short and survives lost executors."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        _checkpoint_dir(spark)
+    _checkpoint_dir(edges.sparkSession)
+    edges = edges.select(left, right).distinct().checkpoint()
     up = edges.where(f"{left} <> {right}").select(F.greatest(left, right).alias("node"), F.least(left, right).alias("up")).distinct()
     nodes = edges.select(F.col(left).alias("node")).union(edges.select(right)).distinct()
     while True:
@@ -96,12 +97,14 @@ def components(edges: DataFrame, left: str = "l_id", right: str = "r_id") -> Dat
         up = step.select("node", "up").distinct()
 
 
-def _checkpoint_dir(spark) -> None:
-    import tempfile
-
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+def _checkpoint_dir(spark: SparkSession) -> None:
+    """The folder that the cluster names; a temporary one on a single machine without a setting."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
 
 
 def constrained_clusters(decisions: DataFrame) -> DataFrame:
