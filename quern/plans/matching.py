@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import content_hash, lexical_features
 from quern.operators import matching as M
-from quern.operators import metrics
+from quern.operators import metrics, titles
 from quern.plans.tables import DECIDED, MENTIONS, load, mentions
 
 
@@ -46,6 +46,19 @@ def q_time_window_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return left.join(right, ["o_custkey", "w"]).where("l_id < r_id AND abs(datediff(ld, rd)) <= 4").select("o_custkey", "l_id", "r_id", F.expr("cast(abs(datediff(ld, rd)) AS int)").alias("days"))
 
 
+def q_title_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a language that plausibly tell the same, by shared title terms and days apart."""
+    m = mentions(spark, sf)
+    reports = m.select(F.col("mention_id").alias("report_id"), F.col("country").alias("grp"), F.col("source_id").alias("domain"), "title", F.col("event_time").alias("published"), "terms")
+    return titles.plausible_pairs(titles.title_pairs(reports, 3)).select("l_id", "r_id", "grp", F.size("shared").alias("n_shared"), F.round("jaccard", 8).alias("similarity"))
+
+
+def q_best_title_pair(spark: SparkSession, sf: str) -> DataFrame:
+    m = mentions(spark, sf)
+    reports = m.select(F.col("mention_id").alias("report_id"), F.col("country").alias("grp"), F.col("source_id").alias("domain"), "title", F.col("event_time").alias("published"), "terms")
+    return titles.best_pair(titles.weighted_pairs(titles.title_pairs(reports))).select("grp", "l_id", "r_id", F.round("score", 8).alias("score"))
+
+
 def q_components(spark: SparkSession, sf: str) -> DataFrame:
     return M.components(_decisions(spark, sf).where("decision = 'same_incident'"))
 
@@ -89,6 +102,8 @@ QUERIES = {
     "override_precedence": (q_override_precedence, f"WITH {DECIDED} SELECT decision, count(*) AS pairs, count(*) FILTER (confidence = 1) AS certain FROM dec GROUP BY ALL"),
     "adjudicate": (q_adjudicate, f"WITH {DECIDED} SELECT l_id, r_id, decision, round(confidence, 6) AS confidence FROM dec"),
     "time_window_pairs": (q_time_window_pairs, "SELECT a.o_custkey, a.o_orderkey AS l_id, b.o_orderkey AS r_id, abs(datediff('day', a.o_orderdate, b.o_orderdate))::INT AS days FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE abs(datediff('day', a.o_orderdate, b.o_orderdate)) <= 4"),
+    "title_pairs": (q_title_pairs, f"WITH {MENTIONS} SELECT l_id, r_id, lc AS grp, ti::INT AS n_shared, round(lexical_score, 8) AS similarity FROM scored WHERE ti >= 3 AND lexical_score >= 0.24 AND abs(epoch_us(lt) - epoch_us(rt)) <= 4 * 86400000000"),
+    "best_title_pair": (q_best_title_pair, None),
     "components": (q_components, f"""WITH RECURSIVE {DECIDED}, e AS (SELECT l_id AS a, r_id AS b FROM dec WHERE decision = 'same_incident' UNION SELECT r_id, l_id FROM dec WHERE decision = 'same_incident'),
         r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node"""),
     "constrained_clusters": (q_constrained_clusters, None),

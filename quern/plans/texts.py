@@ -102,7 +102,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_titles(spark, sf_dir)
     joined = pages.join(parts.withColumnRenamed("node", "page_id"), "page_id", "left").withColumn("component", F.coalesce("component", "page_id"))
     out = joined.groupBy("component").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("host").alias("independent"), F.min_by("title", "page_id").alias("title"))
-    return out.withColumn("level", F.when(F.col("independent") >= 3, "high").when(F.col("independent") >= 2, "medium").otherwise("low")).orderBy(F.desc("independent"), "component")
+    return out.withColumn("level", F.when(F.col("independent") >= 3, "high").when(F.col("independent") >= 2, "medium").otherwise("low"))
 
 
 _SPACES = "[\\t\\n\\r\\f\\x0B ]+"
@@ -133,5 +133,10 @@ QUERIES = {
     "pair_jaccard": (q_pair_jaccard, rf"""WITH {TITLES}, t AS (SELECT page_id, host, lang, list_filter(list_distinct(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')), lambda x: length(x) >= 4) AS t FROM titles),
         p AS (SELECT a.page_id AS l_id, b.page_id AS r_id, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS x, len(b.t) AS y FROM t a JOIN t b ON a.page_id < b.page_id AND a.host <> b.host AND a.lang = b.lang)
         SELECT l_id, r_id, round(k / (x + y - k), 9) AS similarity FROM p WHERE x > 0 AND y > 0 AND k / (x + y - k) >= 0.2"""),
+    "evidence_fusion": (flagship, rf"""WITH RECURSIVE {TITLES}, t AS (SELECT page_id, host, lang, list_filter(list_distinct(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')), lambda x: length(x) >= 4) AS t FROM titles),
+        p AS (SELECT a.page_id AS a, b.page_id AS b, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS x, len(b.t) AS y FROM t a JOIN t b ON a.page_id < b.page_id AND a.host <> b.host AND a.lang = b.lang),
+        e AS (SELECT a, b FROM p WHERE x > 0 AND y > 0 AND round(k / (x + y - k), 9) >= 0.5), m AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT page_id, page_id AS c FROM titles UNION SELECT m.b, r.c FROM r JOIN m ON m.a = r.page_id), g AS (SELECT page_id, min(c) AS component FROM r GROUP BY page_id)
+        SELECT component, count(*) AS pages, count(DISTINCT host) AS independent, min_by(title, page_id) AS title, CASE WHEN count(DISTINCT host) >= 3 THEN 'high' WHEN count(DISTINCT host) >= 2 THEN 'medium' ELSE 'low' END AS level FROM g JOIN titles USING (page_id) GROUP BY component"""),
     "title_terms": (q_title_terms, rf"""WITH {TITLES} SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(list_filter(list_distinct(regexp_extract_all(replace(lower(title), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')), lambda x: length(x) >= 4)) AS term FROM titles) GROUP BY ALL HAVING count(*) > 1"""),
 }

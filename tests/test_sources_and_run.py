@@ -1,10 +1,13 @@
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.plans import corpus_build, pipeline, providers
-from quern.sources import feeds, files, media, metadata, sinks
+from quern.sources import feeds, files, media, metadata, sinks, snapshots
+from quern.streaming import uploads
 
 
 def rows(df, *order):
@@ -161,3 +164,39 @@ def test_profiles_and_feed(spark, tmp_path):
     assert rows(metadata.by_either_code(metadata.country_profiles(spark, str(tmp_path / "c.toml"))).select("country_code", "lat"), "country_code") == [("US", 1.5), ("USA", 1.5)]
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>T</title><link>https://a.example</link><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item></channel></rss>")
     assert feeds.read_feed(spark, str(tmp_path / "f.xml")).first().title == "T"
+
+
+def test_snapshots(spark):
+    html = b'<html><head><link rel="canonical" href="/a?utm_source=x"><meta property="article:published_time" content="2026-01-02"><title>T</title></head><body><nav>menu</nav><article onclick="x()"><h1>Head  line</h1><p class="q">Text &amp; more</p><script>evil()</script></article></body></html>'
+    rows_ = [("AA", "https://p.example/x", html), ("AA", "https://q.example/y", b'<link rel="canonical" href="https://other.example/z"><nav>only menu</nav>')]
+    got = {r.domain: r for r in snapshots.snapshots(spark.createDataFrame(rows_, "country_iso2 string, url string, html binary")).collect()}
+    p, q = got["p.example"], got["q.example"]
+    assert (p.canonical_url, p.title, p.published_at, p.excerpt) == ("https://p.example/a", "Head line", "2026-01-02", "Head line Text & more")
+    assert "evil" not in p.clean_html and "onclick" not in p.clean_html and "menu" not in p.clean_html and "Text &amp; more" in p.clean_html
+    assert (q.canonical_url, q.status) == ("https://q.example/y", "empty")
+    assert snapshots.shortened("aaa bbb ccc", 8) == "aaa bbb…" and "&lt;" in snapshots.evidence_stub("<t>", "x")
+
+
+def test_uploads(spark, tmp_path):
+    def archive(files_):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, content in files_.items():
+                z.writestr(name, content)
+        return out.getvalue()
+
+    cases = {
+        "ok.zip": archive({"f/page.html": "<p>x", "f/image_01.json": '{"observations": []}'}), "two.zip": archive({"a.html": "x", "b.html": "y"}), "up.zip": archive({"../a.html": "x"}), "odd.zip": archive({"a.html": "x", "run.exe": "y"}),
+        "bad.zip": b"nope", "v.json": b'{"claims": []}', "w.json": b'{"x": 1}', "t.txt": b"x", "img.zip": archive({"a.html": "x", "image_01.json": "{}"}),
+    }
+    df = spark.createDataFrame(list(cases.items()), "path string, content binary")
+    got = {cases_name: uploads.check_upload(cases_name, payload)[0] for cases_name, payload in cases.items()}
+    assert {k for k, v in got.items() if v == "pending"} == {"ok.zip", "v.json"}
+    assert uploads.checked_uploads(df).where("status = 'pending'").count() == 2
+    layers = uploads.layered(spark.createDataFrame([("p", 1), ("q", 1)], "path string, v int"), spark.createDataFrame([("q", 2)], "path string, v int"))
+    assert rows(layers, "path") == [("p", 1), ("q", 2)]
+    root = str(tmp_path / "r")
+    uploads.recompute(spark, root, "t", lambda: spark.range(3), lambda d: d.where("id > 5"))
+    with pytest.raises(ValueError, match="not published"):
+        uploads.recompute(spark, root, "t", lambda: spark.range(9), lambda d: d.where("id > 5"))
+    assert sinks.published(spark, root, "t").count() == 3
