@@ -6,8 +6,7 @@ next one.  All but the last return the columns of docs.  Each works on all that
 quality: documents scored under 0.7 by nearest-neighbour voting go (no shuffle).
 exact: of documents equal but for white space the longest, then the one with the smallest id, stays.
 near: one document of each group linked by 5-word shingles at a similarity of 0.8 or more stays, that with the smallest id.
-decontaminate: documents that hold a passage of the benchmark, words replaced or not, go (no shuffle of texts to a join but
-an anti join on their ids).
+decontaminate: documents that hold a passage of the benchmark, words replaced or not, go (no shuffle).
 pack: what is left becomes pieces of at most 1024 tokens in as few sequences as best fit finds.
 
 An empty documents table passes through all stages; null texts count as empty.

@@ -108,6 +108,28 @@ def best_stretch(equal: np.ndarray, least: int, similarity: int = SIMILARITY) ->
     return best and (best[0][0], best[1], best[2])
 
 
+def found_in(texts: pa.Array, seeds: Items, min_words: int, similarity: int) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
+    """(row, index of the item, (equal words, words, first word in the text, first word in the item)) of each leak into a text."""
+    sizes = np.array([len(x) for x in seeds.words])
+    for a, _, w in scan_words(texts):
+        pos, item, at = seeds.hits(w.hash)
+        if not len(pos):
+            continue
+        doc = w.doc[pos]
+        start = pos - at - w.bounds[doc]  # where the item's first word would be, in the document's words
+        inside = pos - w.bounds[doc] + np.where(sizes[item] < SPAN, 1, SPAN) <= w.per_doc[doc]  # a hit must lie in one document
+        best: dict[tuple[int, int], tuple] = {}
+        for d, i, s in np.unique(np.stack([doc, item, start], 1)[inside], axis=0).tolist():
+            x = seeds.words[i]
+            lo, hi = max(0, -s), min(len(x), int(w.per_doc[d]) - s)
+            base = int(w.bounds[d]) + s
+            got = best_stretch(w.hash[base + lo : base + hi] == x[lo:hi], min(min_words, len(x)), similarity)
+            if got and ((d, i) not in best or got[0] > best[d, i][0]):
+                best[d, i] = (got[0], got[2] - got[1], s + lo + got[1], lo + got[1])
+        for (d, i), values in best.items():
+            yield a + d, i, values
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs and item that leaks into it: id, item_id, n_equal, n_words, doc_word, item_word."""
     spark = docs.sparkSession
@@ -123,30 +145,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             seeds = Items(item_words)
             for batch in batches:
                 rows, out = [], ([], [], [], [], [])
-                for a, _, w in scan_words(batch.column(1)):
-                    pos, item, at = seeds.hits(w.hash)
-                    if not len(pos):
-                        continue
-                    doc = w.doc[pos]
-                    start = pos - at - w.bounds[doc]  # where the item's first word would be, in the document's words
-                    # a hit of a mask must lie in one document
-                    span = np.where(np.array([len(x) for x in item_words])[item] < SPAN, 1, SPAN)
-                    inside = pos - w.bounds[doc] + span <= w.per_doc[doc]
-                    seen = np.unique(np.stack([doc, item, start], 1)[inside], axis=0)
-                    best: dict[tuple[int, int], tuple] = {}
-                    for d, i, s in seen.tolist():
-                        x = item_words[i]
-                        lo, hi = max(0, -s), min(len(x), int(w.per_doc[d]) - s)
-                        base = int(w.bounds[d]) + s
-                        same = w.hash[base + lo : base + hi] == x[lo:hi]
-                        got = best_stretch(same, min(min_words, len(x)), similarity)
-                        if got and ((d, i) not in best or got[0] > best[d, i][0]):
-                            best[d, i] = (got[0], got[2] - got[1], s + lo + got[1], lo + got[1])
-                    for (d, i), values in best.items():
-                        rows.append(a + d)
-                        out[0].append(item_ids[i])
-                        for to, v in zip(out[1:], values, strict=True):
-                            to.append(v)
+                for row, item, values in found_in(batch.column(1), seeds, min_words, similarity):
+                    rows.append(row)
+                    for to, v in zip(out, (item_ids[item], *values), strict=True):
+                        to.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], _arrow(item_type)), *(pa.array(x, pa.int32()) for x in out[1:])], ["_id", "item_id", "n_equal", "n_words", "doc_word", "item_word"])
 
         parts.append(own.mapInArrow(scan, schema))
@@ -174,10 +176,21 @@ def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list, list[np.ndarray
         yield ids, words
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs into which no item leaks, with its columns."""
-    bad = leaks(docs, items, id_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The rows of docs into which no item leaks, with its columns; rows are told where they are read, nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    for _, words in _blocks(items.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text")), block):
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            seeds = Items(shared.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _, _ in found_in(batch.column(at), seeds, min_words, similarity)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
