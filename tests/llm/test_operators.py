@@ -119,6 +119,25 @@ def test_decontamination_finds_passages_with_replaced_words(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in expected} and kept.columns == table(spark, []).columns
 
 
+def test_two_replaced_words_never_escape_the_masks():
+    for a, b in itertools.combinations(range(decontaminate.SPAN), 2):
+        assert any(m[a] == m[b] == "0" for m in decontaminate.MASKS)
+
+
+def test_decontamination_tolerates_a_fifth_of_replaced_words(spark):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 40, 3000)) for i in range(20)]
+    rows, marked = [], 0
+    for d in range(400):
+        words = items[d % 20][1].split()
+        for k in rng.sample(range(40), 8):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((d, prose(rng, 30, 3000) + " " + " ".join(words)))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    marked = sum((d, d % 20) in found for d in range(400))
+    assert marked >= 396 and all(i == d % 20 for d, i in found)
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, "word other word other word other word other word other word other word")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect())
