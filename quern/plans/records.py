@@ -48,7 +48,7 @@ def q_modal_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_fused_place(spark: SparkSession, sf: str) -> DataFrame:
-    c = load(spark, sf, "customer").join(F.broadcast(load(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"g": F.when(F.col("c_custkey") % 3 == 0, "country").otherwise("city"), "conf": 0.5 + F.col("c_custkey") % 4 / 20})
+    c = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"g": F.when(F.col("c_custkey") % 3 == 0, "country").otherwise("city"), "conf": 0.5 + F.col("c_custkey") % 4 / 20})
     return fusing.fused_place(c, ["c_mktsegment"], "n_name", "g", "conf", "c_custkey").select("c_mktsegment", "place", F.round("confidence", 6).alias("confidence"), F.size("alternatives").alias("n_alternatives"))
 
 
