@@ -13,6 +13,8 @@ INCIDENT = r"(?i)\b(?:accident|crash|collision|killed|injured|fatal)\b|দুর
 BLOCK_KINDS = ("headline", "article", "post", "caption", "comment")
 SENTIMENT_WORDS = ("justice", "protest", "demand", "ভোগান্তি")
 CONGESTION_WORDS = ("traffic", "যানজট", "ভোগান্তি")
+#: Rows of the gazetteer that are broadcast; more are joined.
+MOST_ALIASES = 100_000
 
 
 def relevant(text: Column, keywords: Column, declared: Column, pattern: str = TRAFFIC) -> Column:
@@ -37,14 +39,14 @@ def block_evidence(sources: DataFrame, blocks: DataFrame) -> DataFrame:
 def matching_anchors(texts: DataFrame, id_col: str, text_col: str, aliases: DataFrame) -> DataFrame:
     """Best anchor of each family in each text: aliases (alias, anchor, family, priority, ord) stand at word boundaries.
 
-    The alias table is a dimension, which Spark broadcasts by its size; each text meets those aliases only whose first word it
+    The alias table is a dimension, broadcast up to MOST_ALIASES rows, which also keeps common words out of a shuffle; each text meets those aliases only whose first word it
     holds, by an equi-join on words, so the work grows with the words and not with texts times aliases.
     """
     first = F.regexp_extract(folded("alias"), r"[\p{L}\p{N}]+", 0)
     dimension = aliases.select("anchor", "family", "priority", "ord", "alias", first.alias("_first"), alias_pattern(F.col("alias")).alias("_pattern"))
     text = folded(text_col)
     words = texts.select(F.col(id_col), text.alias("_text")).withColumn("_first", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
-    hits = words.join(dimension, "_first").where(F.expr("_text rlike _pattern")).select(id_col, "anchor", "family", "priority", "ord").distinct()
+    hits = words.join(F.broadcast(dimension) if dimension.count() <= MOST_ALIASES else dimension, "_first").where(F.expr("_text rlike _pattern")).select(id_col, "anchor", "family", "priority", "ord").distinct()
     own = F.coalesce("family", F.concat(F.lit("="), "anchor"))
     rank = F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.desc("priority"), "ord"))
     return hits.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
