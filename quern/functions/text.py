@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 #: A character that may not stand next to an alias.  Indic combining vowel signs are no letters here.
 WORD = r"[\p{L}\p{N}_]"
-#: Bengali digits and number words up to twelve, and the few larger ones that reports spell out.
+#: Bengali digits, the number words that reports spell out, and the patterns that tell counts of dead and injured.
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,

@@ -27,7 +27,7 @@ def q_duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_manifest_difference(spark: SparkSession, sf: str) -> DataFrame:
-    listed = load(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey")
+    listed = load(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey")
     found = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return validation.difference(listed, found, "c_custkey", ("listed_only", "found_only"))
 
@@ -38,7 +38,7 @@ def q_reference_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_support_issues(spark: SparkSession, sf: str) -> DataFrame:
-    facts = load(spark, sf, "lineitem").where("l_orderkey % 10 = 3 OR l_quantity > 45").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.lit("parts").alias("field"), F.max("l_quantity").alias("value"), F.collect_set(F.when(F.col("l_returnflag") != "N", F.col("l_partkey"))).alias("support"))
+    facts = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.lit("parts").alias("field"), F.max("l_quantity").alias("value"), F.collect_set(F.when(F.col("l_returnflag") != "N", F.col("l_partkey"))).alias("support"))
     issues = validation.uncited_support(facts, load(spark, sf, "part").where("p_size <> 10").select(F.col("p_partkey").alias("evidence_id")))
     return issues.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject").alias("subjects"))
 
@@ -91,9 +91,9 @@ SELECT user_id AS submission_id, status, applied, refused FROM s QUALIFY row_num
 QUERIES = {
     "quota_issues": (q_quota_issues, "SELECT 'source_quota' AS code, n_nationkey::VARCHAR AS subject, count(s_suppkey)::VARCHAR AS detail FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(s_suppkey) < 5"),
     "duplicate_ids": (q_duplicate_ids, "SELECT 'duplicate_url' AS code, regexp_extract(url, '^[a-z]+://[^/?#]*/[^/?#]*') AS subject, count(*)::VARCHAR AS detail FROM pages GROUP BY 2 HAVING count(*) > 1"),
-    "manifest_difference": (q_manifest_difference, "SELECT 'listed_only' AS code, c_custkey::VARCHAR AS subject, NULL::VARCHAR AS detail FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'found_only', o_custkey::VARCHAR, NULL FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)"),
+    "manifest_difference": (q_manifest_difference, "SELECT 'listed_only' AS code, c_custkey::VARCHAR AS subject, NULL::VARCHAR AS detail FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'found_only', o_custkey::VARCHAR, NULL FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
     "reference_issues": (q_reference_issues, "SELECT DISTINCT 'unknown_part' AS code, l_partkey::VARCHAR AS subject, NULL::VARCHAR AS detail FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <> 10) UNION ALL SELECT DISTINCT 'unknown_supplier', l_suppkey::VARCHAR, NULL FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"),
-    "support_issues": (q_support_issues, """WITH f AS (SELECT * FROM lineitem WHERE l_orderkey % 10 = 3 OR l_quantity > 45), u AS (SELECT DISTINCT l_orderkey, l_partkey FROM f WHERE l_returnflag <> 'N' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <> 10)), b AS (SELECT l_orderkey FROM f GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag <> 'N') = 0)
+    "support_issues": (q_support_issues, """WITH f AS (SELECT * FROM lineitem), u AS (SELECT DISTINCT l_orderkey, l_partkey FROM f WHERE l_returnflag <> 'N' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <> 10)), b AS (SELECT l_orderkey FROM f GROUP BY l_orderkey HAVING count(*) FILTER (l_returnflag <> 'N') = 0)
         SELECT 'unknown_evidence' AS code, count(*) AS n, count(DISTINCT l_orderkey) AS subjects FROM u HAVING count(*) > 0 UNION ALL SELECT 'value_without_support', count(*), count(DISTINCT l_orderkey) FROM b HAVING count(*) > 0"""),
     "topk_per_group": (q_topk_per_group, "SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents QUALIFY rank <= 3"),
     "domain_cap": (q_domain_cap, f"WITH {PAGES}, k AS (SELECT * FROM c QUALIFY {_RANK.format('lang, host')} <= 2 OR page_id % 25 = 0) SELECT lang, host, page_id, ({_RANK.format('lang')})::INT AS rank FROM k QUALIFY rank <= 20"),

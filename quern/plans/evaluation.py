@@ -65,14 +65,14 @@ def q_evidence_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_shown_facts(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k < 4")
+    e = load(spark, sf, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     voted = fusing.plurality(e, ["user_id"], "k", "event_id")
     return voted.select("user_id", V.shown_value(F.col("value"), F.col("alternatives"), fusing.fact_state(F.col("value"))).alias("shown"))
 
 
 def q_gold_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as gold, suppliers of their nation as records, by how near their balances are."""
-    c = load(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("gold_id"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"))
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("gold_id"), F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("x"))
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("record_id"), F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("y"))
     scores = c.join(s, "k").withColumn("score", F.floor(10 - F.abs(F.col("x") - F.col("y")) / 1000)).withColumn("sources", F.col("record_id") % 3)
     return V.greedy_assignment(scores)
@@ -114,7 +114,7 @@ QUERIES = {
     "efficiency": (q_efficiency, "SELECT event_type, count(*) AS calls, count(*) FILTER (value > 200) AS slow, round(sum(value), 4) AS cost, round(max(value), 4) AS dearest FROM events GROUP BY event_type"),
     "corpus_summary": (q_corpus_summary, "SELECT count(*) AS sources, count(DISTINCT lang) AS languages, count(DISTINCT source) AS publishers, count(DISTINCT text) AS contents FROM documents"),
     "evidence_by_source": (q_evidence_by_source, "SELECT conv_id AS source_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds, string_agg(DISTINCT CASE WHEN turn = 0 THEN 'observed' ELSE 'reported' END, ',' ORDER BY CASE WHEN turn = 0 THEN 'observed' ELSE 'reported' END) AS assertions FROM conversations GROUP BY conv_id"),
-    "shown_facts": (q_shown_facts, """WITH v AS (SELECT user_id, k, count(*) AS n, min(event_id) AS o FROM (SELECT user_id, event_id, (props::JSON->>'k')::INT AS k FROM events) WHERE k < 4 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, o) AS r FROM v)
+    "shown_facts": (q_shown_facts, """WITH v AS (SELECT user_id, k, count(*) AS n, min(event_id) AS o FROM (SELECT user_id, event_id, (props::JSON->>'k')::INT AS k FROM events) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, o) AS r FROM v)
         SELECT user_id, string_agg(k, ' vs ' ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, k) AS shown FROM r GROUP BY user_id"""),
     "gold_assignment": (q_gold_assignment, None),
     "stale_outputs": (q_stale_outputs, "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),

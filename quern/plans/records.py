@@ -96,7 +96,7 @@ def q_evidence_semi_join(spark: SparkSession, sf: str) -> DataFrame:
 def q_inverted_links(spark: SparkSession, sf: str) -> DataFrame:
     records = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("suppliers"))
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("member"))
-    out = querying.inverted_links(records.withColumn("suppliers", F.filter("suppliers", lambda x: x % 3 != 0)), "l_orderkey", "suppliers", s, "member")
+    out = querying.inverted_links(records, "l_orderkey", "suppliers", s, "member")
     return out.select("member", F.size("record_ids").alias("n"), F.coalesce(F.array_min("record_ids"), F.lit(-1)).alias("first"), F.coalesce(F.array_max("record_ids"), F.lit(-1)).alias("last"))
 
 
@@ -145,9 +145,11 @@ def q_haversine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_uncertainty_ring(spark: SparkSession, sf: str) -> DataFrame:
-    i = _incidents(spark, sf).where("lat IS NOT NULL AND o_orderkey % 50 = 1 OR severity = 'critical' AND lat IS NOT NULL").withColumn("g", F.when(F.col("o_orderkey") % 2 == 0, "area").otherwise("city"))
+    i = _incidents(spark, sf).where("lat IS NOT NULL").withColumn("g", F.when(F.col("o_orderkey") % 2 == 0, "area").otherwise("city"))
     ring = uncertainty_ring(F.col("lat"), F.col("lon"), default_radius(F.col("g"), F.lit(None).cast("double")))
-    return i.select("o_orderkey", F.posexplode(ring).alias("k", "p")).select("o_orderkey", "k", (F.round(F.col("p")[0], 6) + 0.0).alias("lon"), (F.round(F.col("p")[1], 6) + 0.0).alias("lat"))
+    side = lambda f, k: (F.round(f(F.transform("r", lambda p: p[k])), 6) + 0.0)
+    i = i.withColumn("r", ring)
+    return i.select("o_orderkey", F.size("r").alias("points"), side(F.array_min, 0).alias("west"), side(F.array_max, 0).alias("east"), side(F.array_min, 1).alias("south"), side(F.array_max, 1).alias("north"))
 
 
 def q_daily_spend(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +182,7 @@ QUERIES = {
     "page_slice": (q_page_slice, f"WITH {INCIDENTS}, h AS (SELECT * FROM i WHERE severity = 'high') SELECT o_orderkey, kind, (SELECT count(*) FROM h) AS total FROM h ORDER BY o_orderkey LIMIT 20 OFFSET 40"),
     "geojson_feature": (q_geojson_feature, f"WITH {INCIDENTS} SELECT o_orderkey, CASE WHEN lat IS NOT NULL THEN 'Feature' END AS type, lon, lat, CASE WHEN lat IS NOT NULL THEN severity END AS severity FROM i"),
     "evidence_semi_join": (q_evidence_semi_join, "SELECT p_partkey AS evidence_id, p_name, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 7)"),
-    "inverted_links": (q_inverted_links, "SELECT s_suppkey AS member, count(DISTINCT l_orderkey)::INT AS n, coalesce(min(l_orderkey), -1) AS first, coalesce(max(l_orderkey), -1) AS last FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_suppkey % 3 <> 0 GROUP BY ALL"),
+    "inverted_links": (q_inverted_links, "SELECT s_suppkey AS member, count(DISTINCT l_orderkey)::INT AS n, coalesce(min(l_orderkey), -1) AS first, coalesce(max(l_orderkey), -1) AS last FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL"),
     "orphan_anti_join": (q_orphan_anti_join, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)"),
     "composite_top3": (q_composite_top3, f"WITH {INCIDENTS} SELECT o_orderkey, source_count + CASE WHEN severity = 'critical' THEN 2 ELSE 0 END + CASE WHEN lat IS NOT NULL THEN 2 ELSE 0 END AS score FROM i ORDER BY score DESC, o_orderkey LIMIT 3"),
     "distribution_stats": (q_distribution_stats, "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS pstdev, round(min(o_totalprice), 4) AS least, round(max(o_totalprice), 4) AS most, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY o_orderstatus"),
@@ -191,8 +193,9 @@ QUERIES = {
         SELECT sources, count(*) AS n, sum(best)::BIGINT AS best, sum(fused)::BIGINT AS fused, count(*) FILTER (fused > best) AS gained FROM s JOIN u USING (l_orderkey) WHERE sources > 1 GROUP BY sources"""),
     "provenance_coverage": (q_provenance_coverage, "SELECT l_linestatus, count(*) AS facts, count(p_partkey) AS resolved, round(count(p_partkey) / count(*), 8) AS ratio FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_brand <> 'Brand#13' GROUP BY l_linestatus"),
     "haversine": (q_haversine, f"WITH {INCIDENTS}, a AS (SELECT o_orderkey, pow(sin(radians(23.8::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(23.8::DOUBLE)) * pow(sin(radians(90.4::DOUBLE - lon) / 2), 2) AS a FROM i WHERE lat IS NOT NULL) SELECT o_orderkey, round(2 * 6371.0088::DOUBLE * atan2(sqrt(a), sqrt(1 - a)), 5) AS km FROM a"),
-    "uncertainty_ring": (q_uncertainty_ring, f"""WITH {INCIDENTS}, r AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 3.0::DOUBLE ELSE 12.0::DOUBLE END / 111.32::DOUBLE AS d FROM i WHERE lat IS NOT NULL AND (o_orderkey % 50 = 1 OR severity = 'critical')), k AS (SELECT unnest(range(0, 65))::INT AS k)
-        SELECT o_orderkey, k, round(lon + cos(k * 2 * pi() / 64) * (d / greatest(0.2::DOUBLE, cos(radians(lat)))), 6) + 0.0::DOUBLE AS lon, round(lat + sin(k * 2 * pi() / 64) * d, 6) + 0.0::DOUBLE AS lat FROM r, k"""),
+    "uncertainty_ring": (q_uncertainty_ring, f"""WITH {INCIDENTS}, r AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 3.0::DOUBLE ELSE 12.0::DOUBLE END / 111.32::DOUBLE AS d FROM i WHERE lat IS NOT NULL), k AS (SELECT unnest(range(0, 65))::INT AS k),
+        p AS (SELECT o_orderkey, lon + cos(k * 2 * pi() / 64) * (d / greatest(0.2::DOUBLE, cos(radians(lat)))) AS x, lat + sin(k * 2 * pi() / 64) * d AS y FROM r, k)
+        SELECT o_orderkey, count(*)::INT AS points, round(min(x), 6) + 0.0::DOUBLE AS west, round(max(x), 6) + 0.0::DOUBLE AS east, round(min(y), 6) + 0.0::DOUBLE AS south, round(max(y), 6) + 0.0::DOUBLE AS north FROM p GROUP BY o_orderkey"""),
     "daily_spend": (q_daily_spend, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, round(sum(value), 4) AS cost FROM events WHERE event_type = 'purchase' GROUP BY ALL"),
     "bootstrap_ci": (q_bootstrap_ci, None),
 }
