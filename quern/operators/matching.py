@@ -89,7 +89,7 @@ def components(edges: DataFrame, left: str = "l_id", right: str = "r_id") -> Dat
         least = up.groupBy("node").agg(F.min("up").alias("least"), F.count(F.lit(1)).alias("k"))
         others = up.join(least.where("k > 1"), "node").where("up <> least").select(F.col("up").alias("node"), F.col("least").alias("up"))
         linked = least.select("node", F.col("least").alias("up")).union(others).distinct().checkpoint()
-        top = linked.groupBy("node").agg(F.min("up").alias("top")).withColumnRenamed("node", "up")
+        top = linked.groupBy("node").agg(F.min("up").alias("top")).withColumnRenamed("node", "up").checkpoint()  # so that a hot node's join can be split
         step = linked.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")).checkpoint()
         rows, distinct, moved = step.agg(F.count(F.lit(1)), F.count_distinct("node"), F.count_if("moved")).first()
         if rows == distinct and not moved:
