@@ -148,7 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
         others = up.join(least.where("_k > 1").select("_id", "_min"), "_id").where("_up != _min").select(F.col("_up").alias("_id"), F.col("_min").alias("_up"))
         joined = stored(least.select("_id", F.col("_min").alias("_up")).unionByName(others).distinct(), "edges")
         # shortcut: to the smallest above the one above
-        top = joined.groupBy("_id").agg(F.min("_up").alias("_top")).withColumnRenamed("_id", "_up")
+        top = stored(joined.groupBy("_id").agg(F.min("_up").alias("_top")).withColumnRenamed("_id", "_up"), "top")  # written, so that a hot centre's join can be split
         step = joined.join(top, "_up", "left").select("_id", F.coalesce("_top", "_up").alias("_next"), F.col("_top").isNotNull().alias("_moved"))
         step = stored(step, "step")
         state = step.agg(F.count(F.lit(1)), F.count_distinct("_id"), F.coalesce(F.sum(F.col("_moved").cast("int")), F.lit(0))).first()
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
     members = stored(keys.join(buckets.where("_k > 2").select("_key", "_k"), "_key"), "members")
     # the centre of a star: the member that meets most others, in all tables together
     degree = members.groupBy("_id").agg(F.sum("_k").alias("_d"))
-    centres = members.join(degree, "_id").groupBy("_key").agg(F.max(F.struct("_d", (-F.col("_id")).alias("_i"))).alias("_c")).select("_key", (-F.col("_c._i")).alias("_c"))
+    centres = stored(members.join(degree, "_id").groupBy("_key").agg(F.max(F.struct("_d", (-F.col("_id")).alias("_i"))).alias("_c")).select("_key", (-F.col("_c._i")).alias("_c")), "centres")  # written, so that a hot bucket's join can be split
     stars = members.join(centres, "_key").select(F.least("_c", "_id").alias("_l"), F.greatest("_c", "_id").alias("_r"))
     members = members.select("_key", "_id")
     pairs = buckets.where("_k = 2").select("_l", "_r").union(stars).where("_l != _r").distinct()
