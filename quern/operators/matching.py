@@ -2,12 +2,16 @@
 
 A pair is worth a decision if its total reaches 0.45.  Without a shared place or term a total is at most 0.35 (0.30 for time,
 0.05 for vehicles, while no mention has entities), so pairs come from an equi-join on places and terms and none is lost.
+Pairs that a guard bars need no shared key, and most mentions are barred from most others: they matter only between mentions
+that links would join, so constrained_clusters tests them there, on the mentions, and never lists them.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,13 @@ def shared_key_pairs(mentions: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("l_id"), F.greatest("a", "b").alias("r_id")).distinct()
 
 
+def override_pairs(mentions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Pairs (l_id, r_id), l_id < r_id, of overrides (a, b) under the same rules as other pairs, with or without a shared key."""
+    side = lambda x: mentions.select(F.col("mention_id").alias(x), F.col("source_id").alias(f"s{x}"), F.col("country").alias(f"c{x}"))
+    met = overrides.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("a <> b AND sa <> sb AND (ca IS NULL OR cb IS NULL OR ca = cb)")
+    return met.select(F.least("a", "b").alias("l_id"), F.greatest("a", "b").alias("r_id")).distinct()
+
+
 def scored(pairs: DataFrame, mentions: DataFrame, most_days: int = MOST_DAYS) -> DataFrame:
     """Features of pairs (l_id, r_id); guards in order of time, place, country, the last that holds is told."""
     both = pairs.join(_side(mentions, "l_").withColumnRenamed("l_mention_id", "l_id"), "l_id").join(_side(mentions, "r_").withColumnRenamed("r_mention_id", "r_id"), "r_id")
@@ -107,19 +118,67 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
 
 
-def constrained_clusters(decisions: DataFrame) -> DataFrame:
+def constrained_clusters(decisions: DataFrame, mentions: DataFrame | None = None, most_days: int = MOST_DAYS) -> DataFrame:
     """node, cluster (its smallest member): same-incident links joined in order of confidence unless a cannot-link crosses.
 
+    With mentions, a guard between two of them is a cannot-link too, whether or not the pair is among the decisions.
     Nothing outside a component of same-incident links can influence it, so components run apart from one another."""
     same = decisions.where("decision = 'same_incident'")
     parts = components(same)
     inside = decisions.where("decision IN ('same_incident', 'different_incident', 'related_but_distinct')").join(parts.withColumnRenamed("node", "l_id"), "l_id")
     inside = inside.join(parts.select(F.col("node").alias("r_id"), F.col("component").alias("rc")), "r_id").where("component = rc").select("component", "l_id", "r_id", "decision", "confidence")
     key = inside.schema["l_id"].dataType.simpleString()
-    return inside.groupBy("component").applyInPandas(_greedy, f"node {key}, cluster {key}")
-
-
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    if mentions is None:
+        return inside.groupBy("component").applyInPandas(lambda rows: _greedy(rows), f"node {key}, cluster {key}")
+    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("event_time"))
+    told = mentions.select(F.col("mention_id").alias("node"), "source_id", "country", micros.cast("double").alias("micros"), "locations", F.coalesce("primary", F.lit(False)).alias("primary"))
+    held = parts.select("node", F.col("component").alias("part")).join(told, "node")
+
+    def run(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        return _greedy(rows, _guarded(rows, members, most_days))
+
+    return inside.groupBy("component").cogroup(held.groupBy("part")).applyInPandas(run, f"node {key}, cluster {key}")
+
+
+def _guarded(rows: pd.DataFrame, members: pd.DataFrame, most_days: int) -> Callable[[Iterable, Iterable], bool]:
+    """Whether a guard of time or place bars a node of one set from one of the other; a must-link goes before its guard."""
+    same = rows.decision == "same_incident"
+    linked = {*zip(rows.l_id[same], rows.r_id[same], strict=True)}
+    linked |= {(b, a) for a, b in linked}
+    index, node = {n: i for i, n in enumerate(members.node)}, list(members.node)
+    source, country = (pd.factorize(members[c])[0] for c in ("source_id", "country"))
+    micros, primary = members.micros.to_numpy(float), members.primary.to_numpy(bool)
+    places = [frozenset(() if x is None else x) for x in members.locations]
+    placed = np.array([len(x) > 0 for x in places])
+
+    def told(nodes: Iterable) -> np.ndarray:
+        at = np.array([index[n] for n in nodes if n in index], np.int64)
+        return at[primary[at] & (source[at] >= 0)]
+
+    def bars(some: Iterable, others: Iterable) -> bool:
+        x, y = sorted((told(some), told(others)), key=len)
+        where: dict = {}
+        for k, i in enumerate(y):
+            for p in places[i]:
+                where.setdefault(p, []).append(k)
+        for start in range(0, len(x), BLOCK):
+            part = x[start : start + BLOCK]
+            shared = np.zeros((len(part), len(y)), bool)
+            for r, i in enumerate(part):
+                for p in places[i]:
+                    shared[r, where.get(p, [])] = True
+            met = np.abs(micros[part][:, None] - micros[y]) / 86_400_000_000 > most_days
+            met |= placed[part][:, None] & placed[y] & ~shared
+            met &= source[part][:, None] != source[y]
+            met &= (country[part][:, None] < 0) | (country[y] < 0) | (country[part][:, None] == country[y])
+            if any((node[part[r]], node[y[k]]) not in linked for r, k in np.argwhere(met)):
+                return True
+        return False
+
+    return bars
+
+
+def _greedy(rows: pd.DataFrame, bars: Callable[[Iterable, Iterable], bool] | None = None) -> pd.DataFrame:
     parent = {x: x for x in {*rows.l_id, *rows.r_id}}
     members = {x: {x} for x in parent}
     barred: dict = {x: set() for x in parent}
@@ -131,6 +190,11 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = parent[a], parent[b]
         if x == y or not barred[x].isdisjoint(members[y]):
             continue
+        if bars and bars(members[x], members[y]):
+            # kept, so that no two nodes are compared twice
+            barred[x].add(y)
+            barred[y].add(x)
+            continue
         if len(members[x]) < len(members[y]):
             x, y = y, x
         for m in members[y]:

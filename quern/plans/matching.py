@@ -64,7 +64,7 @@ def q_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_constrained_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return M.constrained_clusters(_decisions(spark, sf))
+    return M.constrained_clusters(_decisions(spark, sf), mentions(spark, sf))
 
 
 def q_cluster_ordinals(spark: SparkSession, sf: str) -> DataFrame:

@@ -87,9 +87,11 @@ def run(spark: SparkSession, folder: str, aliases: DataFrame, countries: DataFra
     incident = F.coalesce("traffic_incident", F.lit(False)) | F.col("normalized_claim").rlike(E.INCIDENT) | (F.col("evidence_kind") == "traffic_incident")
     rows = evidence.join(sources.select("source_id", "country_code", "traffic_incident"), "source_id").withColumn("incident", incident)
     mentions = mention_features(E.split_mentions(rows, aliases, countries), evidence, sources, titles).checkpoint()
-    pairs = matching.candidates(matching.scored(matching.shared_key_pairs(mentions), mentions))
-    decisions = matching.decided(pairs, must if must is not None else _no_pairs(spark), cannot if cannot is not None else _no_pairs(spark)).checkpoint()
-    merged = matching.constrained_clusters(decisions)
+    must, cannot = (x if x is not None else _no_pairs(spark) for x in (must, cannot))
+    found = matching.shared_key_pairs(mentions).union(matching.override_pairs(mentions, must.select("a", "b").union(cannot.select("a", "b")))).distinct()
+    pairs = matching.candidates(matching.scored(found, mentions))
+    decisions = matching.decided(pairs, must, cannot).checkpoint()
+    merged = matching.constrained_clusters(decisions, mentions)
     clusters = mentions.select("mention_id").join(merged.withColumnRenamed("node", "mention_id"), "mention_id", "left").select("mention_id", F.coalesce("cluster", "mention_id").alias("cluster")).checkpoint()
     facts = mentions.select("mention_id", F.explode(F.create_map(F.lit("fatalities"), "fatalities", F.lit("injuries"), "injuries")).alias("field", "value")).where("value IS NOT NULL")
     incidents = fusing.fuse_clusters(clusters, mentions, facts)

@@ -95,6 +95,45 @@ def test_clusters_apart_match_one_global_greedy(spark, seed):
     assert all(k == min(g) for k, g in got.items())
 
 
+MENTION = "mention_id long, source_id string, country string, event_time timestamp_ntz, locations array<string>, vehicles array<string>, terms array<string>, primary boolean"
+
+
+def decisions_over(spark, m, pairs, must=()):
+    """Decisions of mentions m over the pairs, with must-links."""
+    pair = lambda x: spark.createDataFrame(list(x), "a long, b long")
+    return matching.decided(matching.candidates(matching.scored(pairs, spark.createDataFrame(m, MENTION))), pair(must), pair(()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_guards_without_a_shared_key_keep_clusters_apart(spark, seed):
+    """Clusters from pairs with shared keys and the mentions, against one greedy over the decisions of all pairs."""
+    m = mention_rows(70, seed)
+    df = spark.createDataFrame(m, MENTION)
+    every = [(a[0], b[0]) for a in m for b in m if a[0] < b[0] and a[1] != b[1] and (a[2] is None or b[2] is None or a[2] == b[2])]
+    must = random.Random(seed).sample(every, 8)
+    whole = decisions_over(spark, m, spark.createDataFrame(every, "l_id long, r_id long"), must)
+    want = plain_greedy([(r.l_id, r.r_id, r.decision, r.confidence) for r in whole.select("l_id", "r_id", "decision", "confidence").collect()])
+    keyed = matching.shared_key_pairs(df).union(matching.override_pairs(df, spark.createDataFrame(must, "a long, b long"))).distinct()
+    few = decisions_over(spark, m, keyed, must).checkpoint()
+    got = defaultdict(set)
+    for node, cluster in rows(matching.constrained_clusters(few, df)):
+        got[cluster].add(node)
+    assert {g for g in want if len(g) > 1} == {frozenset(g) for g in got.values() if len(g) > 1} != set()
+
+
+def test_guarded_ends_of_a_chain_are_not_merged(spark):
+    """A and B share a term, B and C a term, A and C nothing but their disjoint places; a must-link on them goes first."""
+    at = datetime(2024, 1, 1)
+    m = [(1, "s", None, at, ["p"], [], ["alpha"], True), (2, "t", None, at, [], [], ["alpha", "beta"], True), (3, "u", None, at, ["q"], [], ["beta"], True)]
+    df = spark.createDataFrame(m, MENTION)
+    linked = spark.createDataFrame([(1, 2, "same_incident", 0.9), (2, 3, "same_incident", 0.8)], "l_id long, r_id long, decision string, confidence double")
+    assert rows(matching.constrained_clusters(linked, df), "node") == [(1, 1), (2, 1), (3, 3)]
+    must = spark.createDataFrame([(3, 1)], "a long, b long")
+    told = decisions_over(spark, m, matching.override_pairs(df, must), [(3, 1)]).select("l_id", "r_id", "decision", "confidence")
+    assert rows(told) == [(1, 3, "same_incident", 1.0)]
+    assert rows(matching.constrained_clusters(linked.union(told), df), "node") == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_signed_triangle(spark):
     d = [("a", "b", "same_incident", 0.9), ("b", "c", "same_incident", 0.8), ("a", "c", "different_incident", 0.95)]
     assert rows(matching.constrained_clusters(spark.createDataFrame(d, "l_id string, r_id string, decision string, confidence double")), "node") == [("a", "a"), ("b", "a"), ("c", "c")]
