@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 MASKS are fixed patterns over SPAN word positions: a hash takes the words at the ones and ignores the others, so that words
-may be replaced there: a window of SPAN words with two replaced words, wherever they stand, is hit by one mask at least.  The hashes of all windows of the test items meet those of all windows of the documents; each hit
+may be replaced there: a window of SPAN words with two replaced words, wherever they stand, is hit by one mask at least, and so is any stretch of SPAN words or more with a fifth of
+them replaced between equal ends (a test tries all).  The hashes of all windows of the test items meet those of all windows of the documents; each hit
 fixes an alignment (item, document position of the item's first word).  Around a hit the words are compared along the
 alignment, and the item leaks if some stretch of at least min(MIN_WORDS, words of the item) words, which starts and ends with
 an equal word, has at least SIMILARITY equal words in a hundred.  Items with fewer words than a mask's span are compared at
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import mix, scan_words, table
 
 #: Two of four interleaved groups of three positions each: any two ignored positions are in the groups that some mask ignores.
-#: The last two find replacements that stand close together, by the six words beside them.
-MASKS = ("110011001100", "101010101010", "100110011001", "011001100110", "010101010101", "001100110011", "111111000000", "000000111111")
+#: The next two find replacements that stand close together, by the six words beside them;
+#: with the last two every stretch of 12 words or more with a fifth replaced, ends equal, is hit by a mask somewhere.
+MASKS = ("110011001100", "101010101010", "100110011001", "011001100110", "010101010101", "001100110011", "111111000000", "000000111111", "110010110001", "111101100000")
 SPAN = 12
 MIN_WORDS, SIMILARITY = 12, 80
 BLOCK = 1 << 20

@@ -124,6 +124,44 @@ def test_two_replaced_words_never_escape_the_masks():
         assert any(m[a] == m[b] == "0" for m in decontaminate.MASKS)
 
 
+@pytest.mark.parametrize("size", range(12, 26))
+def test_a_fifth_replaced_never_escapes_the_masks(size):
+    """Every placement of size // 5 replaced words between equal ends."""
+    kept = [sum(1 << at + i for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for at in range(size - len(m) + 1)]
+    for c in itertools.combinations(range(1, size - 1), size // 5):
+        replaced = sum(1 << i for i in c)
+        assert any(not k & replaced for k in kept), c
+
+
+def test_fewest_replaced_words_that_escape_are_more_than_a_fifth():
+    """The same for longer stretches, by the fewest words that leave no mask whole; above 55 words some window has two at most."""
+    masks = [sum(1 << decontaminate.SPAN - 1 - i for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS]
+    for size in range(12, 60):
+        fewest = {0: 0}
+        for i in range(size):
+            after = {}
+            for seen, n in fewest.items():
+                for bit in (0, 1) if 0 < i < size - 1 else (0,):
+                    window = (seen << 1 | bit) & (1 << decontaminate.SPAN) - 1
+                    if (i + 1 < decontaminate.SPAN or all(window & m for m in masks)) and n + bit < after.get(window, size):
+                        after[window] = n + bit
+            fewest = after
+        assert min(fewest.values()) > size // 5
+
+
+def test_decontamination_finds_short_items_with_a_fifth_replaced(spark):
+    rng = random.Random(21)
+    items = [(15, prose(rng, 15, 3000)), (20, prose(rng, 20, 3000))]
+    rows = []
+    for d, (item, places) in enumerate(((0, (3, 4, 9)), (1, (2, 8, 9, 14)))):
+        words = items[item][1].split()
+        for k in places:
+            words[k] = f"x{k}"
+        rows.append((d, prose(rng, 30, 3000) + " " + " ".join(words) + " " + prose(rng, 30, 3000)))
+    found = decontaminate.leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(0, 15), (1, 20)}
+
+
 def test_decontamination_tolerates_a_fifth_of_replaced_words(spark):
     rng = random.Random(12)
     items = [(i, prose(rng, 40, 3000)) for i in range(20)]
