@@ -1,9 +1,9 @@
 """License scans by sentence rules, in DataFrame operations only.
 
 A text is cut into units at line ends and after . ! ? ; when white space follows.  A unit is normalised: lower case, every
-run of other characters than a-z 0-9 becomes one space.  One to SPAN units joined by a space are looked up in SENTENCES, so
-that a sentence wrapped over lines is found too; of those that start at a unit the longest counts, and the scan goes on
-behind it.  The identifiers found, in order, form a sequence in which RULES are matched: each rule is an ordered list of
+run of other characters than a-z 0-9 becomes one space.  Whole units, however many, are met with SENTENCES in one pattern
+that takes an end of a unit for a space, so that a sentence wrapped over lines of any width is found too; of those that start
+at a unit the longest counts, and the scan goes on behind it.  The identifiers found, in order, form a sequence in which RULES are matched: each rule is an ordered list of
 identifiers, earlier rules consume what they match, and a match counts each time it occurs.
 
 Everything happens inside a row: no shuffle, no explode before the result, nothing that a hot key could collect.  Texts
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table
 
-#: Units that one sentence may be wrapped over.
+#: Units that one sentence may be wrapped over in SQL; the operator has no such limit.
 SPAN = 6
 #: Every known sentence holds one of these.
 ANCHORS = ("licen", "copyright", "permission", "redistribution", "warrant", "unencumbered", "reserved")
@@ -157,17 +157,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         r"""filter(transform(split(regexp_replace(_text, r'([.!?;])[\x20\x09-\x0D]+', '$1\n'), r'[\x0A\x0D]+'),
               u -> trim(regexp_replace(lower(u), '[^a-z0-9]+', ' '))), u -> u != '') AS _units""",
     )
-    # for each start the longest known run of units, as (identifier, units used); 0 if none
-    longest = ", ".join(f"CASE WHEN i + {k} <= size(_units) AND map_contains_key(_known, array_join(slice(_units, i + 1, {k}), ' ')) THEN named_struct('id', _known[array_join(slice(_units, i + 1, {k}), ' ')], 'n', {k}) END" for k in range(SPAN, 0, -1))
-    # no filter on these columns: it would be pushed below them and their expressions repeated inside the loops
+    # at a unit's start the longest sentence first; a match ends with a unit, and the next begins behind it
+    pattern = "(?m)^(?:" + "|".join(x.replace(" ", r"[ \n]") for x in sorted(known(), key=len, reverse=True)) + ")$"
+    # no filter on these columns: it would be pushed below them and their expressions repeated
     rows = rows.withColumn("_known", F.expr(ids))
-    rows = rows.withColumn("_at", F.expr(f"transform(slice(sequence(0, size(_units)), 1, size(_units)), i -> coalesce({longest}, named_struct('id', 0, 'n', 1)))"))
-    rows = rows.withColumn(
-        "_found",
-        F.expr("""aggregate(slice(sequence(0, size(_at)), 1, size(_at)), named_struct('next', 0, 's', cast('' AS string)),
-                  (a, i) -> CASE WHEN i < a.next THEN a WHEN _at[i].id = 0 THEN named_struct('next', i + 1, 's', a.s)
-                            ELSE named_struct('next', i + _at[i].n, 's', concat(a.s, '<', _at[i].id, '>')) END).s"""),
-    )
+    rows = rows.withColumn("_found", F.expr(rf"""array_join(transform(regexp_extract_all(array_join(_units, '\n'), '{pattern}', 0), x -> concat('<', _known[replace(x, '\n', ' ')], '>')), '')"""))
     rules = ", ".join(f"named_struct('rule_id', '{rule}', 'license_id', '{licence}', 'p', '{''.join(f'<{i}>' for i in ids_)}')" for rule, licence, ids_ in RULES)
     matched = F.expr(f"""aggregate(array({rules}), named_struct('s', _found, 'out', cast(array() AS array<struct<rule_id: string, license_id: string, n_matches: bigint>>)),
         (a, r) -> CASE WHEN NOT contains(a.s, r.p) THEN a ELSE named_struct('s', replace(a.s, r.p, '|'), 'out', concat(a.out, array(named_struct(

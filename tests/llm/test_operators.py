@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +89,15 @@ def test_license_rules(spark):
     ]
 
 
+@pytest.mark.parametrize("width", (20, 40, 60, 72, 100))
+def test_license_sentences_wrapped_at_any_width(spark, width):
+    text = dict(license_scan.SENTENCES)
+    wrap = lambda ids, mark: "\n".join(textwrap.fill(text[i], width, initial_indent=mark, subsequent_indent=mark) for i in ids)
+    rows = [(1, wrap((10, 11, 12), "")), (2, wrap((10,), "    ")), (3, wrap((17, 18, 19), "# ")), (4, wrap((2, 3), " * ")), (5, wrap((10,), "")[:-20])]
+    got = {(r.doc_id, r.rule_id, r.n_matches, r.sentence_ids) for r in license_scan.scan(table(spark, rows)).collect()}
+    assert got == {(1, "mit-text", 1, "10,11,12"), (2, "mit-grant", 1, "10"), (3, "gpl-2.0-header", 1, "17,18,19"), (4, "apache-2.0-header-short", 1, "2,3")}
+
+
 def test_license_empty(none, odd):
     assert license_scan.scan(none).count() == 0
     assert license_scan.scan(odd).count() == 0
