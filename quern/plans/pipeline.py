@@ -49,8 +49,8 @@ def read_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def collect_evidence(sources: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence of all kinds of sources, and the title of each source."""
-    joined = sources.join(contents, "path").select("source_id", "kind", "content")
-    blocks = page_blocks(joined.where("kind = 'html'").select("source_id", "content"), "source_id", "content").withColumn("author", F.lit(None).cast("string"))
+    joined = sources.join(contents, "path").select("source_id", "kind", "content", "traffic_keywords", "traffic_incident")
+    blocks = page_blocks(joined.where("kind = 'html'"), "source_id", "content", F.col("traffic_keywords"), F.col("traffic_incident")).withColumn("author", F.lit(None).cast("string"))
     titles = blocks.where("kind = 'headline'").groupBy("source_id").agg(F.min_by("text", "ord").alias("title"))
     pages = E.block_evidence(sources, blocks).select("evidence_id", "source_id", "evidence_kind", "claim_text", "normalized_claim", "claimant", "casualties", "extraction_confidence", F.array().cast("array<string>").alias("vehicles"))
     parts = [pages]

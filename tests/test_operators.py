@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import evidence, fusing, matching, metrics, querying, ranking, validation
+from quern.sources import html_pages
 from quern.sources.html_pages import read_blocks
 from quern.streaming.submissions import transition
 
@@ -209,5 +210,21 @@ def test_page_blocks():
     assert [(k, t) for k, _, t in got] == [("headline", "Title here"), ("article", "One two three."), ("published_time", "On 5 May 2024 it was.")]
 
 
+def test_page_blocks_of_posts_in_spans(spark):
+    long = "A bus went off the mountain road near the old bridge, {} people were killed."
+    page = (
+        f"<html><title>Somebody | Facebook</title><div><span><span>{long.format(3)}</span></span></div><span>Rice is nice, and this sentence about it is long enough to count.</span>"
+        "<div role='article'><div dir='auto'><div dir='auto'>So sad</div></div></div>"
+        f"<svg><text>{long.format(4)}</text></svg><span aria-label='Comment by A'>{long.format(5)}</span></html>"
+    )
+    got = [(k, t) for k, _, t in read_blocks(page)]
+    assert got == [("post", "So sad"), ("post", long.format(3)), ("comment", long.format(5))]
+    assert [t for k, _, t in read_blocks(page, ["rice"]) if k == "post"][-1].startswith("Rice is nice")
+    assert any(t.startswith("Rice is nice") for _, _, t in read_blocks(page, declared=True))
+    assert [k for k, _, _ in read_blocks(page.replace("Facebook", "News"))] == ["article", "article", "comment"]
+    rows = spark.createDataFrame([(1, page, ["rice"]), (2, page, None)], "id long, html string, k array<string>")
+    assert html_pages.page_blocks(rows, "id", "html", F.col("k")).groupBy("id").count().orderBy("id").collect() == [(1, 4), (2, 3)]
+
+
 def test_transitions():
     assert [transition(*x) for x in (("none", "submit"), ("pending", "approve"), ("processing", "approve"), ("ingest_failed", "review"), ("approved", "reject"))] == ["pending", None, "approved", "processing", None]
