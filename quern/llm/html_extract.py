@@ -34,9 +34,11 @@ from quern.llm.common import Words, table
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_RAW = frozenset("script style title noscript template svg iframe textarea math object".split())
+_RAW = frozenset("script style title noscript template svg iframe textarea object".split())
 _VOID = frozenset("br img hr meta link input source area base col embed track wbr param".split())
-_INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mlabeledtr mstyle mpadded mphantom mfenced menclose mmultiscripts mprescripts semantics annotation annotation-xml maction merror".split()
+)
 #: What an opening tag closes, up to the nearest element in the second list.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table select body html td th article section div".split())
@@ -47,7 +49,7 @@ def _label(tag: str, rest: str) -> tuple[str, ...]:
     out = [tag]
     for m in _ATTRIBUTE.finditer(rest):
         value = m[2] or m[3] or m[4] or ""
-        out += [f".{x.lower()}" for x in re.findall(r"[A-Za-z][a-z]+|[A-Z]+", value)[:8]]
+        out += [f".{x.lower()}" for x in re.findall(r"[A-Za-z][a-z]+|[A-Z]+", value)]
     return tuple(out)
 
 
@@ -92,10 +94,10 @@ def blocks(page: str) -> list[Block]:
                         break
                     if tag in _INLINE and stack[k][0] not in _INLINE:
                         break  # an inline end tag doesn't close blocks
-            elif tag in _RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                if not rest.rstrip().endswith("/"):
+            elif tag in _RAW:  # a slash closes a drawing, not a script
+                if not (tag == "svg" and rest.rstrip().endswith("/")):
+                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    at = end.end() if end else len(page)
                     m = _MARKUP.search(page, at)
                     continue
             elif tag not in _VOID:

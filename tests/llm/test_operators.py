@@ -381,6 +381,13 @@ def test_gradients_match_differences():
         assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-6), name
 
 
+def test_blocks_behind_closed_drawings_and_with_formulas():
+    page = '<article><p>One <svg class="i"/> two.</p><p>Sum <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> is <math/> here.</p><p>Last <svg><text>no</text></svg> one.</p><script/>no</script></article>'
+    assert [b.text for b in html_extract.blocks(page)] == ["One", "two.", "Sum a+b is here.", "Last", "one."]
+    path = html_extract.blocks('<div class="flex flex-col items-center justify-between bg-gray-100 rounded shadow-md sidebar">x</div>')[0].path
+    assert ".sidebar" in path[-1]
+
+
 def test_extraction_rows(spark):
     page = '<html><head><title>t</title><script>x("<p>")</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- c --><div class="ad">Buy now.</div><article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Four &lt;x&gt;.</p></article><footer>&copy; x</footer>'
     rows = [(1, "u", page, "x"), (2, None, None, "x"), (3, "v", "", "x"), (1, "u", page, "x"), (4, "w", "<p>" + LONG, "x")]
