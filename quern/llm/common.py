@@ -32,6 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,7 +100,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of whole rows with at most that many bytes, or one row if it alone has more."""
     at, n = 0, len(off) - 1
     while at < n:

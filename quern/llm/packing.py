@@ -4,14 +4,16 @@ Documents become token ids and an end token; only those longer than a sequence a
 so that the first piece is the shorter one.  All that decides a packing is how many pieces there are of each length: a
 table of LENGTH rows at most, whatever the input.  plan() works on these counts, on the driver:
 
-1. Longest first, a length looks up its gap in hash tables of single, pair and triple sums of the lengths that are left, and
-   takes combinations that fill it exactly, as often as the counts of all its members allow.
-2. What is left is packed by best fit, decreasing, many pieces at a time: all open sequences with the same smallest
+1. Longest first, a length takes single pieces that fill its gap exactly, as often as the counts of both allow.
+2. Pieces of a seed length and more are placed by best fit, decreasing.  Each gap they leave is looked up in a hash table of
+   pair sums, then as a triple: a single and the pair sum of the rest.  Combinations that fill it exactly are consumed as often
+   as the counts of their members allow.  All lengths take part.
+3. What is left is packed by best fit, decreasing, many pieces at a time: all open sequences with the same smallest
    sufficient gap take a piece each.
 
 The plan is a list of steps: pieces of one length with ranks [from, from + n) go to sequences [seq, seq + n) at an offset.
 Its size depends on LENGTH, not on the rows; it is broadcast and each piece finds its step by binary search.  Ranks within a
-length come from counts of hash parts and prefix sums, so that no window holds all pieces of a length.
+length come from counts of hash parts, more for more rows, and prefix sums, so that no window holds all pieces of a length.
 
 Cases: null or empty text is the end token alone; repeated rows are packed each; ties go by document and piece; an empty table
 gives an empty result; only the id and text columns are read, so other columns may have any names.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +33,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import prefix_offsets, stored, table
 
-LENGTH, END, PARTS = 1024, 2, 256
-#: Lengths tried as members of pairs and triples, the most frequent first, so that the search takes a bounded time for any
-#: input; lengths beyond them stay available as singles and for best fit.
-PAIR_LENGTHS, TRIPLE_LENGTHS = 1024, 128
+LENGTH, END = 1024, 2
+#: Rows of one length that a window ranks at a time, about; rows of ranks that are broadcast at most, more are joined.
+PART_ROWS, BROADCAST_RANKS = 1 << 22, 1 << 18
+#: Lengths, of 1024, from which on best fit places pieces before combinations fill the gaps; 0: those over half, while shorter
+#: ones may open sequences that combinations fill.
+SEEDS = (0, 513, 320, 192, 128, 96)
+#: (length, first rank, number, first sequence, offset)
+Step = tuple[int, int, int, int, int]
 
 
 @lru_cache(maxsize=1)
@@ -87,101 +93,134 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, folder: str |
     return own.mapInArrow(cut, f"_id {own.schema['_id'].dataType.simpleString()}, _piece int, _start long, _length long, _crc long")
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Steps (length, first rank, number, first sequence, offset) that place all counted pieces, and the sequences used.
-
-    A single that fills a gap exactly is never a loss, while pairs and triples may take fillers that a longer piece needs: the
-    plan with fewest sequences is kept of those with singles only, with pairs and with triples, for long pieces or for all.
-    """
-    tried = [_plan(counts, length, levels, least) for levels in (1, 2, 3) for least in (length // 2, 0)]
-    return min(tried, key=lambda x: x[1])
-
-
-def _plan(counts: dict[int, int], length: int, levels: int, least: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """A plan in which lengths over least take exact combinations of up to that many others."""
-    left = Counter({k: v for k, v in counts.items() if v > 0})
-    used: Counter = Counter()
-    steps: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def place(members: list[int], n: int) -> int:
-        nonlocal sequences
-        at = 0
-        for x in members:
-            steps.append((x, used[x], n, sequences, at))
-            used[x] += n
-            left[x] -= n
-            at += x
-        sequences += n
-        return sequences - n
-
-    if left[length]:
-        place([length], left[length])
-    often = sorted((x for x in left if left[x] > 0 and x < length), key=lambda x: (-left[x], x))
-    some, few = sorted(often[:PAIR_LENGTHS], reverse=True), sorted(often[:TRIPLE_LENGTHS], reverse=True)
-    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # sum -> its pairs
-    for i, a in enumerate(some if levels > 1 else ()):
-        for b in some[i:]:
-            if a + b < length:
-                pairs[a + b].append((a, b))
-    triples: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for i, a in enumerate(few if levels > 2 else ()):
-        for j, b in enumerate(few[i:], i):
-            for c in few[j:]:
-                if a + b + c < length:
-                    triples[a + b + c].append((a, b, c))
-    singles = {x: [(x,)] for x in left}
-    for x in sorted((x for x in left if left[x] > 0 and x > least), reverse=True):
-        for table_ in (singles, pairs, triples):
-            for members in table_.get(length - x, ()):
-                if left[x] <= 0:
+def plan(counts: dict[int, int], length: int = LENGTH) -> _Plan:
+    """The steps that place all counted pieces, and the number of sequences they use.
+
+    Which pieces best fit should place before combinations fill the gaps depends on the lengths there are, so each of SEEDS is
+    tried, with the largest and with the smallest gaps first; of plans with equally few sequences one with triples, then the one
+    with most combinations, is taken."""
+    tried = [_Plan(counts, length).made(seed * length // 1024, largest) for seed in SEEDS for largest in (True, False)]
+    return min(tried, key=lambda x: (x.sequences, x.filled[3] == 0, -x.filled[2] - x.filled[3]))
+
+
+class _Plan:
+    """Open sequences by gap, and the pieces that are left, as counts of each length."""
+
+    def __init__(self, counts: dict[int, int], length: int):
+        self.length, self.sequences = length, 0
+        self.left, self.used = np.zeros(length + 1, np.int64), np.zeros(length + 1, np.int64)
+        for x, n in counts.items():
+            self.left[x] += n
+        self.steps: list[Step] = []
+        self.gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> (first sequence, number)
+        self.filled: Counter = Counter()  # members of the combination -> gaps filled exactly
+
+    def made(self, seed: int, largest: bool) -> _Plan:
+        self.open(self.length, int(self.left[self.length]))
+        for x in range(self.length - 1, self.length // 2, -1):  # an exact partner is never a loss
+            n = int(min(self.left[x], self.left[self.length - x]))
+            if n:
+                self.open(x, n)
+                self.fill(self.length - x, (self.length - x,))
+        self.best_fit(seed or self.length // 2 + 1)
+        self.combine(largest, not seed)
+        self.best_fit(1)
+        return self
+
+    def open(self, x: int, n: int, times: int = 1) -> None:
+        """n new sequences that begin with so many pieces of length x."""
+        if not n:
+            return
+        for k in range(times):
+            self.place(x, n, self.sequences, k * x)
+        if self.length - times * x:
+            self.gaps[self.length - times * x].append((self.sequences, n))
+        self.sequences += n
+
+    def place(self, x: int, n: int, first: int, at: int) -> None:
+        self.steps.append((x, int(self.used[x]), n, first, at))
+        self.used[x] += n
+        self.left[x] -= n
+
+    def fill(self, gap: int, members: tuple[int, ...]) -> None:
+        """Members into the open sequences with that gap, as often as both last; what is left of a gap stays open."""
+        n = min(int(self.left[m]) // k for m, k in Counter(members).items())
+        while n and self.gaps[gap]:
+            first, there = self.gaps[gap].pop()
+            take, at = min(n, there), self.length - gap
+            for m in members:
+                self.place(m, take, first, at)
+                at += m
+            if at < self.length:
+                self.gaps[self.length - at].append((first, take))
+            else:
+                self.filled[len(members)] += take
+            if there > take:
+                self.gaps[gap].append((first + take, there - take))
+            n -= take
+
+    def combine(self, largest: bool, opening: bool) -> None:
+        """Fill gaps exactly, then, if opening, those of shorter pieces that open sequences of their own: by pairs, looked up by their sum, then by triples, a single and the pair sum of what it leaves, then
+        by singles, which best fit would find as well.  Of combinations with one sum the most even come first: they leave the
+        smallest pieces, which fit anywhere."""
+        lengths = np.flatnonzero(self.left).tolist()
+        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, a in enumerate(lengths):
+            for b in lengths[: i + 1]:
+                if a + b > self.length:
                     break
-                need = Counter((x, *members))
-                n = min(left[m] // k for m, k in need.items())
-                if n > 0:
-                    place([x, *members], n)
-
-    # best fit, decreasing: open sequences by gap, as (first sequence, number)
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for x in sorted((x for x in left if left[x] > 0), reverse=True):
-        while left[x] > 0:
-            gap = min((g for g in gaps if g >= x and gaps[g]), default=None)
-            if gap is None:
-                each = length // x  # as many as fit into a new one
-                n = left[x] // each or 1
-                k = each if left[x] >= each else left[x]
-                first = sequences
-                for i in range(k):
-                    steps.append((x, used[x], n, first, i * x))
-                    used[x] += n
-                    left[x] -= n
-                sequences += n
-                if length - k * x:
-                    gaps[length - k * x].append((first, n))
-                continue
-            first, n = gaps[gap].pop()
-            take = min(n, left[x])
-            steps.append((x, used[x], take, first, length - gap))
-            used[x] += take
-            left[x] -= take
-            if gap > x:
-                gaps[gap - x].append((first, take))
-            if n > take:
-                gaps[gap].append((first + take, n - take))
-    return steps, sequences
+                pairs[a + b].append((b, a))
+        by_sum = {s: np.array(x) for s, x in pairs.items()}
+        none = np.zeros((0, 2), np.int64)
+
+        def available(total: int) -> list[tuple[int, int]]:
+            p = by_sum.get(total, none)
+            return p[(self.left[p] > 0).all(axis=1) & ((p[:, 0] != p[:, 1]) | (self.left[p[:, 0]] > 1))].tolist()
+
+        def fill(gap: int, triple: bool, limit: Callable[[int], bool]) -> None:
+            for a in reversed([x for x in lengths if 3 * x <= gap]) if triple else (0,):
+                if not limit(gap):
+                    break
+                if not a or self.left[a]:
+                    for b, c in available(gap - a):
+                        if b >= a:
+                            members = (c, b, a) if a else (c, b)
+                            if opening and not self.gaps[gap]:  # open as many as the combination fills
+                                x = self.length - gap
+                                n = min(int(self.left[m]) // k for m, k in Counter((x, *members)).items())
+                                self.open(x, n)
+                            self.fill(gap, members)
+
+        for triple in (False, True):
+            for gap in sorted((g for g in self.gaps if self.gaps[g]), reverse=largest):
+                fill(gap, triple, lambda g: bool(self.gaps[g]))
+            for x in reversed(lengths) if opening else ():
+                if x < self.length:
+                    fill(self.length - x, triple, lambda g: bool(self.gaps[g] or self.left[self.length - g]))
+
+    def best_fit(self, least: int) -> None:
+        """Pieces of at least that length, the longest first, into the smallest gap that holds them."""
+        for x in range(self.length, max(least, 1) - 1, -1):
+            while self.left[x]:
+                gap = min((g for g in self.gaps if g >= x and self.gaps[g]), default=None)
+                if gap is not None:
+                    self.fill(gap, (x,))
+                    continue
+                left, each = int(self.left[x]), self.length // x  # as many as fit into a new one
+                self.open(x, *((left // each, each) if left >= each else (1, left)))
 
 
 def pack(docs: DataFrame, length: int = LENGTH, end: int = END, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = pieces(docs, length, end, folder, id_col, text_col).withColumn("_part", F.pmod(F.xxhash64("_id", "_piece"), F.lit(PARTS)).cast("int"))
-    cut = stored(cut, "pieces").withColumn("_one", F.lit(1))
-    before = stored(prefix_offsets(cut, ["_length"], "_part", "_one"), "ranks")  # LENGTH x PARTS rows at most
-    counts = {r["_length"]: r["n"] for r in cut.groupBy("_length").agg(F.sum("_one").alias("n")).collect()}  # LENGTH rows at most
-    steps, _ = plan(counts, length)
-    steps.sort()
+    cut = stored(pieces(docs, length, end, folder, id_col, text_col), "pieces")
+    counts = {r["_length"]: r["n"] for r in cut.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).collect()}  # length rows at most
+    parts = max(64, sum(counts.values()) // PART_ROWS)
+    cut = cut.withColumns({"_part": F.pmod(F.xxhash64("_id", "_piece", "_start"), F.lit(parts)).cast("int"), "_one": F.lit(1)})
+    before = stored(prefix_offsets(cut, ["_length"], "_part", "_one"), "ranks")  # lengths x parts rows at most
+    steps = sorted(plan(counts, length).steps)
     by = docs.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in zip(*steps, strict=True)) if steps else ())
     rank = F.row_number().over(Window.partitionBy("_length", "_part").orderBy("_id", "_piece", "_start")) - 1
-    ranked = cut.withColumn("_r", rank).join(F.broadcast(before), ["_length", "_part"])
+    ranked = cut.withColumn("_r", rank).join(F.broadcast(before) if len(counts) * parts <= BROADCAST_RANKS else before, ["_length", "_part"])
     ranked = ranked.select("_id", "_piece", "_start", "_length", "_crc", (F.col("_r") + F.col("_before")).cast("long").alias("_rank"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

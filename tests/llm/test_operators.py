@@ -289,7 +289,8 @@ def test_plan_places_everything_once():
     for trial in range(12):
         length = rng.choice((8, 64, 1024))
         counts = {rng.randint(1, length): rng.randint(0, 40) for _ in range(rng.randint(0, 80))}
-        steps, used = packing.plan(counts, length)
+        made = packing.plan(counts, length)
+        steps, used = made.steps, made.sequences
         ranks, filled = defaultdict(list), defaultdict(list)
         for x, first, n, seq, at in steps:
             for k in range(n):
@@ -307,9 +308,24 @@ def test_plan_places_everything_once():
 
 
 def test_plan_takes_exact_complements():
-    assert packing.plan({7: 5, 3: 5}, 10)[1] == 5
-    assert packing.plan({6: 4, 3: 4, 1: 4}, 10)[1] == 4
-    assert packing.plan({5: 2, 3: 2, 1: 4}, 10)[1] == 2
+    assert packing.plan({7: 5, 3: 5}, 10).sequences == 5
+    assert packing.plan({6: 4, 3: 4, 1: 4}, 10).sequences == 4
+    assert packing.plan({5: 2, 3: 2, 1: 4}, 10).sequences == 2
+
+
+def test_plan_of_the_tables_fills_gaps_by_pairs_and_triples(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toArrow().column(0).to_pylist()
+    encode = packing._encoder(None)
+    counts = Counter(n for t in texts for _, n in packing.cuts(len(encode(t or "")) + 1))
+    made = packing.plan(counts)
+    assert made.sequences <= 964 and made.filled[2] > 0 and made.filled[3] > 0
+
+
+def test_plan_of_many_pieces_takes_few_steps():
+    rng = random.Random(9)
+    counts = {x: rng.randrange(1, 10**6) for x in range(1, 1025)}
+    made = packing.plan(counts)
+    assert len(made.steps) < 10_000 and made.sequences <= 1.03 * sum(x * n for x, n in counts.items()) / 1024
 
 
 def test_encoder_gives_the_ids_of_the_tokenizers_file(spark):
@@ -317,7 +333,10 @@ def test_encoder_gives_the_ids_of_the_tokenizers_file(spark):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [t[0] for t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["", " ", "<|endoftext|> x", "a b​ c", "1234567 89", "\n\n\n  x", "日本語 🎉 ß"]
+    texts = [t[0] for t in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["", " ", "<|endoftext|> x", "a b​ c", "1234567 89", "\n\n\n  x", "日本語 🎉 ß"]
+    rng = random.Random(11)
+    planes = ((32, 127), (32, 127), (0, 48), (160, 0x250), (0x300, 0x370), (0x400, 0x500), (0x900, 0xA00), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x5000), (0xFF00, 0xFFF0), (0x1F300, 0x1F700))
+    texts += ["".join(chr(rng.randrange(*rng.choice(planes))) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
     encode = packing._encoder(None)
     assert all(encode(t or "").tolist() == slow.encode(t or "", add_special_tokens=False).ids for t in texts)
 
@@ -417,6 +436,40 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(r.text for r in exact_dedup.drop_exact_duplicates(rows).collect()) == ["a", "b", "c"]
 
 
+def test_exact_dedup_keeps_the_longest_of_rows_that_repeat_an_id(spark):
+    rows = table(spark, [(1, "a b"), (1, "a    b"), (2, "ab"), (2, "c"), (2, "c"), (None, None), (None, " ")])
+    assert sorted((r.n_chars for r in exact_dedup.exact_duplicates(rows).collect() if r.kept)) == [1, 1, 6]
+    for _ in range(2):
+        assert sorted(r.text for r in exact_dedup.drop_exact_duplicates(rows.repartition(3)).collect()) == [" ", "a    b", "c"]
+
+
+def test_exact_dedup_leaves_columns_with_clashing_names(spark):
+    schema = "doc_id long, text string, _gone string, _GONE_ string, _kdigest string, _kid int, _row int"
+    rows = [(1, "a", "x", "y", "z", 7, 8), (2, "a", "x", "y", "z", 7, 8), (3, "b", "x", "y", "z", 7, 8)]
+    for more in ([], [(3, "b", "x", "y", "z", 7, 8)]):
+        kept = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows + more, schema))
+        assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]] and kept.columns == [c.split()[0] for c in schema.split(", ")]
+
+
+def test_exact_dedup_merges_runs_in_rounds_of_pairs(spark):
+    """Records of one digest in every run: each round halves the runs that hold it."""
+    rows = [(i, "same") for i in range(500)] + [(1000 + i, f"t{i % 40}") for i in range(300)]
+    records = exact_dedup.records_of(table(spark, rows), "doc_id", "text")
+    merged = {bytes(r["_digest"]): r for r in exact_dedup.merge_runs(records).collect()}
+    assert len(merged) == 41
+    hot = merged[hashlib.sha256(b"same").digest()]
+    assert (hot["_keep"], hot["_size"], hot["_runs"]) == (0, 500, (1 << exact_dedup.RUNS) - 1)
+    assert all(merged[hashlib.sha256(f"t{k}".encode()).digest()]["_keep"] == 1000 + k for k in range(40))
+    plan = exact_dedup.merge_runs(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == exact_dedup.RUNS.bit_length() - 1
+
+
+def test_exact_dedup_of_text_ids(spark):
+    rows = spark.createDataFrame([("b", "x y"), ("a", "xy"), (None, "z"), ("c", None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in exact_dedup.exact_duplicates(rows).collect()) == [("None", "None", True), ("a", "b", False), ("b", "b", True), ("c", "c", True)]
+    assert exact_dedup.drop_exact_duplicates(rows).count() == 3
+
+
 def test_exact_dedup_large_group(spark):
     rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(3000)]
     got = exact_dedup.exact_duplicates(table(spark, rows)).collect()
