@@ -1,46 +1,66 @@
 """MinHash near-dedup with tensored banding.
 
-A text's set is its distinct hashed word shingles.  Rows with the same set form a class; the rest works on one
-representative of each class, so that thousands of copies count once.
+A text's set is its distinct hashed word shingles.  Rows with the same set (size and 128-bit digest of the sorted set) form a
+class; the rest works on one representative of each class, so that thousands of copies count once.
 
 Keys: two collections of TABLES small hashes, each of WIDTH minhashes.  Every pair (i, j) of one hash of the first and one of
 the second is a table, so TABLES^2 tables of 2 * WIDTH minhashes each come from 2 * TABLES * WIDTH minhashes computed: at a
-similarity of 0.8 two sets share no table with probability 1 - (1 - (1 - 0.8^WIDTH)^TABLES)^2.
+similarity of s two sets share no table with probability 1 - (1 - (1 - s^WIDTH)^TABLES)^2, 4e-4 at 0.8.  Under a similarity
+parameter far below 0.8 more tables are needed for that.
 
 Buckets: those with two members give their pair.  Larger ones give a star from the member that meets most others.  After those
 links are verified and joined into components, only buckets whose members are still in different components go on: their
-members are compared in blocks, see _crossing.  So a large group of near copies costs about as many pairs as it has members,
-and no link between components is lost: nothing is capped.
+members are compared in blocks within the bucket, a pair in the first of the tables it shares only, see _crossing.  So a
+large group of near copies costs about as many pairs as it has members, and no link between components is lost: nothing is
+capped.
 
-Verification is exact: a sketch of one byte of each minhash sets aside pairs with fewer than SKETCH_LEAST equal ones (at 0.8
-that is one true pair in a million) and sizes that rule out the similarity, then the full sets are compared.
+Verification: a sketch of one byte of each minhash sets aside pairs with fewer equal ones than sketch_least tells (one true
+pair in a million) and sizes that rule out the similarity, then the full sets of 64-bit shingle hashes are compared.
 
 Components: smallest-label propagation with shortcuts over written edge tables.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing; texts with fewer words than
-a shingle are one shingle; equal sets are linked; rows with the same id are one node; an empty table gives an empty result;
-only the id and text columns are read, so other columns may have any names.
+a shingle are one shingle; equal sets are linked; rows with the same id are one node; a null id is an id like any other and sorts
+first; ids that aren't whole numbers, or repeat, are told apart by a hash of id and set of 64 bits, and a group's smallest id is
+that in their own order; an empty table gives an empty result; only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quern.llm.common import mix, scan_words, shingles, stored, table
+from quern.llm.common import fresh, mix, scan_words, shingles, stored, table
 
-WIDTH, TABLES, SIMILARITY = 2, 8, 80
+WIDTH, TABLES, SIMILARITY = 3, 12, 80
 HASHES = 2 * WIDTH * TABLES
-SKETCH_LEAST = 14
 #: Members of a bucket that are compared with one another in one piece.
-BLOCK = 512
-#: Ids that are broadcast to fetch their texts; more are joined.
+BLOCK = 256
+#: Ids that are broadcast to fetch their texts, or to drop rows; more are joined.
 BROADCAST_IDS = 500_000
-SET = ["_n", "_set1", "_set2"]
+SET = ["_n", "_set"]
+#: The node of a null id: the smallest of all.
+NULL_ID = -(2**63)
+
+
+@lru_cache
+def sketch_least(similarity: int) -> int:
+    """Equal sketch bytes that all but one in a million pairs of that similarity have."""
+    p, below = similarity / 100, 0.0
+    for k in range(HASHES + 1):
+        below += comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if below > 1e-6:
+            return k
+    return HASHES
 
 
 def _multipliers() -> np.ndarray:
@@ -49,7 +69,7 @@ def _multipliers() -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """docs (_id, _text) -> _id, size and two hashes of the set, minhash keys of both collections, sketch."""
+    """docs (_own, _text) -> _own, size and digest of the set, small hashes of both collections, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _multipliers()
@@ -59,41 +79,63 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 low = np.full((b - a, HASHES), 0, np.uint32)
-                sums = np.zeros((2, b - a), np.uint64)
                 with np.errstate(over="ignore"):
                     if len(full):
                         at = bounds[:-1][full]
                         for k in range(HASHES):
                             low[full, k] = np.minimum.reduceat(((values * odd[k] + odd[HASHES + k]) >> np.uint64(32)).astype(np.uint32), at)
-                        sums[0, full] = np.add.reduceat(values, at)
-                        sums[1, full] = np.add.reduceat(mix(values ^ odd[0]), at)
                     keys = np.zeros((b - a, 2 * TABLES), np.uint64)
                     for k in range(2 * TABLES):
                         for x in range(WIDTH):
                             keys[:, k] = mix(keys[:, k] ^ (low[:, k * WIDTH + x] + np.uint64(k << 40)))
-                keys = keys.view(np.int64)
-                halves = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(keys[:, s]).reshape(-1)), TABLES).cast(pa.list_(pa.int64())) for s in (slice(0, TABLES), slice(TABLES, None))]
+                keys = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                halves = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(keys[:, s]).reshape(-1)), TABLES).cast(pa.list_(pa.int32())) for s in (slice(0, TABLES), slice(TABLES, None))]
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(HASHES), b - a, [None, pa.py_buffer(np.ascontiguousarray((low & 255).astype(np.uint8)))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *halves, sketch], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), _digests(values, bounds), *halves, sketch], names)
 
-    names = ["_id", *SET, "_a", "_b", "_sketch"]
-    return docs.mapInArrow(sign, "_id long, _n long, _set1 long, _set2 long, _a array<long>, _b array<long>, _sketch binary")
+    names = ["_own", *SET, "_a", "_b", "_sketch"]
+    return docs.mapInArrow(sign, f"_own {docs.schema['_own'].dataType.simpleString()}, _n long, _set binary, _a array<int>, _b array<int>, _sketch binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """docs (_id, _text) -> _id, _values: the sorted set as bytes."""
+def _digests(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    raw = memoryview(values).cast("B") if len(values) else b""
+    return pa.array([hashlib.blake2b(raw[8 * s : 8 * e], digest_size=16).digest() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, w in scan_words(batch.column(1)):
-                values, bounds = shingles(w, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["_id", "_values"])
 
-    return docs.mapInArrow(collect, "_id long, _values binary")
+@dataclass
+class Texts:
+    """rows (_own, _text), and what was signed of them; a node (_id) is an id if ids are different whole numbers, else the hash of
+    an id and its set."""
+
+    rows: DataFrame
+    signed: DataFrame
+    words: int
+    whole: bool
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """_id, _values: the sorted set of each of those nodes as bytes."""
+        ids = stored(ids, "ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        if self.whole:
+            wanted = self.rows.withColumn("_id", _node(F.col("_own"))).join(ids, "_id", "left_semi").select("_own", "_text")
+        else:
+            owners = stored(self.signed.join(ids, "_id", "left_semi").select(F.col("_own").alias("_owner")).distinct(), "owners")
+            wanted = self.rows.join(owners, F.col("_own").eqNullSafe(F.col("_owner")), "left_semi").select("_own", "_text")
+        words = self.words
 
+        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, w in scan_words(batch.column(1)):
+                    values, bounds = shingles(w, words)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _digests(values, bounds), pa.array([values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["_own", "_set", "_values"])
 
-def _alike(left: bytes, right: bytes) -> bool:
-    return sum(x == y for x, y in zip(left, right, strict=True)) >= SKETCH_LEAST
+        found = wanted.mapInArrow(collect, f"_own {self.rows.schema['_own'].dataType.simpleString()}, _set binary, _values binary")
+        found = found.select((_node(F.col("_own")) if self.whole else F.xxhash64("_own", "_set")).alias("_id"), "_values")
+        return stored(found if self.whole else found.join(ids, "_id", "left_semi").dropDuplicates(["_id"]), "sets")
+
+
+def _node(own: Column) -> Column:
+    return F.coalesce(own.cast("long"), F.lit(NULL_ID))
 
 
 def promising(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -103,25 +145,20 @@ def promising(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     right = own.select(F.col("_id").alias("_r"), F.col("_n").alias("_rn"), F.col("_sketch").alias("_rs"))
     both = pairs.join(left, "_l").join(right, "_r").where(f"100 * least(_ln, _rn) >= {similarity} * greatest(_ln, _rn)")
 
+    least = sketch_least(similarity)
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-                yield batch.select(["_l", "_r"]).filter(pa.array((left == right).sum(axis=1) >= SKETCH_LEAST))
+                yield batch.select(["_l", "_r"]).filter(pa.array((left == right).sum(axis=1) >= least))
 
     return both.select("_l", "_r", "_ls", "_rs").mapInArrow(alike, "_l long, _r long")
 
 
-def _fetched(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """_id, _values of those ids; of texts that share an id the one whose set's bytes come first."""
-    ids = stored(ids, "ids")
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
-    return stored(_sets(wanted, words).groupBy("_id").agg(F.min("_values").alias("_values")), "sets")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: Texts, similarity: int) -> DataFrame:
     """Those pairs whose full sets have the similarity."""
-    sets = _fetched(pairs.select(F.col("_l").alias("_id")).union(pairs.select("_r")).distinct(), docs, words)
+    sets = texts.sets(pairs.select(F.col("_l").alias("_id")).union(pairs.select("_r")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,54 +220,60 @@ def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame | None:
+def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Texts, similarity: int) -> DataFrame | None:
     """Links (_l, _r) between members of a bucket that are in different components; None if each bucket is in one.
 
-    Buckets that share members form a family, so that a pair that meets in many tables is compared once.  A family is cut into
-    blocks of its main component and of the others; each block of others meets each block in one piece.  A piece compares whole
+    A bucket is cut into blocks of its main component and of the others; each block of others meets each block in one piece.  A
+    pair that shares several tables is compared in the first of them only, told from its small hashes.  A piece compares whole
     sets and gives at most one link for each component that it joins: pairs are never rows.
     """
     known = _labelled(members, labels)
-    state = known.groupBy("_key").agg(F.min("_label").alias("_least"), F.max("_label").alias("_last"), F.min("_id").alias("_first"))
-    state = stored(state.where("_least != _last").select("_key", "_first"), "open")
+    counts = known.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_c"))
+    state = counts.groupBy("_key").agg(F.max(F.struct("_c", "_label")).alias("_m"), F.sum("_c").alias("_all")).where("_m._c < _all")
+    state = stored(state.selectExpr("_key", "_m._label AS _main", f"cast(ceil((_all - _m._c) / {BLOCK}) AS int) AS _no", f"cast(ceil(_m._c / {BLOCK}) AS int) AS _nm"), "open")
     if not state.limit(1).count():
         return None
-    rows = stored(known.join(state, "_key").select("_first", "_id", "_label"), "rows")
-    families = components(rows.select(F.col("_first").alias("_l"), F.col("_id").alias("_r"))).withColumnRenamed("_label", "_family")
-    own = stored(rows.select("_id", "_label").distinct().join(families, "_id", "left").withColumn("_family", F.coalesce("_family", "_id")), "family")
-    main = own.groupBy("_family", "_label").count().groupBy("_family").agg(F.max(F.struct("count", "_label")).alias("_m")).select("_family", F.col("_m._label").alias("_main"))
-    own = own.join(main, "_family").withColumn("_other", F.col("_label") != F.col("_main"))
-    size = own.groupBy("_family").agg(F.ceil(F.sum(F.col("_other").cast("int")) / BLOCK).cast("int").alias("_no"), F.ceil(F.sum((~F.col("_other")).cast("int")) / BLOCK).cast("int").alias("_nm"))
-    own = own.join(size, "_family").withColumn("_at", F.expr("cast(pmod(xxhash64(_id), if(_other, _no, _nm)) as int)"))
+    own = known.join(state, "_key").withColumn("_other", F.col("_label") != F.col("_main")).withColumn("_at", F.expr("cast(pmod(xxhash64(_id), if(_other, _no, _nm)) as int)"))
     spread = F.expr("""if(_other, concat(transform(sequence(0, _no - 1), x -> named_struct('p', least(x, _at), 'q', greatest(x, _at), 'm', false)),
                                          transform(sequence(0, _nm - 1), x -> named_struct('p', _at, 'q', x, 'm', true))),
                               transform(sequence(0, _no - 1), x -> named_struct('p', x, 'q', _at, 'm', true)))""")
-    pieces = own.where("_no > 0").withColumn("_piece", F.explode(spread)).withColumn("_piece", F.xxhash64("_family", "_piece.p", "_piece.q", "_piece.m"))
-    pieces = pieces.select("_piece", "_id", "_label", "_other").join(reps.select("_id", "_n", "_sketch"), "_id")
-    pieces = pieces.select("_piece", "_id", "_label", "_other", "_n", "_sketch").repartition("_piece").sortWithinPartitions("_piece", "_id")
+    pieces = own.withColumn("_p", F.explode(spread)).withColumn("_piece", F.xxhash64("_key", "_p.p", "_p.q", "_p.m"))
+    pieces = pieces.select("_piece", "_id", "_label", "_other", "_at", "_t").join(reps.select("_id", "_n", "_sketch", "_a", "_b"), "_id")
+    pieces = pieces.select("_piece", "_id", "_label", "_other", "_at", "_t", "_n", "_sketch", "_a", "_b").repartition("_piece").sortWithinPartitions("_piece", "_id")
+    least = sketch_least(similarity)
+
+    def meets(label: np.ndarray, other: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
+        """Which members of the piece member i is compared with: the main component's, or the other block's, or all of its own."""
+        if not other.all():
+            return (label != label[i]) & ~other
+        return (label != label[i]) & ((at != at[i]) | (at == at[0]).all())
 
     def promising_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_piece(batches):
-            label, other, n = (rows.column(i).to_numpy() for i in (2, 3, 4))
-            sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
+            label, other, at, n = (rows.column(i).to_numpy() for i in (2, 3, 4, 6))
+            first = rows.column(5)[0].as_py()
+            sketch = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
+            half = [rows.column(k).combine_chunks().flatten().to_numpy().reshape(-1, TABLES) for k in (8, 9)]
             keep = np.zeros(len(label), bool)
             for i in np.flatnonzero(other):
-                ok = (label != label[i]) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]))
-                js = np.flatnonzero(ok)
-                js = js[(sketch[js] == sketch[i]).sum(axis=1) >= SKETCH_LEAST]
-                keep[js] = True
-                keep[i] |= len(js) > 0
+                js = np.flatnonzero(meets(label, other, at, i) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
+                js = js[(sketch[js] == sketch[i]).sum(axis=1) >= least]
+                if len(js):
+                    a, b = ((h[js] == h[i]).argmax(axis=1) for h in half)
+                    js = js[a * TABLES + b == first]
+                    keep[js] = True
+                    keep[i] |= len(js) > 0
             if keep.any():
-                yield from rows.select(["_piece", "_id", "_label", "_other"]).filter(pa.array(keep)).to_batches()
+                yield from rows.select(["_piece", "_id", "_label", "_other", "_at"]).filter(pa.array(keep)).to_batches()
 
-    hopeful = stored(pieces.mapInArrow(promising_members, "_piece long, _id long, _label long, _other boolean"), "hopeful")
-    sets = _fetched(hopeful.select("_id").distinct(), docs, words)
-    whole = hopeful.join(sets, "_id").select("_piece", "_id", "_label", "_other", "_values").repartition("_piece").sortWithinPartitions("_piece", "_id")
+    hopeful = stored(pieces.mapInArrow(promising_members, "_piece long, _id long, _label long, _other boolean, _at int"), "hopeful")
+    sets = texts.sets(hopeful.select("_id").distinct())
+    whole = hopeful.join(sets, "_id").select("_piece", "_id", "_label", "_other", "_at", "_values").repartition("_piece").sortWithinPartitions("_piece", "_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_piece(batches):
-            ids, label, other = (rows.column(i).to_numpy() for i in (1, 2, 3))
-            values = [np.frombuffer(x, np.uint64) for x in rows.column(4).to_pylist()]
+            ids, label, other, at = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+            values = [np.frombuffer(x, np.uint64) for x in rows.column(5).to_pylist()]
             n = np.array([len(x) for x in values])
             _, index = np.unique(np.concatenate(values), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum(n)])
@@ -249,7 +292,7 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
                 mark[mine] = True
                 same = np.add.reduceat(mark[index].astype(np.int32), starts[:-1])
                 mark[mine] = False
-                for j in np.flatnonzero((label != label[i]) & (100 * same >= similarity * (n + n[i] - same))):
+                for j in np.flatnonzero(meets(label, other, at, i) & (100 * same >= similarity * (n + n[i] - same))):
                     a, b = root(int(label[i])), root(int(label[j]))
                     if a != b:
                         joined[max(a, b)] = min(a, b)
@@ -263,42 +306,60 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = stored(signatures(docs, words), "signatures")
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    signed = stored(signatures(rows, words), "signatures")
+    repeats = bool(signed.groupBy("_own").count().where("count > 1").limit(1).count())
+    whole = isinstance(kind, IntegralType) and not repeats
+    signed = signed.withColumn("_id", _node(F.col("_own")) if whole else F.xxhash64("_own", "_set"))
+    texts = Texts(rows, signed, words, whole)
     classes = stored(signed.where("_n > 0").groupBy(*SET).agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size")), "classes")
-    reps = stored(signed.join(classes.select(F.col("_rep").alias("_id"), *SET), ["_id", *SET], "left_semi").dropDuplicates(["_id", *SET]), "reps")
-
-    # rows that share an id are one node, whatever their texts
-    shared = signed.where("_n > 0").join(classes, SET).where("_id != _rep").join(reps.select("_id"), "_id", "left_semi").select(F.col("_id").alias("_l"), F.col("_rep").alias("_r"))
+    reps = stored(signed.join(classes.select(F.col("_rep").alias("_id"), *SET), ["_id", *SET], "left_semi").dropDuplicates(["_id"]).drop("_own"), "reps")
 
-    keys = reps.select("_id", F.explode(F.expr(f"flatten(transform(sequence(0, {TABLES - 1}), i -> transform(sequence(0, {TABLES - 1}), j -> xxhash64(_a[i], _b[j], i * {TABLES} + j))))")).alias("_key"))
+    table_keys = f"flatten(transform(sequence(0, {TABLES - 1}), i -> transform(sequence(0, {TABLES - 1}), j -> xxhash64(_a[i], _b[j], i * {TABLES} + j))))"
+    keys = reps.select("_id", F.posexplode(F.expr(table_keys)).alias("_t", "_key"))
     buckets = stored(keys.groupBy("_key").agg(F.min("_id").alias("_l"), F.max("_id").alias("_r"), F.count(F.lit(1)).alias("_k")).where("_k > 1"), "buckets")
     members = stored(keys.join(buckets.where("_k > 2").select("_key", "_k"), "_key"), "members")
     # the centre of a star: the member that meets most others, in all tables together
     degree = members.groupBy("_id").agg(F.sum("_k").alias("_d"))
-    centres = stored(members.join(degree, "_id").groupBy("_key").agg(F.max(F.struct("_d", (-F.col("_id")).alias("_i"))).alias("_c")).select("_key", (-F.col("_c._i")).alias("_c")), "centres")  # written, so that a hot bucket's join can be split
+    centres = stored(members.join(degree, "_id").groupBy("_key").agg(F.max(F.struct("_d", F.bitwise_not("_id").alias("_i"))).alias("_c")).select("_key", F.bitwise_not("_c._i").alias("_c")), "centres")  # written, so that a hot bucket's join can be split
     stars = members.join(centres, "_key").select(F.least("_c", "_id").alias("_l"), F.greatest("_c", "_id").alias("_r"))
-    members = members.select("_key", "_id")
+    members = members.select("_key", "_t", "_id")
     pairs = buckets.where("_k = 2").select("_l", "_r").union(stars).where("_l != _r").distinct()
 
-    nodes = reps.dropDuplicates(["_id"]) if shared.limit(1).count() else reps
-    pairs = stored(promising(pairs, nodes, similarity), "pairs")
-    edges = stored(verify(pairs, docs, words, similarity).union(shared.distinct()), "links")
+    pairs = stored(promising(pairs, reps, similarity), "pairs")
+    edges = verify(pairs, texts, similarity)
+    if not whole:  # nodes of one id, and of one set, are linked
+        for key in (["_own"], SET):
+            same = signed.where("_n > 0" if key == SET else "true").groupBy(*key).agg(F.min("_id").alias("_r"))
+            on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in key]
+            edges = edges.union(signed.select("_id", *key).distinct().alias("x").join(stored(same, "same").alias("y"), on).select(F.col("_id").alias("_l"), "_r"))
+    edges = stored(edges, "links")
     labels = components(edges)
-    more = _crossing(members, labels, nodes, docs, words, similarity)
+    more = _crossing(members, labels, reps, texts, similarity)
     if more is not None:
         labels = components(more.union(labels.select(F.col("_label").alias("_l"), F.col("_id").alias("_r"))))
 
     labels = stored(labels, "labels")
-    named = stored(_labelled(classes.withColumnRenamed("_rep", "_id"), labels).select(*SET, "_label"), "named")
-    result = signed.select("_id", *SET).join(named, SET, "left").withColumn("_label", F.coalesce("_label", "_id"))
-    return result.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_label").alias("component_id"), (F.col("_id") == F.col("_label")).alias("kept"))
+    if whole:
+        named = stored(_labelled(classes.withColumnRenamed("_rep", "_id"), labels).select(*SET, "_label"), "named")
+        result = signed.select("_id", "_own", *SET).join(named, SET, "left").withColumn("_label", F.coalesce("_label", "_id"))
+    else:
+        result = _labelled(signed.select("_id", "_own", "_n"), labels)
+    if whole:
+        group = F.when(F.col("_label") != NULL_ID, F.col("_label")).cast(kind)
+    else:
+        result = stored(result, "labelled")
+        least = stored(result.groupBy("_label").agg(F.min(F.struct("_own")).alias("_least")), "least")
+        result, group = result.join(least, "_label"), F.col("_least._own")
+    return result.select(F.col("_own").alias(id_col), F.col("_n").alias("n_shingles"), group.alias("component_id"), F.col("_own").eqNullSafe(group).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with the columns of docs."""
-    gone = near_duplicates(docs, words, similarity, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each group, with the columns of docs; few ids are broadcast, more are joined."""
+    name = fresh(docs, "_gone")
+    gone = stored(near_duplicates(docs, words, similarity, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(name)).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

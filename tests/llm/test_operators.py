@@ -543,6 +543,64 @@ def test_near_dedup_odd_rows(spark, odd, none):
     assert near_dedup.drop_near_duplicates(odd, words=2).columns == odd.columns
 
 
+def test_near_dedup_of_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(17)
+    bases = [prose(rng, 50).split() for _ in range(25)]
+    rows = []
+    for _ in range(150):
+        x = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(50)] = f"n{rng.randrange(10**6)}"
+        rows.append((rng.randrange(110), " ".join(x) if rng.random() > 0.05 else None))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows), words=2).collect()}
+    assert got == plain_components(rows, 2)
+
+
+def test_near_dedup_null_and_text_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    ids, texts = [7, None, 3, 5, None], [base, base, base + " x", "a b c", None]
+    star = [(None, base)] + [(i, f"{base} y{i}") for i in range(9)]
+    assert {r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(star, "doc_id long, text string"), words=2).collect()} == {None}
+    whole = Counter(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id int, text string"), words=2).collect()))
+    # both rows with a null id are one node, the smallest of all
+    assert whole == Counter([(7, 39, None, False), (None, 39, None, True), (3, 40, None, False), (5, 2, 5, True), (None, 0, None, True)])
+    once = Counter(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True))[:4], "doc_id int, text string"), words=2).collect()))
+    assert once == Counter([(7, 39, None, False), (None, 39, None, True), (3, 40, None, False), (5, 2, 5, True)])
+    named = spark.createDataFrame([("b", base), ("a", base + " x"), ("c", base), ("z", "a b c"), (None, "other text here")], "doc_id string, text string").selectExpr("*", "1 AS _gone", "2 AS kept")
+    assert {tuple(r) for r in near_dedup.near_duplicates(named, words=2).collect()} == {("b", 39, "a", False), ("a", 40, "a", True), ("c", 39, "a", False), ("z", 2, "z", True), (None, 2, None, True)}
+    kept = near_dedup.drop_near_duplicates(named, words=2)
+    assert {r.doc_id for r in kept.collect()} == {"a", "z", None} and kept.columns == named.columns
+
+
+def test_tables_find_pairs_at_the_threshold():
+    """Pairs of a similarity of 0.8 to 0.801: at least 0.999 of them share a table, and the sketch sets none aside."""
+    rng = np.random.default_rng(5)
+    odd, found, sketched, pairs = near_dedup._multipliers(), 0, 0, 6000
+    for _ in range(pairs):
+        both, left, right = 400, 50, 50
+        values = rng.integers(0, 2**63, both + left + right).astype(np.uint64)
+        low = [np.array([((v * odd[k] + odd[near_dedup.HASHES + k]) >> np.uint64(32)).min() for k in range(near_dedup.HASHES)]) for v in (values[: both + left], np.append(values[:both], values[both + left :]))]
+        same = (low[0] == low[1]).reshape(2, near_dedup.TABLES, near_dedup.WIDTH).all(axis=2).any(axis=1)
+        found += same.all()
+        sketched += (low[0] & np.uint64(255) == low[1] & np.uint64(255)).sum() >= near_dedup.sketch_least(80)
+    assert found / pairs >= 0.999 and sketched == pairs
+
+
+def test_near_dedup_of_a_bucket_with_many_components(spark):
+    """Texts that share a passage, in small groups of near copies: all meet, few are linked."""
+    rng = random.Random(31)
+    passage, rows = prose(rng, 120, 5000), []
+    for g in range(260):
+        body = [f"g{g}x{k}" for k in range(34)]
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            x = list(body)
+            x[rng.randrange(34)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), passage + " " + " ".join(x)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows), words=2, similarity=85).collect()}
+    want = plain_components(rows, 2, 85)
+    assert got == want and len(set(want.values())) > 200
+
+
 def test_components_on_random_graphs(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
