@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 MASKS are fixed patterns over SPAN word positions: a hash takes the words at the ones and ignores the others, so that words
-may be replaced there: a window of SPAN words with two replaced words, wherever they stand, is hit by one mask at least, and so is any stretch of SPAN words or more with a fifth of
-them replaced between equal ends (a test tries all).  The hashes of all windows of the test items meet those of all windows of the documents; each hit
-fixes an alignment (item, document position of the item's first word).  Around a hit the words are compared along the
+may be replaced there: a window of SPAN words with two replaced words, wherever they stand, is hit by one mask at least, and so
+is any stretch of SPAN words or more with a fifth of them replaced between equal ends (a test tries all).  The hashes of all
+windows of the test items meet those of all windows of the documents; each hit fixes an alignment (item, document position of the item's first word).  Around a hit the words are compared along the
 alignment, and the item leaks if some stretch of at least min(MIN_WORDS, words of the item) words, which starts and ends with
 an equal word, has at least SIMILARITY equal words in a hundred.  Items with fewer words than a mask's span are compared at
 every place where their first or last word occurs.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import mix, scan_words, table
+from quern.llm.common import Words, mix, scan_words, table
 
 #: Two of four interleaved groups of three positions each: any two ignored positions are in the groups that some mask ignores.
 #: The next two find replacements that stand close together, by the six words beside them;
@@ -58,72 +58,86 @@ class Items:
 
     def __init__(self, words: list[np.ndarray]):
         self.words = words
-        self.mask_keys, self.mask_item, self.mask_at = [], [], []
+        self.tables = []
         for mask in MASKS:
             own = [_seeds(w, mask) for w in words]
             keys = np.concatenate([np.zeros(0, np.uint64), *own])
             item = np.repeat(np.arange(len(words)), [len(x) for x in own])
             at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in own)])
-            self._add(keys, item, at)
+            again = np.zeros(len(keys), bool)
+            again[1:] = (keys[1:] == keys[:-1]) & (item[1:] == item[:-1])
+            self._add(keys, item, at, again)
         # short items: their first and last words stand for a seed
         short = [(w[k], i, k) for i, w in enumerate(words) if 0 < len(w) < SPAN for k in {0, len(w) - 1}]
-        self._add(np.array([x[0] for x in short], np.uint64), np.array([x[1] for x in short], np.int64), np.array([x[2] for x in short], np.int64))
+        self._add(np.array([x[0] for x in short], np.uint64), np.array([x[1] for x in short], np.int64), np.array([x[2] for x in short], np.int64), np.zeros(len(short), bool))
 
-    def _add(self, keys: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        self.mask_keys.append(keys[order])
-        self.mask_item.append(item[order])
-        self.mask_at.append(at[order])
+    def _add(self, keys: np.ndarray, item: np.ndarray, at: np.ndarray, again: np.ndarray) -> None:
         flags = np.zeros(1 << 20, bool)
         flags[(keys >> np.uint64(44)).astype(np.int64)] = True
-        self.flags = [*getattr(self, "flags", []), flags]
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word position in h, item and position in it, of each equal seed."""
-        found = []
-        for k, (keys, item, at, flags) in enumerate(zip(self.mask_keys, self.mask_item, self.mask_at, self.flags, strict=True)):
-            if not len(keys):
+        order = np.argsort(keys, kind="stable")
+        self.tables.append((flags, *((keys[o], item[o], at[o]) for o in (order, order[~again[order]]))))
+
+    def alignments(self, w: Words, most: int = 1 << 20) -> np.ndarray:
+        """Rows (row of w, item, word of the row where the item's first word would be), each once: of every equal seed in one row.
+
+        A seed that follows an equal one on both sides tells the alignment of the hit before: a position that repeats its seed
+        meets the items' first ones of such runs only.  Hits are made so many at a time and reduced to alignments, of which there
+        are no more than words of the row and of the item together."""
+        sizes = np.array([len(x) for x in self.words])
+        wide = int(w.per_doc.max(initial=0)) + int(sizes.max(initial=0)) + 1
+        found = np.zeros(0, np.int64)
+        for k, (flags, every, firsts) in enumerate(self.tables):
+            if not len(every[0]):
                 continue
-            own = _seeds(h, MASKS[k]) if k < len(MASKS) else h
+            own = _seeds(w.hash, MASKS[k]) if k < len(MASKS) else w.hash
             maybe = np.flatnonzero(flags[(own >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, own[maybe], "left"), np.searchsorted(keys, own[maybe], "right")
-            n = hi - lo
-            pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
-            found.append((np.repeat(maybe, n), item[pick], at[pick]))
-        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+            again = np.zeros(len(maybe), bool)
+            if k < len(MASKS):
+                again = (maybe > 0) & (own[maybe] == own[maybe - 1]) & (w.doc[maybe] == w.doc[maybe - 1])
+            for (keys, item, at), where in ((every, maybe[~again]), (firsts, maybe[again])):
+                lo, hi = np.searchsorted(keys, own[where], "left"), np.searchsorted(keys, own[where], "right")
+                ends = np.cumsum(hi - lo)
+                first = 0
+                while first < len(where):
+                    before = ends[first - 1] if first else 0
+                    last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+                    n = (hi - lo)[first:last]
+                    pick = np.repeat(lo[first:last] - (ends[first:last] - n - before), n) + np.arange(n.sum())
+                    pos, i = np.repeat(where[first:last], n), item[pick]
+                    doc = w.doc[pos]
+                    start = pos - at[pick] - w.bounds[doc]
+                    inside = pos - w.bounds[doc] + np.where(sizes[i] < SPAN, 1, SPAN) <= w.per_doc[doc]  # a hit must lie in one row
+                    if inside.any():
+                        found = np.unique(np.concatenate([found, (doc[inside] * len(sizes) + i[inside]) * wide + start[inside] + sizes.max()]))
+                    first = last
+        both, start = np.divmod(found, wide)
+        return np.stack([*np.divmod(both, max(1, len(sizes))), start - sizes.max(initial=0)], 1)
 
 
 def best_stretch(equal: np.ndarray, least: int, similarity: int = SIMILARITY) -> tuple[int, int, int] | None:
     """(equal words, first, end) of the stretch with most equal words that starts and ends equal, has least words or more and the
-    similarity; the shortest of those, then the first."""
+    similarity; the shortest of those, then the first.
+
+    From the k-th to the l-th equal word a stretch has the similarity if balance[l] >= balance[k] + similarity - 100 for balance
+    = 100 k - similarity * place; the longest that ends at l starts where the running minimum first allows it."""
     at = np.flatnonzero(equal)
     if not len(at):
         return None
-    best = None
-    for i, s in enumerate(at):
-        size = at[i:] - s + 1
-        same = np.arange(1, len(size) + 1)
-        good = np.flatnonzero((size >= least) & (100 * same >= similarity * size))
-        if len(good):
-            k = good[-1]
-            key = (int(same[k]), -int(size[k]))
-            if best is None or key > best[0]:
-                best = (key, int(s), int(s + size[k]))
-    return best and (best[0][0], best[1], best[2])
+    balance = 100 * np.arange(len(at)) - similarity * at
+    start = np.searchsorted(-np.minimum.accumulate(balance), -(balance + 100 - similarity), "left")
+    same, size = np.arange(len(at)) - start + 1, at - at[start] + 1
+    good = np.flatnonzero(size >= least)
+    if not len(good):
+        return None
+    k = good[np.lexsort((at[start[good]], size[good], -same[good]))[0]]
+    return int(same[k]), int(at[start[k]]), int(at[k]) + 1
 
 
 def found_in(texts: pa.Array, seeds: Items, min_words: int, similarity: int) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
     """(row, index of the item, (equal words, words, first word in the text, first word in the item)) of each leak into a text."""
-    sizes = np.array([len(x) for x in seeds.words])
     for a, _, w in scan_words(texts):
-        pos, item, at = seeds.hits(w.hash)
-        if not len(pos):
-            continue
-        doc = w.doc[pos]
-        start = pos - at - w.bounds[doc]  # where the item's first word would be, in the document's words
-        inside = pos - w.bounds[doc] + np.where(sizes[item] < SPAN, 1, SPAN) <= w.per_doc[doc]  # a hit must lie in one document
         best: dict[tuple[int, int], tuple] = {}
-        for d, i, s in np.unique(np.stack([doc, item, start], 1)[inside], axis=0).tolist():
+        for d, i, s in seeds.alignments(w).tolist():
             x = seeds.words[i]
             lo, hi = max(0, -s), min(len(x), int(w.per_doc[d]) - s)
             base = int(w.bounds[d]) + s

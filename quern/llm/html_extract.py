@@ -1,14 +1,16 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is read into leaf blocks in page order: the text between two block-level tags, with inline tags, comments, scripts and
-styles taken out and character references decoded.  A block's input is the mean vector of its tag path (tags, words of class,
+A page is read into leaf blocks in page order: the text between two block-level tags, with inline tags, comments, scripts,
+styles, the head's title and text areas of forms taken out and character references decoded; formulas, drawings' texts, objects
+and what stands for a missing script are read like any other element.  A block's input is the mean vector of its tag path (tags, words of class,
 id and role of all open elements), of the nearest three of those, the mean vector of its hashed words, and a few numbers
 (length, share of text in links, place in the page).  A bidirectional LSTM, in numpy, reads all blocks of a page both ways, so
 that each is labelled in the light of the whole document; blocks labelled as main text are joined by line ends.
 
 The network is trained on pages that training_page() makes from invented words in many layouts, and is the same on each run.
 
-Cases: null, empty or text-less html gives an empty text; markup that isn't closed ends with the page; white space is what
+Cases: null, empty or text-less html gives an empty text; markup that isn't closed ends with the page; a quote opens a value
+after an equals sign only; a block with a score of exactly 0.5 is main text; elements may be nested to any depth; white space is what
 Unicode calls so, no-break spaces included; br is white space inside a block; repeated rows are extracted each; an empty table
 gives an empty result; only the id, url and html columns are read, so other columns may have any names.  Nothing is shuffled.
 """
@@ -32,13 +34,13 @@ from quern.llm.common import Words, table
 
 # --- blocks -----------------------------------------------------------------------------------------------------------
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_RAW = frozenset("script style title noscript template svg iframe textarea object".split())
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))", re.I)
+_RAW = frozenset("script style title textarea".split())  # scripts, styles, the head's title, and what stands in a form
 _VOID = frozenset("br img hr meta link input source area base col embed track wbr param".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
     "math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mlabeledtr mstyle mpadded mphantom mfenced menclose mmultiscripts mprescripts semantics annotation annotation-xml maction merror".split()
-)
+) | frozenset("svg g defs text tspan textpath".split())
 #: What an opening tag closes, up to the nearest element in the second list.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table select body html td th article section div".split())
@@ -73,6 +75,11 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(tuple(x[1] for x in stack if x[0] not in _INLINE), text, linked))
         parts, linked = [], 0
 
+    def drop(k: int) -> None:
+        nonlocal links
+        links -= sum(x[0] == "a" for x in stack[k:])
+        del stack[k:]
+
     at, links = 0, 0
     m = _MARKUP.search(page)
     while m:
@@ -83,35 +90,34 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if tag:
             close, rest = m[1] or m[4], m[3] or m[6] or ""
-            if tag not in _INLINE:
+            if tag not in _INLINE and tag not in _RAW:
                 flush()
             elif tag == "br":
                 parts.append(" ")
             if close:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        drop(k)
                         break
                     if tag in _INLINE and stack[k][0] not in _INLINE:
                         break  # an inline end tag doesn't close blocks
-            elif tag in _RAW:  # a slash closes a drawing, not a script
-                if not (tag == "svg" and rest.rstrip().endswith("/")):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                    m = _MARKUP.search(page, at)
-                    continue
+            elif tag in _RAW:  # a slash doesn't close these
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                m = _MARKUP.search(page, at)
+                continue
             elif tag not in _VOID:
                 if tag not in _INLINE:
                     closes = _CLOSES.get(tag, ("p",))
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] in closes:
-                            del stack[k:]
+                            drop(k)
                             break
                         if stack[k][0] in _SCOPE:
                             break
                 if not rest.rstrip().endswith("/"):
                     stack.append((tag, _label(tag, rest)))
-            links = sum(x[0] == "a" for x in stack)
+                    links += tag == "a"
         m = _MARKUP.search(page, at)
     if at < len(page):
         parts.append(page[at:])

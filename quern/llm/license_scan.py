@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table
 
-#: Units that one sentence may be wrapped over in SQL; the operator has no such limit.
-SPAN = 6
 #: Every known sentence holds one of these.
 ANCHORS = ("licen", "copyright", "permission", "redistribution", "warrant", "unencumbered", "reserved")
 #: (identifier, sentence).  Sentences of widely used licences and notices.
@@ -176,15 +174,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    span = max(len(s.split()) for s in known())  # a sentence has no more units than words
     values = ", ".join(f"({_literal(s)}, {i})" for s, i in known().items())
     rules = ", ".join(f"({k}, '{rule}', '{licence}', '{''.join(f'<{i}>' for i in ids)}')" for k, (rule, licence, ids) in enumerate(RULES))
     return rf"""
 WITH RECURSIVE known(s, id) AS (VALUES {values}), rules(k, rule_id, license_id, p) AS (VALUES {rules}),
 u AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[\x0A\x0D]+'),
-        lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS units FROM documents),
+        lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS units FROM documents WHERE {_anchored('text')}),
 starts AS (SELECT r, doc_id, units, unnest(range(0, len(units))) AS i FROM u),
 hits AS (SELECT r, doc_id, i, max_by(id, n) AS id, max(n) AS n FROM (
-  SELECT r, doc_id, i, k.n, array_to_string(units[i + 1:i + k.n], ' ') AS s FROM starts, (SELECT unnest(range(1, {SPAN + 1})) AS n) k WHERE i + k.n <= len(units)) JOIN known USING (s) GROUP BY ALL),
+  SELECT r, doc_id, i, k.n, array_to_string(units[i + 1:i + k.n], ' ') AS s FROM starts, (SELECT unnest(range(1, {span + 1})) AS n) k WHERE i + k.n <= len(units)) JOIN known USING (s) GROUP BY ALL),
 walk AS (SELECT r, doc_id, i, i + n AS nxt, id FROM hits h WHERE i = (SELECT min(i) FROM hits g WHERE g.r = h.r)
   UNION ALL SELECT h.r, h.doc_id, h.i, h.i + h.n, h.id FROM walk w JOIN hits h ON h.r = w.r AND h.i = (SELECT min(i) FROM hits g WHERE g.r = w.r AND g.i >= w.nxt)),
 found AS (SELECT r, doc_id, string_agg('<' || id || '>', '' ORDER BY i) AS f, string_agg(id, ',' ORDER BY i) AS sentence_ids FROM walk GROUP BY ALL),

@@ -186,6 +186,48 @@ def test_decontamination_tolerates_a_fifth_of_replaced_words(spark):
     assert marked >= 396 and all(i == d % 20 for d, i in found)
 
 
+def test_best_stretch_matches_all_stretches():
+    rng = np.random.default_rng(1)
+    for _ in range(1500):
+        equal = rng.random(rng.integers(0, 30)) < rng.random()
+        least, similarity = int(rng.integers(1, 15)), int(rng.choice([50, 80, 90, 100]))
+        at = np.flatnonzero(equal).tolist()
+        every = [(k - i + 1, -(e - s + 1), -s) for i, s in enumerate(at) for k, e in enumerate(at[i:], i) if e - s + 1 >= least and 100 * (k - i + 1) >= similarity * (e - s + 1)]
+        want = max(every, default=None)
+        assert decontaminate.best_stretch(equal, least, similarity) == (want and (want[0], -want[2], -want[2] - want[1]))
+
+
+def test_alignments_match_all_equal_seeds():
+    rng = random.Random(23)
+    for _ in range(60):
+        make = lambda n: " ".join(rng.choice(("a", "a", "a", "b", "c")) for _ in range(n))
+        items = [make(rng.randint(1, 40)) for _ in range(4)]
+        texts = [make(rng.randint(0, 70)) for _ in range(6)]
+        own = [next(common.scan_words(pa.array([x])))[2].hash for x in items]
+        _, _, w = next(common.scan_words(pa.array(texts)))
+        want = set()
+        for d, t in enumerate(texts):
+            t = t.split()
+            for i, x in enumerate(items):
+                x = x.split()
+                for s in range(-len(x), len(t)):
+                    both = [(k, s + k) for k in range(len(x)) if 0 <= s + k < len(t)]
+                    same = {k for k, p in both if x[k] == t[p]}
+                    if len(x) < decontaminate.SPAN:
+                        hit = bool(same & {0, len(x) - 1})
+                    else:
+                        hit = any(0 <= s + k and s + k + decontaminate.SPAN <= len(t) and all(k + j in same for j, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for k in range(len(x) - decontaminate.SPAN + 1))
+                    if hit:
+                        want.add((d, i, s))
+        assert {tuple(x) for x in decontaminate.Items(own).alignments(w, most=50).tolist()} == want
+
+
+def test_decontamination_of_a_text_of_one_word(spark):
+    items = spark.createDataFrame([(1, "same " * 300)], "item_id long, text string")
+    got = decontaminate.leaks(table(spark, [(1, "same " * 20_000), (2, "same " * 11)]), items).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 300, 300, 0, 0)]
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, "word other word other word other word other word other word other word")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(odd, items).collect())
@@ -401,8 +443,11 @@ def test_gradients_match_differences():
 
 
 def test_blocks_behind_closed_drawings_and_with_formulas():
-    page = '<article><p>One <svg class="i"/> two.</p><p>Sum <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> is <math/> here.</p><p>Last <svg><text>no</text></svg> one.</p><script/>no</script></article>'
-    assert [b.text for b in html_extract.blocks(page)] == ["One", "two.", "Sum a+b is here.", "Last", "one."]
+    page = '<article><p>One <svg class="i"/> two.</p><p>Sum <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> is <math/> here.</p><p>Last <svg><title>t</title><text>no</text></svg> one.</p><script/>no</script></article>'
+    assert [b.text for b in html_extract.blocks(page)] == ["One two.", "Sum a+b is here.", "Last no one."]
+    assert [b.text for b in html_extract.blocks("<article><a href=x'y>Text don't miss</a> tail one.</article><p title='a > b' data-x=\"c > d\">Q</p>")] == ["Text don't miss tail one.", "Q"]
+    assert [b.text for b in html_extract.blocks("<p>Let <math>x=4</math> hold<script>no</script>.</p><noscript><p>N</p></noscript><object>O</object><template><p>T</p></template>")] == ["Let x=4 hold.", "N", "O", "T"]
+    assert [b.text for b in html_extract.blocks("<div>" * 3000 + "deep")] == ["deep"]
     path = html_extract.blocks('<div class="flex flex-col items-center justify-between bg-gray-100 rounded shadow-md sidebar">x</div>')[0].path
     assert ".sidebar" in path[-1]
 
