@@ -11,7 +11,7 @@ NEIGHBOURS nearest vote with the power SHARPNESS of their cosine.
 Only the text goes into a score.  Rows whose crc32(id as text) mod 4 is 2 never enter the bank.
 
 Cases: null text is empty text; empty texts and texts that share no feature with the bank get the bank's share of label 1;
-rows with equal texts get equal scores; an id labelled more than once counts with its smallest label, null labels not at
+rows with equal texts get equal scores; neighbours that tie for the last place all vote; an id labelled more than once counts with its smallest label, null labels not at
 all; without any usable label every score is 0.5; an empty table gives an empty result; the operator reads only the id and
 text columns, so other columns may have any names.
 """
@@ -112,17 +112,22 @@ class Bank:
         return z / np.where(size > 0, size, 1)
 
     def score(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+        """Each row against the whole bank.  Blocks have one shape and cosines are rounded, so that a row's score doesn't hang on
+        the rows beside it; all of the bank that are as near as the last of the NEIGHBOURS vote."""
         out = np.full(len(x), self.labels.mean() if len(self.labels) else 0.5, np.float64)
         if not len(self.labels):
             return out
         k = min(NEIGHBOURS, len(self.labels))
+        full = np.zeros((block, x.shape[1]), np.float32)
         for s in range(0, len(x), block):
-            cosine = self.project(x[s : s + block]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.clip(np.take_along_axis(cosine, near, 1), 0, 1).astype(np.float64) ** SHARPNESS
-            total = weight.sum(axis=1)
-            known = total > 0
-            out[s : s + block][known] = (weight * self.labels[near]).sum(axis=1)[known] / total[known]
+            part = x[s : s + block]
+            full[: len(part)], full[len(part) :] = part, 0
+            cosine = np.round(self.project(full) @ self.vectors.T, 5)[: len(part)]
+            least = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+            row, near = np.nonzero((cosine >= least[:, None]) & (cosine > 0))
+            weight = cosine[row, near].astype(np.float64) ** SHARPNESS
+            total, yes = np.bincount(row, weight, len(part)), np.bincount(row, weight * self.labels[near], len(part))
+            out[s : s + block][total > 0] = yes[total > 0] / total[total > 0]
         return np.clip(out, 0, 1)
 
 

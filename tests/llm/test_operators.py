@@ -682,6 +682,35 @@ def test_quality_separates_junk(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.score >= 0.7} and kept.columns == table(spark, []).columns
 
 
+def test_quality_votes_match_plain_cosine_voting(spark):
+    """Scores against a loop over the bank in double precision, whatever rows stand beside a text; equal texts score alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bank = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = [r[0] for r in docs.select("text").limit(300).collect()] + [None, "", "a b c"] * 2
+    x = np.concatenate([f for _, _, f in quality.features(pa.array(texts))])
+    got = bank.score(x.copy())
+    z = x.astype(np.float64) * bank.idf
+    for part in (slice(0, quality.HALF), slice(quality.HALF, 2 * quality.HALF), slice(2 * quality.HALF, None)):
+        z[:, part] /= np.maximum(np.linalg.norm(z[:, part], axis=1, keepdims=True), 1e-300)
+    z = z @ bank.axes.astype(np.float64)
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    for i, row in enumerate(z):
+        votes = sorted(((float(round(row @ v, 5)), y) for v, y in zip(bank.vectors.astype(np.float64), bank.labels, strict=True)), reverse=True)
+        last = votes[min(quality.NEIGHBOURS, len(votes)) - 1][0]
+        votes = [(max(c, 0) ** quality.SHARPNESS, y) for c, y in votes if c >= last]
+        want = sum(c * y for c, y in votes) / sum(c for c, _ in votes) if sum(c for c, _ in votes) > 0 else bank.labels.mean()
+        assert got[i] == pytest.approx(want, abs=0.02), i
+    assert got[-1] == got[-4] and got[-2] == got[-3] == got[-5] == got[-6]
+    order = np.random.default_rng(3).permutation(len(texts))
+    assert (bank.score(x[order])[np.argsort(order)] == got).mean() > 0.99 and np.allclose(bank.score(x[order])[np.argsort(order)], got, atol=0.02)
+    assert np.allclose(np.concatenate([bank.score(x[i : i + 1]) for i in range(40)]), got[:40], atol=0.02)
+
+
+def test_quality_of_long_texts(spark, odd):
+    bank = quality.fit(odd, spark.createDataFrame([(3, 1), (7, 0), (6, 1), (9, 0)], "doc_id long, quality int"))
+    assert {r.score for r in quality.scores(odd, bank).collect() if r.doc_id in (6, 10)} != set()
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (7, 0), (6, None), (None, 1), (9, 1), (9, 0)], "doc_id long, quality int")
     got = quality.scores(odd, quality.fit(odd, labels)).collect()
