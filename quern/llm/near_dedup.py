@@ -5,10 +5,10 @@ class; the rest works on one representative of each class, so that thousands of
 
 Keys: two collections of TABLES small hashes, each of WIDTH minhashes.  Every pair (i, j) of one hash of the first and one of
 the second is a table, so TABLES^2 tables of 2 * WIDTH minhashes each come from 2 * TABLES * WIDTH minhashes computed: at a
-similarity of s two sets share no table with probability 1 - (1 - (1 - s^WIDTH)^TABLES)^2, 4e-4 at 0.8.  Under a similarity
+similarity of s two sets share no table with probability 1 - (1 - (1 - s^WIDTH)^TABLES)^2, 8e-4 at 0.8.  Under a similarity
 parameter far below 0.8 more tables are needed for that.
 
-Buckets: those with two members give their pair.  Larger ones give a star from the member that meets most others.  After those
+Buckets of several members give a star from the member that meets most others.  After those
 links are verified and joined into components, only buckets whose members are still in different components go on: their
 members are compared in blocks within the bucket, a pair in the first of the tables it shares only, see _crossing.  So a
 large group of near copies costs about as many pairs as it has members, and no link between components is lost: nothing is
@@ -41,7 +41,7 @@ from pyspark.sql.types import IntegralType
 
 from quern.llm.common import fresh, mix, scan_words, shingles, stored, table
 
-WIDTH, TABLES, SIMILARITY = 3, 12, 80
+WIDTH, TABLES, SIMILARITY = 3, 11, 80
 HASHES = 2 * WIDTH * TABLES
 #: Members of a bucket that are compared with one another in one piece.
 BLOCK = 256
@@ -318,14 +318,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
 
     table_keys = f"flatten(transform(sequence(0, {TABLES - 1}), i -> transform(sequence(0, {TABLES - 1}), j -> xxhash64(_a[i], _b[j], i * {TABLES} + j))))"
     keys = reps.select("_id", F.posexplode(F.expr(table_keys)).alias("_t", "_key"))
-    buckets = stored(keys.groupBy("_key").agg(F.min("_id").alias("_l"), F.max("_id").alias("_r"), F.count(F.lit(1)).alias("_k")).where("_k > 1"), "buckets")
-    members = stored(keys.join(buckets.where("_k > 2").select("_key", "_k"), "_key"), "members")
+    buckets = stored(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "buckets")
+    members = stored(keys.join(buckets, "_key"), "members")
     # the centre of a star: the member that meets most others, in all tables together
     degree = members.groupBy("_id").agg(F.sum("_k").alias("_d"))
     centres = stored(members.join(degree, "_id").groupBy("_key").agg(F.max(F.struct("_d", F.bitwise_not("_id").alias("_i"))).alias("_c")).select("_key", F.bitwise_not("_c._i").alias("_c")), "centres")  # written, so that a hot bucket's join can be split
     stars = members.join(centres, "_key").select(F.least("_c", "_id").alias("_l"), F.greatest("_c", "_id").alias("_r"))
-    members = members.select("_key", "_t", "_id")
-    pairs = buckets.where("_k = 2").select("_l", "_r").union(stars).where("_l != _r").distinct()
+    pairs = stars.where("_l != _r").distinct()
+    members = members.where("_k > 2").select("_key", "_t", "_id")
 
     pairs = stored(promising(pairs, reps, similarity), "pairs")
     edges = verify(pairs, texts, similarity)

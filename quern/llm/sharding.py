@@ -8,7 +8,8 @@ each (group, shard) with a count: a group that holds a third of all rows has 16
 2. Rounds: each (group, shard) wants to join the shard where most neighbours of its group are (one of the first few, for a
    group larger than a shard).  Quotas between each two
    shards are the smaller of both demands (an exchange) and then the free room of the target.  Movers are taken in the order
-   of a hash of their group, by prefix sums over hash buckets, and the one at the quota's end moves in part.
+   of a hash of their group, by prefix sums over hash buckets, and the one at the quota's end moves in part.  Rounds end when
+   four in a row have left no fewer groups cut, every other one of them for groups whose best shard is full.
 3. Rows without neighbours fill what room is left, so that counts end exactly even.
 4. Rows of a group take its places by their rank within the group.  Ranks, and slots within a shard, come from counts of
    hash parts and prefix sums over those, so no window ever holds a whole group or shard.
@@ -27,10 +28,22 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import prefix_offsets, stored, table
 
-SHARDS, PARTS, ROUNDS = 16, 256, 8
+SHARDS = 16
+#: Rows that a window ranks at a time, about; rows of a table of sums that are broadcast at most, more are joined.
+PART_ROWS, BROADCAST_ROWS = 1 << 20, 1 << 20
 GROUP = ["_digest", "_bytes"]
 
 
+def _parts(rows: int) -> int:
+    """Hash parts for so many rows."""
+    return max(64, rows // PART_ROWS)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a hint to broadcast it, if it has so few rows at most."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _quotas(demand: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
     """Rows that may move between each two shards: exchanges first, then free room of the target, largest demand first."""
     allowed = {k: min(v, demand.get(k[::-1], 0)) for k, v in demand.items()}
@@ -43,16 +56,37 @@ def _quotas(demand: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
     return {k: v for k, v in allowed.items() if v > 0}
 
 
-def _round(cells: DataFrame, capacity: list[int], number: int) -> tuple[DataFrame, int]:
-    """Cells (group, _shard, _n) after one round, and the rows that moved."""
+def _round(cells: DataFrame, capacity: list[int], number: int, parts: int, kind: str = "all") -> tuple[DataFrame, int]:
+    """Cells (group, _shard, _n) after one round, and the rows that moved.
+
+    kind "spare": only groups that fit into a shard move, to where others of them have room; "giant": larger groups gather, and
+    the others leave the shards where they do."""
     spark = cells.sparkSession
     group = Window.partitionBy(*GROUP)
-    order = F.row_number().over(group.orderBy(F.desc("_n"), F.xxhash64(*GROUP, "_shard"))) - 1
-    wish = cells.withColumns({"_order": order, "_most": F.ceil(F.sum("_n").over(group) * (1 + number / 4) / max(1, max(capacity))).cast("int")})
+    most = max(1, max(capacity))
+    wanted = None
+    if kind == "spare":
+        held = {r["_shard"]: r["n"] for r in cells.groupBy("_shard").agg(F.sum("_n").alias("n")).collect()}  # a row for each shard
+        wanted = [s for s, c in enumerate(capacity) if held.get(s, 0) < c]
+    elif kind == "giant":
+        giants = cells.withColumns({"_sum": F.sum("_n").over(group), "_k": F.row_number().over(group.orderBy(F.desc("_n"), F.xxhash64(*GROUP, "_shard")))})
+        heads_ = {r["_shard"] for r in giants.where(F.col("_sum") > most).where(F.col("_k") <= F.ceil(F.col("_sum") / most)).select("_shard").distinct().collect()}
+        wanted = [s for s in range(len(capacity)) if s not in heads_]
+        if len(wanted) in (0, len(capacity)):
+            return cells, 0
+    roomy = F.lit(True) if wanted is None else F.col("_shard").isin(wanted)
+    order = F.row_number().over(group.orderBy(F.desc(roomy), F.desc("_n"), F.xxhash64(*GROUP, "_shard"))) - 1
+    wish = cells.withColumns({"_order": order, "_most": F.ceil(F.sum("_n").over(group) * (1 + number / 4) / most).cast("int")})
     # a group larger than a shard gathers in as many shards as it fills, in later rounds in more, as others hold room there
     heads = F.collect_list("_shard").over(group.orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    wish = wish.withColumn("_to", F.element_at(heads, (F.col("_order") % F.col("_most") + 1).cast("int"))).drop("_order", "_most")
-    wish = wish.withColumn("_part", F.pmod(F.xxhash64(*GROUP, F.lit(7)), F.lit(PARTS)).cast("int"))
+    wish = wish.withColumn("_to", F.element_at(heads, (F.col("_order") % F.col("_most") + 1).cast("int")))
+    if wanted is not None:  # groups that fit into a shard go to the best of those, from full ones or from heads of larger groups
+        fits, any_ = F.sum("_n").over(group) <= most, F.max(F.when(roomy, 1).otherwise(0)).over(group).cast("boolean")
+        stays = roomy if kind == "giant" else F.lit(False)
+        larger = F.col("_to") if kind == "giant" else F.col("_shard")
+        wish = wish.withColumn("_to", F.when(~fits, larger).when(any_ & ~stays, F.element_at(heads, 1)).otherwise(F.col("_shard")))
+    wish = wish.drop("_order", "_most")
+    wish = wish.withColumn("_part", F.pmod(F.xxhash64(*GROUP, F.lit(7)), F.lit(parts)).cast("int"))
     wish = stored(wish, "wishes")
     load, demand = [0] * len(capacity), {}
     for r in wish.groupBy("_shard", "_to").agg(F.sum("_n").alias("n")).collect():  # shards x shards rows at most
@@ -64,8 +98,8 @@ def _round(cells: DataFrame, capacity: list[int], number: int) -> tuple[DataFram
         return cells, 0
     quota = spark.createDataFrame([(s, t, n) for (s, t), n in allowed.items()], "_shard int, _to int, _quota long")
     movers = wish.join(F.broadcast(quota), ["_shard", "_to"], "left")
-    before = prefix_offsets(wish.where("_shard != _to"), ["_shard", "_to"], "_part", "_n")  # shards x shards x PARTS rows
-    movers = movers.join(F.broadcast(before), ["_shard", "_to", "_part"], "left")
+    before = prefix_offsets(wish.where("_shard != _to"), ["_shard", "_to"], "_part", "_n")  # shards x shards x parts rows
+    movers = movers.join(_small(before, len(capacity) ** 2 * parts), ["_shard", "_to", "_part"], "left")
     running = F.sum("_n").over(Window.partitionBy("_shard", "_to", "_part").orderBy(*GROUP).rowsBetween(Window.unboundedPreceding, -1))
     movers = movers.withColumn("_ahead", F.coalesce("_before", F.lit(0)) + F.coalesce(running, F.lit(0)))
     movers = movers.withColumn("_go", F.when(F.col("_shard") == F.col("_to"), 0).otherwise(F.greatest(F.lit(0), F.least("_n", F.coalesce("_quota", F.lit(0)) - F.col("_ahead")))).cast("long"))
@@ -74,30 +108,46 @@ def _round(cells: DataFrame, capacity: list[int], number: int) -> tuple[DataFram
     return stored(after, "cells"), sum(allowed.values())
 
 
+def propagated(cells: DataFrame, capacity: list[int]) -> DataFrame:
+    """Cells after rounds until groups are cut no less in four rounds in a row: those cut least.
+
+    At first groups larger than a shard gather.  When a round cuts no fewer, the next one is for groups whose best shard is full:
+    they go where others of their group have room, which frees places for the round after it."""
+    cut = cells.count()  # a group that is whole has one cell
+    parts = _parts(cut)
+    for _ in range(2):
+        cells, _ = _round(cells, capacity, 0, parts, "giant")
+    best, idle, number, spare = cells, 0, 0, False
+    cut = cells.count()
+    while idle < 4:
+        cells, moved = _round(cells, capacity, number, parts, "spare" if spare else "all")
+        now = cells.count() if moved else cut
+        number, idle, spare = number + 1, 0 if now < cut else idle + 1, not spare and now >= cut
+        best, cut = (cells, now) if now < cut else (best, cut)
+    return best
+
+
 def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, size, text_crc32, law, shard, slot, grown_shard."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(1), text).alias("_digest"), (F.octet_length(text) + 1).cast("long").alias("_bytes"), F.crc32(text).cast("long").alias("_crc"))
     # the group is told by two hashes of 96 bits together, and by the length
-    rows = rows.withColumn("_digest", F.concat_ws(".", "_digest", "_crc")).withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(PARTS)).cast("int"))
-    rows = stored(rows, "rows")
+    rows = stored(rows.withColumns({"_digest": F.concat_ws(".", "_digest", "_crc"), "_spread": F.xxhash64("_id", F.lit(3))}), "rows")
+    many = _parts(rows.count())
+    rows = rows.withColumn("_part", F.pmod("_spread", F.lit(many)).cast("int")).drop("_spread")
     parts = stored(rows.groupBy(*GROUP, "_part").agg(F.count(F.lit(1)).alias("_n")), "parts")
     groups = stored(parts.groupBy(*GROUP).agg(F.sum("_n").alias("_n")), "groups")
     total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0))).first()
     capacity = [total[0] // shards + (s < total[0] % shards) for s in range(shards)]
 
     # groups of two and more: an even start, then rounds of propagation
-    several = groups.where("_n > 1").withColumn("_part", F.pmod(F.xxhash64(*GROUP), F.lit(PARTS)).cast("int"))
+    several = groups.where("_n > 1").withColumn("_part", F.pmod(F.xxhash64(*GROUP), F.lit(many)).cast("int"))
     ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(*GROUP).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    several = several.withColumn("_ahead", ahead).join(F.broadcast(prefix_offsets(several, [], "_part", "_n")), "_part").withColumn("_o", F.col("_ahead") + F.col("_before"))
+    several = several.withColumn("_ahead", ahead).join(_small(prefix_offsets(several, [], "_part", "_n"), many), "_part").withColumn("_o", F.col("_ahead") + F.col("_before"))
     at = F.expr(f"transform(sequence(0, {shards - 1}), s -> named_struct('s', s, 'n', (_o + _n + {shards - 1} - s) div {shards} - (_o + {shards - 1} - s) div {shards}))")
     cells = several.select(*GROUP, F.explode(at).alias("c")).where("c.n > 0").select(*GROUP, F.col("c.s").cast("int").alias("_shard"), F.col("c.n").alias("_n"))
     if total[1]:
-        cells = stored(cells, "cells")
-        for number in range(ROUNDS):
-            cells, moved = _round(cells, capacity, number)
-            if not moved:
-                break
+        cells = propagated(stored(cells, "cells"), capacity)
 
     # places of a group: shards take intervals of its ranks; parts of its rows take intervals of the same ranks
     places = cells.withColumn("_hi", F.sum("_n").over(Window.partitionBy(*GROUP).orderBy("_shard"))).withColumn("_lo", F.col("_hi") - F.col("_n")).drop("_n")
@@ -116,14 +166,14 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     edges = [sum(room[:s]) for s in range(shards)]
     alone = ranked.where("_shard IS NULL").withColumn("_one", F.lit(1))
     number = F.row_number().over(Window.partitionBy("_part").orderBy("_id", *GROUP)) - 1
-    alone = alone.withColumn("_k", number).join(F.broadcast(prefix_offsets(alone, [], "_part", "_one")), "_part")
+    alone = alone.withColumn("_k", number).join(_small(prefix_offsets(alone, [], "_part", "_one"), many), "_part")
     bounds = "array(" + ", ".join(f"{e}L" for e in edges) + ")"
     # the last shard whose first place is at or before the row's; shards without room start where the next one does
     fill = F.expr(f"cast(size(filter({bounds}, e -> e <= _k + _before)) - 1 AS int)")
     placed = ranked.where("_shard IS NOT NULL").unionByName(alone.withColumn("_shard", fill).select(*ranked.columns))
     placed = stored(placed, "placed").withColumn("_one", F.lit(1))
     slot = F.row_number().over(Window.partitionBy("_shard", "_part").orderBy("_id", *GROUP)) - 1
-    placed = placed.withColumn("_slot", slot).join(F.broadcast(prefix_offsets(placed, ["_shard"], "_part", "_one")), ["_shard", "_part"])
+    placed = placed.withColumn("_slot", slot).join(_small(prefix_offsets(placed, ["_shard"], "_part", "_one"), shards * many), ["_shard", "_part"])
     return placed.select(
         F.col("_id").alias(id_col), F.col("_bytes").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
         F.col("_shard").alias("shard"), (F.col("_slot") + F.col("_before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
