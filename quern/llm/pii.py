@@ -8,7 +8,7 @@ features are the shapes of a token and of two on either side, each with whether
 TRAINING, a small table of marked sentences that are filled with invented values, by the gradient of the log-likelihood, and
 decoded by Viterbi over padded batches.  Spans that it finds are added if they touch no base span and hold what their kind
 needs (an address with a dot after the at, four parts, a Luhn sum, enough digits).  Each of these needs a digit, an @, the
-word dot or an at in brackets, so tokens more than WINDOW away from one are not decoded; texts without any are told by a scan
+word dot, an at in brackets or one before a dotted name, so tokens more than WINDOW away from one are not decoded; texts without any are told by a scan
 of their bytes.
 
 Cases: null text is empty text and has no spans; repeated rows are reported each; of spans that start alike in one kind the
@@ -98,7 +98,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _SIGNS = "@.-+()[]{}<>:/,_=\"'#$%*!?;&|~^"
-_WORDS = ("at", "dot", "com", "org", "net", "edu", "example", "phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "ip", "address", "server", "host", "email", "mail", "contact", "write", "reach", "order", "invoice", "version", "id", "token", "number", "date", "page", "ext")
+_WORDS = ("at", "dot", "com", "org", "net", "edu", "example", "phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "ip", "address", "server", "host", "email", "mail", "contact", "write", "reach", "order", "invoice", "version", "id", "token", "number", "date", "page", "ext",
+          "release", "build", "section", "chapter", "serial", "model", "part", "case", "ticket", "ref", "reference", "isbn", "zip", "code", "account", "tracking", "text", "dial", "ring", "cell", "paid", "charged", "ping", "ssh", "de", "fr", "es", "io", "uk", "to", "on", "no", "the", "is", "and", "was")
 _SHAPES = {x: i for i, x in enumerate(["<edge>", "lower1", "lower", "title", "upper", "mixed", *(f"d{n}" for n in range(1, 20)), "d20", "other", *_SIGNS, *_WORDS])}
 N_VALUES = 2 * len(_SHAPES)
 
@@ -135,7 +136,18 @@ TRAINING = [
     "{phone:999-999-9999} \\a \\a \\a", "phone {phone:9999 999 9999}", "tel. {phone:0999-9999999}", "number {phone:999-999-9999} ext 99", "\\a \\a call {phone:9-999-999-9999} .",
     "card {card:C4.} \\a", "visa {card:C4.} expires 99/99", "credit card number {card:C4/}", "\\a card {card:C4_} \\a", "paid with card {card:C4.}.", "card : {card:C4/} \\a",
     "server {ip:B . B . B . B} down", "ip {ip:B [.] B [.] B [.] B}", "host {ip:B[.]B[.]B[.]B} \\a", "address {ip:B(.)B(.)B(.)B}", "ip : {ip:B dot B dot B dot B} \\a", "\\a \\a {ip:B[.]B[.]B[.]B} \\a",
+    "ring {phone:999-999-9999} after \\9", "cell {phone:999.999.9999}", "dial {phone:(999) 999-9999} and \\a", "text me at {phone:999-999-9999} \\a", "my number is {phone:999 999 9999}", "reach \\a on {phone:999-9999-9999}",
+    "\\a, {email:a at a dot T}, \\a", "ping {email:a [at] a.T}", "<{email:a at a dot T}>", "\\a or {email:a.a at a dot T} \\a", "\\a \\a: {email:a at a.T}", "\\a ({email:a at a dot T})", "mail to {email:a at a.T} \\a",
+    "ssh {ip:B . B . B . B}", "\\a from {ip:B[.]B[.]B[.]B}, \\a", "\\a {ip:B . B . B . B} \\a", "charged {card:C4.} \\a", "\\a \\a {card:C4.} \\a", "paid by {card:C4_}, \\a", "card no {card:C4/}",
+    "\\a \\a to {email:a at a dot T} \\a \\a", "the \\a is {email:a at a dot T} and \\a", "\\a \\a {email:a at a dot T} \\a \\a", "phone , {phone:999 999 9999} , \\a", "the \\a ( {ip:B . B . B . B} ) is \\a", "\\a ? {email:a at a.T}", "\\a ( {ip:B . B . B . B} )", "\\a : {phone:999 999 9999} ,",
+    "{phone:+9 (999) 999-9999} {card:C4} \\a", "\\a {phone:+9 (999) 999-9999} {card:C4}", "{email:a.a99@a.T} {phone:+9 (999) 999-9999} {card:C4} \\a", "{phone:+99 999 999 9999} {card:C4 }", "{card:C4} {phone:+9 (999) 999-9999} \\a", "\\9999 {card:C4} \\a", "{card:C4-} \\9999 \\a",
+    "{phone:+9 (999) 999-9999} \\a \\9999", "{ip:B.B.B.B} {phone:+9 (999) 999-9999} {card:C4}", "\\a {ip:B.B.B.B} {email:a@a.a.T}", "{card:C4} {card:C4} \\a", "{phone:+9 (999) 999-9999} {phone:+9 (999) 999-9999} \\a", "\\a {email:a99@a9.a.T} {phone:+9 (999) 999-9999}.",
     # nothing personal
+    "\\a \\a at \\a dot on \\a", "\\a at the dot and \\a", "the \\a at \\a dot \\a", "\\a at \\a dot is \\a", "invoice no \\999-\\999-\\9999 is \\a", "order no \\9999-\\999-\\9999", "\\a \\a at the dot", "\\a dot \\a at the \\a",
+    "version \\99 . \\9 . \\9 . \\9 of \\a", "release \\9 . \\9 . \\9 . \\99 \\a", "build \\9 . \\99 . \\999 . \\9", "section \\9 . \\9 . \\9 . \\9", "chapter \\9 . \\9 . \\9", "version [\\9.\\9.\\9.\\9]",
+    "order \\9999-\\999-\\9999 \\a", "order number \\999-\\999-\\9999", "invoice \\999-\\999-\\9999 \\a", "ticket \\9999-\\999-\\999", "case \\999-\\9999-\\999", "serial \\9999-\\9999-\\9999", "part \\999-\\999-\\9999", "tracking \\9999 \\9999 \\9999 \\9999",
+    "ref \\999.\\999.\\9999", "account \\9999 \\9999 \\9999 \\9999", "code \\999-\\999-\\9999", "model \\999-\\9999 \\a", "reference \\9999 \\999 \\9999", "\\a at \\a. \\a", "\\a at \\a, \\a", "\\a \\a at \\a. \\a \\a", "arrived at \\a. then \\a",
+    "\\a at \\a dot. \\a", "\\99 \\99 \\99 \\99", "\\9999 \\9999", "\\a \\99.\\99.\\99 \\a", "[\\9] \\a [\\9]", "\\a \\9, \\9, \\9, \\9 \\a", "\\a (\\9.\\9) \\a (\\9.\\9)",
     "order \\9999999999999999 was sent", "invoice number \\99999999", "version \\9.\\9.\\9 of \\a", "on \\9999-\\99-\\99 at \\99:\\99", "page \\99 of \\999", "\\a costs $ \\9,\\999.\\99 \\a", "id \\999999999999 \\a",
     "token = \" \\9999\\a\\99\\a \"", "\\a at \\a in \\a \\a", "look at the dot on \\a", "a dot at the \\a end", "\\a \\a \\a \\a \\a", "\\a \\9999 \\a \\999 \\a", "see http://\\a.\\a/\\999", "\\a, \\a \\9-\\9 \\a", "\\99 \\a \\99 \\a",
     "from \\9999 to \\9999", "\\a (\\9999) \\a, \\99-\\99", "isbn \\999-\\9-\\99-\\999999-\\9", "date \\99.\\99.\\9999 \\a", "\\99.\\99 \\a \\99 %", "meet at \\99 dot \\99", "\\a # \\99999 \\a", "\\a@\\a \\a", "\\9 \\9 \\9 \\9 \\9 \\a",
@@ -153,7 +165,7 @@ def _filled(pattern: str, rng: random.Random) -> str:
         body = [rng.randint(0, 9) for _ in range(15)]
         digits = "".join(map(str, body))
         digits += next(str(d) for d in range(10) if luhn(digits + str(d)))
-        return pattern[2].join(digits[i : i + 4] for i in range(0, 16, 4))
+        return pattern[2:].join(digits[i : i + 4] for i in range(0, 16, 4))
     out = ""
     for c in re.findall(r"[a-zA-Z]+|.", pattern):
         out += word() if c == "a" else str(rng.randint(0, 9)) if c == "9" else str(rng.randint(0, 255)) if c == "B" else rng.choice(TOPLEVEL) if c == "T" else c
@@ -161,9 +173,15 @@ def _filled(pattern: str, rng: random.Random) -> str:
 
 
 def training_rows(times: int = 12, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)]), each sentence of TRAINING filled so many times."""
+    """(text, [(start, end, kind)]), each sentence of TRAINING filled so many times, each third time within prose."""
     rng, rows = random.Random(seed), []
-    for sentence in TRAINING * times:
+
+    def prose() -> str:
+        return " ".join("\\a" + rng.choice(("", "", "", "", ",", ".")) for _ in range(rng.randint(0, 30)))
+
+    for k, sentence in enumerate(TRAINING * times):
+        if k // len(TRAINING) % 3 == 2:
+            sentence = f"{prose()} {sentence} {prose()}".strip()
         text, marks = "", []
         for part in re.split(r"(\{\w+:[^}]*\}|\\a|\\9+)", sentence):
             if part.startswith("{"):
@@ -177,14 +195,19 @@ def training_rows(times: int = 12, seed: int = 3) -> list[tuple[str, list[tuple[
     return rows
 
 
+def edged(values: np.ndarray) -> np.ndarray:
+    """Values with CONTEXT empty ones on either side, as the field takes them; a part of a line keeps its neighbours there."""
+    return np.pad(values, CONTEXT)
+
+
 def _padded(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Feature values of each token and its neighbours (rows, length, offsets), and the mask."""
-    most = max(map(len, values))
+    most = max(map(len, values)) - 2 * CONTEXT
     x = np.zeros((len(values), most + 2 * CONTEXT), np.int64)
     mask = np.zeros((len(values), most), bool)
     for i, v in enumerate(values):
-        x[i, CONTEXT : CONTEXT + len(v)] = v
-        mask[i, : len(v)] = True
+        x[i, : len(v)] = v
+        mask[i, : len(v) - 2 * CONTEXT] = True
     return np.stack([x[:, o : o + most] for o in range(2 * CONTEXT + 1)], 2), mask
 
 
@@ -205,39 +228,58 @@ class Field:
         return sum(self.state[o][x[:, :, o]] for o in range(x.shape[2]))
 
     def fit(self, values: list[np.ndarray], labels: list[np.ndarray], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3) -> Field:
-        x, mask = _padded(values)
-        rows, most, _ = x.shape
+        """Gradient ascent on the log-likelihood of all rows, in groups of like length."""
         n = len(LABELS)
-        y = np.zeros((rows, most), np.int64)
-        for i, v in enumerate(labels):
-            y[i, : len(v)] = v
+        order = np.argsort([len(v) for v in values], kind="stable")
+        groups = []
+        for part in np.array_split(order, min(8, len(order))):
+            x, mask = _padded([values[i] for i in part])
+            y = np.zeros(mask.shape, np.int64)
+            for row, i in enumerate(part):
+                y[row, : len(labels[i])] = labels[i]
+            groups.append((x, mask, mask[:, 1:], [x[:, :, o][mask] for o in range(x.shape[2])], y))
         seen_state, seen_step = np.zeros_like(self.state), np.zeros_like(self.step)
-        for o in range(x.shape[2]):
-            np.add.at(seen_state[o], (x[:, :, o][mask], y[mask]), 1)
-        both = mask[:, 1:]
-        np.add.at(seen_step, (y[:, :-1][both], y[:, 1:][both]), 1)
+        for _, mask, both, seen, y in groups:
+            for o, v in enumerate(seen):
+                np.add.at(seen_state[o], (v, y[mask]), 1)
+            np.add.at(seen_step, (y[:, :-1][both], y[:, 1:][both]), 1)
         squares = [np.zeros_like(self.state), np.zeros_like(self.step)]
-        for r in range(rounds):
-            e, t = self.emission(x), self.step + self.barred
-            forward, back = np.zeros((rows, most, n)), np.zeros((rows, most, n))
-            forward[:, 0] = e[:, 0] + self.first
-            for k in range(1, most):
-                now = _logsum(forward[:, k - 1, :, None] + t) + e[:, k]
-                forward[:, k] = np.where(mask[:, k, None], now, forward[:, k - 1])
-            for k in range(most - 2, -1, -1):
-                now = _logsum((back[:, k + 1] + e[:, k + 1])[:, None, :] + t, 2)
-                back[:, k] = np.where(mask[:, k + 1, None], now, 0)
-            total = _logsum(forward[:, -1], 1)
-            node = np.exp(forward + back - total[:, None, None]) * mask[:, :, None]
-            pair = np.exp(forward[:, :-1, :, None] + t + (e + back)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
-            expected = np.zeros_like(self.state)
-            for o in range(x.shape[2]):
-                np.add.at(expected[o], x[:, :, o][mask], node[mask])
-            for w, g, q in ((self.state, (seen_state - expected) / rows - decay * self.state, squares[0]), (self.step, (seen_step - pair.sum((0, 1))) / rows - decay * self.step, squares[1])):
+        for _ in range(rounds):
+            expected, steps = np.zeros_like(self.state), np.zeros_like(self.step)
+            for x, mask, both, seen, _ in groups:
+                node, pair = self._marginals(x, mask, both)
+                steps += pair
+                for o, v in enumerate(seen):
+                    for k in range(n):
+                        expected[o][:, k] += np.bincount(v, node[:, k], N_VALUES)
+            for w, g, q in ((self.state, (seen_state - expected) / len(values) - decay * self.state, squares[0]), (self.step, (seen_step - steps) / len(values) - decay * self.step, squares[1])):
                 q += g * g
                 w += rate * g / (np.sqrt(q) + 1e-6)
         return self
 
+    def _marginals(self, x: np.ndarray, mask: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of labels of each token, and sums of those of label pairs, by forward and backward products."""
+        rows, most, _ = x.shape
+        e, t = self.emission(x), np.exp(self.step + self.barred)
+        top = e.max(axis=2, keepdims=True)
+        w = np.exp(e - top)  # scaled in each place, which the normalised products below don't feel
+        forward, back = np.zeros_like(w), np.ones_like(w)
+        forward[:, 0] = w[:, 0] * np.exp(self.first)
+        forward[:, 0] /= forward[:, 0].sum(axis=1, keepdims=True)
+        for k in range(1, most):
+            now = (forward[:, k - 1] @ t) * w[:, k]
+            now /= now.sum(axis=1, keepdims=True)
+            forward[:, k] = np.where(mask[:, k, None], now, forward[:, k - 1])
+        for k in range(most - 2, -1, -1):
+            now = (back[:, k + 1] * w[:, k + 1]) @ t.T
+            now /= now.sum(axis=1, keepdims=True)
+            back[:, k] = np.where(mask[:, k + 1, None], now, 1)
+        node = forward * back
+        node = (node / node.sum(axis=2, keepdims=True))[mask]
+        left, right = forward[:, :-1][both], (back * w)[:, 1:][both]
+        total = ((left @ t) * right).sum(axis=1, keepdims=True)
+        return node, t * ((left / total).T @ right)
+
     def decode(self, values: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of each sequence, by Viterbi over all of them at a time."""
         x, mask = _padded(values)
@@ -252,12 +294,7 @@ class Field:
         out[:, -1] = best.argmax(1)
         for k in range(most - 1, 0, -1):
             out[:, k - 1] = come[np.arange(rows), k, out[:, k]]
-        return [out[i, : len(v)] for i, v in enumerate(values)]
-
-
-def _logsum(x: np.ndarray, axis: int = 1) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+        return [out[i, : len(v) - 2 * CONTEXT] for i, v in enumerate(values)]
 
 
 @lru_cache(maxsize=1)
@@ -270,27 +307,27 @@ def field() -> Field:
             for i, (a, b) in enumerate(spans):
                 if s <= a and b <= e:
                     y[i] = LABELS.index(("B-" if a == s else "I-") + kind)
-        values.append(v)
+        values.append(edged(v))
         labels.append(y)
     return Field().fit(values, labels)
 
 
-_DOTTED = re.compile(r"(?i)[\[({]?\b(?:at)\b[\])}]?|@")
-_DOT = re.compile(r"(?i)\bdot\b|\.")
+#: An address written out: words joined by at and dot, as words, signs or in brackets.
+_JOIN = r"\s*(?:[\[({]\s*%s\s*[\])}]|%s)\s*"
+_WRITTEN = re.compile(r"(?i)[\w%+-]+(?:DOT[\w%+-]+)*AT[\w-]+(?:DOT[\w-]+)+".replace("DOT", _JOIN % (r"(?:dot|\.)", r"(?:\bdot\b|\.)")).replace("AT", _JOIN % ("(?:at|@)", r"(?:\bat\b|@)")))
 
 
 def _holds(kind: str, text: str) -> bool:
     """What a span must hold that the field adds."""
     if kind == "email":
-        at = _DOTTED.search(text)
-        return bool(at and at.start() > 0 and (dot := _DOT.search(text, at.end())) and text[at.end() : dot.start()].strip(" [](){}") and text[dot.end() :].strip(" [](){}"))
+        return bool(_WRITTEN.fullmatch(text))
     digits = re.findall("[0-9]+", text)
     if kind == "ip":
         return len(digits) == 4 and all(len(d) <= 3 and int(d) <= 255 for d in digits)
     return _card(text) if kind == "card" else _phone(text) and len(digits) > 1
 
 
-_TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[({][aA][tT]")
+_TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[({][aA][tT]|\b[aA][tT][ \t]+[\w-]+\.[^\W\d_]")
 
 
 def _islands(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
@@ -303,7 +340,7 @@ def _islands(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
             near = np.flatnonzero(np.convolve(hot, np.ones(2 * WINDOW + 1), "same" if len(hot) > 2 * WINDOW else "full") > 0) if len(hot) > 2 * WINDOW else np.arange(len(hot))
             for part in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
                 if len(part):
-                    out.append((spans[part[0] : part[-1] + 1], v[part[0] : part[-1] + 1]))
+                    out.append((spans[part[0] : part[-1] + 1], edged(v)[part[0] : part[-1] + 1 + 2 * CONTEXT]))
         line = line_end + 1
     return out
 
@@ -352,6 +389,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 hit = digit[own]
                 hit[:-2] |= (low[:-2] == 100) & (low[1:-1] == 111) & (low[2:] == 116)
                 hit[:-2] |= ((own[:-2] == 40) | (low[:-2] == 123)) & (low[1:-1] == 97) & (low[2:] == 116)
+                hit[:-2] |= (low[:-2] == 97) & (low[1:-1] == 116) & ((own[2:] == 32) | (own[2:] == 9))  # at: the trigger wants a dotted name behind it
                 marked = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[at]))
                 texts = [own[at[i] : at[i + 1]].tobytes().decode() for i in marked]
                 base = [base_spans(t) for t in texts]
