@@ -142,7 +142,7 @@ def _path_ids(path: tuple[tuple[str, ...], ...]) -> tuple[tuple[int, ...], tuple
 
 def _numbers(page: list[Block]) -> np.ndarray:
     n = len(page)
-    x = np.zeros((n, NUMBERS))
+    x = np.zeros((n, NUMBERS), np.float32)
     for i, b in enumerate(page):
         size = len(b.text)
         x[i] = (np.log1p(size) / 6, min(1, b.linked / size), i / n, 1 - i / n, min(1, n / 40), b.text.count(" ") == 0, b.text[-1] in ".!?…:", len(b.path) / 8)
@@ -170,13 +170,27 @@ def batch_of(pages: list[list[Block]]) -> Batch:
     off = np.concatenate([[0], np.cumsum([len(b.text.encode()) for b in every])]).astype(np.int64)
     w = Words(np.frombuffer(data, np.uint8), off)
     word_ids, word_block = (w.hash % np.uint64(WORDS)).astype(np.int64), w.doc
-    return Batch([*_flat([x[0] for x in ids]), *_flat([x[1] for x in ids]), word_ids, word_block], np.concatenate([_numbers(p) for p in pages if p]) if every else np.zeros((0, NUMBERS)), np.array([len(p) for p in pages]))
+    return Batch([*_flat([x[0] for x in ids]), *_flat([x[1] for x in ids]), word_ids, word_block], np.concatenate([_numbers(p) for p in pages if p]) if every else np.zeros((0, NUMBERS), np.float32), np.array([len(p) for p in pages]))
 
 
 def _means(table_: np.ndarray, ids: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """Mean vector of each block's ids, as a product of counts and vectors."""
-    count = np.maximum(np.bincount(block, minlength=n), 1)
-    return np.stack([np.bincount(block, table_[ids, d], n) for d in range(table_.shape[1])], 1) / count[:, None]
+    """Mean vector of each block's ids, which stand in the order of blocks; none of them: zeros."""
+    count = np.bincount(block, minlength=n)
+    out = np.zeros((n, table_.shape[1]), table_.dtype)
+    has = np.flatnonzero(count)
+    if len(has):
+        out[has] = np.add.reduceat(table_[ids], (np.cumsum(count) - count)[has], axis=0) / count[has, None]
+    return out
+
+
+def _scattered(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of each id."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    if len(first):
+        out[ids[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -191,6 +205,7 @@ class Labeller:
             self.w[f"x{way}"] = r.normal(0, 0.2, (INPUT, 4 * HIDDEN))
             self.w[f"h{way}"] = r.normal(0, 0.15, (HIDDEN, 4 * HIDDEN))
             self.w[f"c{way}"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])
+        self.w = {n: x.astype(np.float32) for n, x in self.w.items()}
 
     def inputs(self, b: Batch) -> np.ndarray:
         n = len(b.numbers)
@@ -199,9 +214,9 @@ class Labeller:
     def _run(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
         """x (length, pages, INPUT) -> hidden states in the same order; reversed for way b.  Padding keeps the state."""
         steps = range(len(x)) if way == "f" else range(len(x) - 1, -1, -1)
-        h = np.zeros((x.shape[1], HIDDEN))
+        h = np.zeros((x.shape[1], HIDDEN), x.dtype)
         c = h.copy()
-        given, out, kept = x @ self.w[f"x{way}"] + self.w[f"c{way}"], np.zeros((*x.shape[:2], HIDDEN)), []
+        given, out, kept = x @ self.w[f"x{way}"] + self.w[f"c{way}"], np.zeros((*x.shape[:2], HIDDEN), x.dtype), []
         for t in steps:
             g = given[t] + h @ self.w[f"h{way}"]
             i, f, o = (_sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
@@ -225,7 +240,7 @@ class Labeller:
     def forward(self, b: Batch) -> tuple[np.ndarray, tuple]:
         flat = self.inputs(b)
         at, page, mask = self._place(b)
-        x = np.zeros((*mask.shape, INPUT))
+        x = np.zeros((*mask.shape, INPUT), flat.dtype)
         x[at, page] = flat
         hf, kf = self._run(x, mask, "f")
         hb, kb = self._run(x, mask, "b")
@@ -234,9 +249,9 @@ class Labeller:
 
     def _back(self, x: np.ndarray, dh_out: np.ndarray, kept: list, way: str, grads: dict) -> np.ndarray:
         dx = np.zeros_like(x)
-        dh, dc = np.zeros((x.shape[1], HIDDEN)), np.zeros((x.shape[1], HIDDEN))
+        dh, dc = np.zeros((x.shape[1], HIDDEN), x.dtype), np.zeros((x.shape[1], HIDDEN), x.dtype)
         wx, wh = np.zeros_like(self.w[f"x{way}"]), np.zeros_like(self.w[f"h{way}"])
-        bias = np.zeros(4 * HIDDEN)
+        bias = np.zeros(4 * HIDDEN, x.dtype)
         for t, i, f, o, u, c, h, tanh, on in reversed(kept):
             dh = dh + dh_out[t]
             d = np.where(on, dh, 0)
@@ -253,12 +268,12 @@ class Labeller:
 
     def gradients(self, b: Batch, y: np.ndarray) -> dict[str, np.ndarray]:
         p, (flat, x, at, page, mask, kf, kb, joined) = self.forward(b)
-        d = ((p - y) / len(y))[:, None]
+        d = ((p - y) / len(y))[:, None].astype(joined.dtype)
         grads = {"out": joined.T @ d, "bias": d.sum(0)}
         dj = d @ self.w["out"].T
         dx = np.zeros_like(flat)
         for k, (way, kept) in enumerate((("f", kf), ("b", kb))):
-            dh = np.zeros((*mask.shape, HIDDEN))
+            dh = np.zeros((*mask.shape, HIDDEN), x.dtype)
             dh[at, page] = dj[:, k * HIDDEN : (k + 1) * HIDDEN]
             dx += self._back(x, dh, kept, way, grads)[at, page]
         dx += dj[:, 2 * HIDDEN :]
@@ -267,7 +282,7 @@ class Labeller:
             ids, block = b.paths[2 * k], b.paths[2 * k + 1]
             wide = self.w[name].shape[1]
             per = dx[:, lo : lo + wide] / np.maximum(np.bincount(block, minlength=len(flat)), 1)[:, None]
-            grads[name] = np.stack([np.bincount(ids, per[block, k2], len(self.w[name])) for k2 in range(wide)], 1)
+            grads[name] = _scattered(ids, per[block], len(self.w[name]))
             lo += wide
         return grads
 
@@ -461,7 +476,7 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
 
 
 @lru_cache(maxsize=1)
-def labeller(pages: int = 2400, seed: int = 4) -> Labeller:
+def labeller(pages: int = 2000, epochs: int = 10, seed: int = 4) -> Labeller:
     r = random.Random(seed)
     read, labels = [], []
     while len(read) < pages:
@@ -470,7 +485,7 @@ def labeller(pages: int = 2400, seed: int = 4) -> Labeller:
         if found and len(found) == len(marks):
             read.append(found)
             labels.append(np.array(marks, float))
-    return Labeller().fit(read, labels)
+    return Labeller().fit(read, labels, epochs)
 
 
 # --- the operator -----------------------------------------------------------------------------------------------------

@@ -469,6 +469,7 @@ def test_gradients_match_differences():
             pages.append(found)
             labels.append(np.array(marks, float))
     model, y = html_extract.Labeller(3), np.concatenate(labels)
+    model.w = {n: x.astype(np.float64) for n, x in model.w.items()}
     b = html_extract.batch_of(pages)
 
     def loss():
