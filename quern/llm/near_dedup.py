@@ -47,6 +47,8 @@ HASHES = 2 * WIDTH * TABLES
 BLOCK = 256
 #: Ids that are broadcast to fetch their texts, or to drop rows; more are joined.
 BROADCAST_IDS = 500_000
+#: Representatives whose keys one task makes, about.
+KEYED = 8192
 SET = ["_n", "_set"]
 #: The node of a null id: the smallest of all.
 NULL_ID = -(2**63)
@@ -317,7 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
     reps = stored(signed.join(classes.select(F.col("_rep").alias("_id"), *SET), ["_id", *SET], "left_semi").dropDuplicates(["_id"]).drop("_own"), "reps")
 
     table_keys = f"flatten(transform(sequence(0, {TABLES - 1}), i -> transform(sequence(0, {TABLES - 1}), j -> xxhash64(_a[i], _b[j], i * {TABLES} + j))))"
-    keys = reps.select("_id", F.posexplode(F.expr(table_keys)).alias("_t", "_key"))
+    # small rows that become many: so few to a task that their counts fit into its memory
+    dealt = reps.repartition(max(8, reps.count() // KEYED), "_id")
+    keys = dealt.select("_id", F.posexplode(F.expr(table_keys)).alias("_t", "_key"))
     buckets = stored(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "buckets")
     members = stored(keys.join(buckets, "_key"), "members")
     # the centre of a star: the member that meets most others, in all tables together
