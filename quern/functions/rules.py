@@ -10,7 +10,7 @@ EARTH_KM, DEGREE_KM = 6371.0088, 111.32
 RADIUS_KM = {"intersection": 0.75, "road_segment": 1.0, "area": 3.0, "city": 12.0, "district": 35.0}
 FIELD_ALIASES = {"fatality_count": "fatalities", "fatalities_count": "fatalities", "death_count": "fatalities", "injury_count": "injuries", "injuries_count": "injuries", "injured_count": "injuries"}
 LABEL_CONFIDENCE = {"low": 0.35, "medium": 0.65, "high": 0.9}
-#: Words that tell an assertion, in order of precedence.
+#: Words that tell an assertion, in order of precedence.
 ASSERTIONS = (("direct", "observed"), ("observ", "observed"), ("alleg", "attributed_claim"), ("claim", "attributed_claim"), ("opinion", "opinion"), ("sentiment", "opinion"), ("infer", "inferred"), ("predict", "predicted"), ("possible", "predicted"))
 
 

@@ -20,10 +20,17 @@ NUMBER_WORDS = {
 NUMBER = r"[0-9]+|" + "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w)))
 PERSONS = "people|persons?|students?|labourers?|workers?|others?"
 DEATHS = rf"(?i)\b({NUMBER})\s+(?:(?:{PERSONS})\s+)?(?:were\s+|was\s+)?(?:killed|died|dead|deaths?|fatalities)\b"
-INJURIES = rf"(?i)\b({NUMBER})\s+(?:more\s+)?(?:(?:{PERSONS}|friends?|classmates?)\s+)?(?:were\s+|was\s+)?(?:[a-zA-Z0-9_]+ly\s+)?(?:injured|hurt)\b"
+INJURIES = rf"(?i)\b({NUMBER})\s+(?:more\s+)?(?:(?:{PERSONS}|friends?|classmates?)\s+)?(?:were\s+|was\s+)?(?:\w+ly\s+)?(?:injured|hurt)\b"
+INJURING = rf"(?i)\binjuring\s+(?:his|her|their)\s+({NUMBER})\s+(?:friends?|classmates?|students?|people|persons?)\b"
+OF_THEM_INJURED = rf"(?i)\b(?:(?:his|her|their)\s+)?({NUMBER})\s+(?:of\s+(?:his|her|their)\s+)?(?:friends?|classmates?|students?|people|persons?)\s+(?:were\s+)?(?:injured|hurt)\b"
 ONE_DEATH = r"(?i)\b(?:a|one)\s+(?:[\w-]+\s+){0,3}(?:was\s+)?(?:killed|died)\b|\b(?:student|man|woman|person|motorcyclist|pedestrian|driver|rider)\s+(?:[\w'-]+\s+){0,3}(?:was\s+)?(?:killed|died)\b|\b(?:killing|death of)\s+(?:[\w'-]+\s+){0,4}[\w'-]+"
 
 
+#: ASCII, and Latin-1 letters that are their own compatibility form.
+ASCII = r"\A[\x00-\x7F]*\z"
+PLAIN = r"\A[\x00-\x7F\u00C0-\u00FF]*\z"
+
+
 def _column(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -46,15 +53,26 @@ def ascii_digits(text: str | Column) -> Column:
     return F.translate(_column(text), BENGALI_DIGITS, "0123456789")
 
 
+def nfkc(text: str | Column) -> Column:
+    """Compatibility composition.  Spark has no expression for it; text of Latin-1 letters without compatibility forms is its own
+    and never leaves the JVM."""
+    text = _column(text)
+    return F.when(text.rlike(PLAIN), text).otherwise(_nfkc(F.when(~text.rlike(PLAIN), text)))
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no expression for it."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def unaccented(text: str | Column) -> Column:
+    """Compatibility decomposition, case folded, without combining marks; ASCII text is only put in lower case, in the JVM."""
+    text = _column(text)
+    return F.when(text.rlike(ASCII), F.lower(text)).otherwise(_unaccented(F.when(~text.rlike(ASCII), text)))
+
+
 @F.pandas_udf(StringType())
-def unaccented(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition, case folded, without combining marks."""
+def _unaccented(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x).casefold() if not unicodedata.combining(c)))
 
 
@@ -99,7 +117,8 @@ def casualty_counts(text: str | Column) -> Column:
     """struct(fatalities, injuries) from the first match of each; a death told without a number counts one; else null."""
     x = _column(text)
     deaths = number_of(F.nullif(F.regexp_extract(x, DEATHS, 1), F.lit("")))
-    return F.struct(F.coalesce(deaths, F.when(x.rlike(ONE_DEATH), F.lit(1))).alias("fatalities"), number_of(F.nullif(F.regexp_extract(x, INJURIES, 1), F.lit(""))).alias("injuries"))
+    injured = F.coalesce(*(number_of(F.nullif(F.regexp_extract(x, p, 1), F.lit(""))) for p in (INJURIES, INJURING, OF_THEM_INJURED)))
+    return F.struct(F.coalesce(deaths, F.when(x.rlike(ONE_DEATH), F.lit(1))).alias("fatalities"), injured.alias("injuries"))
 
 
 def alias_pattern(alias: Column) -> Column:

@@ -15,6 +15,8 @@ SENTIMENT_WORDS = ("justice", "protest", "demand", "ভোগান্তি")
 CONGESTION_WORDS = ("traffic", "যানজট", "ভোগান্তি")
 #: Rows of the gazetteer that are broadcast; more are joined.
 MOST_ALIASES = 100_000
+#: Rows of the gazetteer whose first words are written into the plan.
+MOST_BEGINNINGS = 1_000
 
 
 def relevant(text: Column, keywords: Column, declared: Column, pattern: str = TRAFFIC) -> Column:
@@ -39,14 +41,18 @@ def block_evidence(sources: DataFrame, blocks: DataFrame) -> DataFrame:
 def matching_anchors(texts: DataFrame, id_col: str, text_col: str, aliases: DataFrame) -> DataFrame:
     """Best anchor of each family in each text: aliases (alias, anchor, family, priority, ord) stand at word boundaries.
 
-    The alias table is a dimension, broadcast up to MOST_ALIASES rows, which also keeps common words out of a shuffle; each text meets those aliases only whose first word it
-    holds, by an equi-join on words, so the work grows with the words and not with texts times aliases.
+    The alias table is a dimension, broadcast up to MOST_ALIASES rows.  Up to MOST_BEGINNINGS rows its first words are written into
+    the plan, so that a text is repeated for the words only that some alias begins with.  Each such text meets the aliases that
+    begin with its word by an equi-join: the work grows with the words and not with texts times aliases.
     """
     first = F.regexp_extract(folded("alias"), r"[\p{L}\p{N}]+", 0)
     dimension = aliases.select("anchor", "family", "priority", "ord", "alias", first.alias("_first"), alias_pattern(F.col("alias")).alias("_pattern"))
-    text = folded(text_col)
-    words = texts.select(F.col(id_col), text.alias("_text")).withColumn("_first", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
-    hits = words.join(F.broadcast(dimension) if dimension.count() <= MOST_ALIASES else dimension, "_first").where(F.expr("_text rlike _pattern")).select(id_col, "anchor", "family", "priority", "ord").distinct()
+    held = F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    size = dimension.count()
+    if size <= MOST_BEGINNINGS:
+        held = F.array_intersect(held, F.array(*(F.lit(r[0]) for r in dimension.select("_first").distinct().collect())).cast("array<string>"))
+    rows = texts.select(F.col(id_col), folded(text_col).alias("_text")).withColumn("_first", F.explode(held))
+    hits = rows.join(F.broadcast(dimension) if size <= MOST_ALIASES else dimension, "_first").where(F.expr("_text rlike _pattern")).select(id_col, "anchor", "family", "priority", "ord").distinct()
     own = F.coalesce("family", F.concat(F.lit("="), "anchor"))
     rank = F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.desc("priority"), "ord"))
     return hits.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
@@ -94,10 +100,10 @@ def split_mentions(evidence: DataFrame, aliases: DataFrame, countries: DataFrame
     best = F.max(F.struct("priority", (-F.col("ord")).alias("o"), "anchor"))
     counts = [F.when(F.count_distinct(f"casualties.{f}") == 1, F.max(f"casualties.{f}")).alias(f) for f in ("fatalities", "injuries")]
     placed = related.groupBy("source_id", "family").agg(best.alias("_best"), F.sort_array(F.collect_set("evidence_id")).alias("evidence_ids"), *counts)
-    placed = placed.select("source_id", F.col("_best.anchor").alias("anchor"), "evidence_ids", "fatalities", "injuries", F.lit("named").alias("place"))
+    placed = placed.select("source_id", F.col("_best.anchor").alias("anchor"), F.col("_best.priority").alias("priority"), "evidence_ids", "fatalities", "injuries", F.lit("named").alias("place"))
     rest = evidence.where("incident").join(placed.select("source_id").distinct(), "source_id", "left_anti").join(countries.select("country_code", "iso3"), "country_code", "left")
     unplaced = rest.groupBy("source_id").agg(F.first("iso3", True).alias("iso3"), F.sort_array(F.collect_set("evidence_id")).alias("evidence_ids"), *counts)
-    unplaced = unplaced.select("source_id", F.coalesce(F.concat(F.lit("country-fallback:"), "iso3"), F.lit("unknown")).alias("anchor"), "evidence_ids", "fatalities", "injuries", F.when(F.col("iso3").isNotNull(), "country").otherwise("unknown").alias("place"))
+    unplaced = unplaced.select("source_id", F.coalesce(F.concat(F.lit("country-fallback:"), "iso3"), F.lit("unknown")).alias("anchor"), F.lit(-100).alias("priority"), "evidence_ids", "fatalities", "injuries", F.when(F.col("iso3").isNotNull(), "country").otherwise("unknown").alias("place"))
     return placed.unionByName(unplaced).withColumn("mention_id", stable_id("men", "source_id", "anchor")).withColumn("completeness", F.least(F.lit(0.9), 0.35 + F.size("evidence_ids") * 0.05))
 
 

@@ -8,16 +8,16 @@ that links would join, so constrained_clusters tests them there, on the mentions
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.rules import adjudicated, days_apart, time_score, total_score
 from quern.functions.text import jaccard
+from quern.operators.store import stored
 
 #: Fixed values.
 POSSIBLE, MOST_DAYS = 0.45, 3
@@ -91,40 +91,30 @@ def decided(pairs: DataFrame, must: DataFrame, cannot: DataFrame) -> DataFrame:
 def components(edges: DataFrame, left: str = "l_id", right: str = "r_id") -> DataFrame:
     """node, component (its smallest member) for every node with an edge: smallest-neighbour links with shortcuts.
 
-    Each round writes its links to the shared checkpoint folder, so that lineage stays short and survives lost executors."""
-    _checkpoint_dir(edges.sparkSession)
-    edges = edges.select(left, right).distinct().checkpoint()
+    Each round writes its links to the shared folder, so that lineage stays short and survives lost executors."""
+    edges = stored(edges.select(left, right).distinct(), "edges")
     up = edges.where(f"{left} <> {right}").select(F.greatest(left, right).alias("node"), F.least(left, right).alias("up")).distinct()
     nodes = edges.select(F.col(left).alias("node")).union(edges.select(right)).distinct()
     while True:
         least = up.groupBy("node").agg(F.min("up").alias("least"), F.count(F.lit(1)).alias("k"))
         others = up.join(least.where("k > 1"), "node").where("up <> least").select(F.col("up").alias("node"), F.col("least").alias("up"))
-        linked = least.select("node", F.col("least").alias("up")).union(others).distinct().checkpoint()
-        top = linked.groupBy("node").agg(F.min("up").alias("top")).withColumnRenamed("node", "up").checkpoint()  # so that a hot node's join can be split
-        step = linked.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")).checkpoint()
+        linked = stored(least.select("node", F.col("least").alias("up")).union(others).distinct(), "linked")
+        top = stored(linked.groupBy("node").agg(F.min("up").alias("top")).withColumnRenamed("node", "up"), "top")  # so that a hot node's join can be split
+        step = stored(linked.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "step")
         rows, distinct, moved = step.agg(F.count(F.lit(1)), F.count_distinct("node"), F.count_if("moved")).first()
         if rows == distinct and not moved:
             return nodes.join(linked, "node", "left").select("node", F.coalesce("up", "node").alias("component"))
         up = step.select("node", "up").distinct()
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """The folder that the cluster names; a temporary one on a single machine without a setting."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
-
-
 def constrained_clusters(decisions: DataFrame, mentions: DataFrame | None = None, most_days: int = MOST_DAYS) -> DataFrame:
     """node, cluster (its smallest member): same-incident links joined in order of confidence unless a cannot-link crosses.
 
     With mentions, a guard between two of them is a cannot-link too, whether or not the pair is among the decisions.
     Nothing outside a component of same-incident links can influence it, so components run apart from one another."""
+    decisions = stored(decisions.select("l_id", "r_id", "decision", "confidence"), "decisions")
     same = decisions.where("decision = 'same_incident'")
-    parts = components(same)
+    parts = stored(components(same), "parts")
     inside = decisions.where("decision IN ('same_incident', 'different_incident', 'related_but_distinct')").join(parts.withColumnRenamed("node", "l_id"), "l_id")
     inside = inside.join(parts.select(F.col("node").alias("r_id"), F.col("component").alias("rc")), "r_id").where("component = rc").select("component", "l_id", "r_id", "decision", "confidence")
     key = inside.schema["l_id"].dataType.simpleString()

@@ -70,3 +70,13 @@ def cited(evidence: DataFrame, records: DataFrame, record_id: object, id_col: st
     """The evidence that a record cites."""
     ids = records.where(F.col(id_col) == F.lit(record_id)).select(F.explode(list_col).alias("evidence_id"))
     return evidence.join(ids, "evidence_id", "left_semi")
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of that key, or none."""
+    return rows.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def newest(rows: DataFrame, status: str | None = None, at: str = "submitted_at") -> DataFrame:
+    """Rows of a status, or all, the newest first by their time as text."""
+    return (rows if status is None else rows.where(F.col("status") == status)).orderBy(F.desc(at))

@@ -172,8 +172,8 @@ QUERIES = {
     "modal_time": (q_modal_time, "WITH e AS (SELECT user_id, event_id, event_type, date_trunc('hour', ts)::TIMESTAMP AS t FROM events), " + _PLUR.format(k="user_id", v="t", t="e") + """, f AS (SELECT user_id, min_by(event_type, event_id) AS event_type FROM e GROUP BY user_id)
         SELECT user_id, strftime(value, '%Y-%m-%d %H:%M:%S') AS start, strftime(value + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS "end", event_type FROM b JOIN f USING (user_id) WHERE r = 1"""),
     "fused_place": (q_fused_place, """WITH c AS (SELECT c_mktsegment, n_name, c_custkey, c_custkey % 3 <> 0 AS fine, 0.5::DOUBLE + c_custkey % 4 / 20 AS conf, max((c_custkey % 3 <> 0)::INT) OVER (PARTITION BY c_mktsegment) AS gate FROM customer JOIN nation ON c_nationkey = n_nationkey),
-        v AS (SELECT c_mktsegment, n_name, count(*) AS n, min(c_custkey) AS o, max(conf) AS c, min(fine::INT) AS fine FROM c WHERE gate = 0 OR fine GROUP BY ALL)
-        SELECT c_mktsegment, n_name AS place, round(least(0.95::DOUBLE, c + CASE WHEN fine = 1 THEN 0.05::DOUBLE ELSE 0.02::DOUBLE END * (n - 1)), 6) AS confidence, (count(*) OVER (PARTITION BY c_mktsegment) - 1)::INT AS n_alternatives FROM v QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, o) = 1"""),
+        v AS (SELECT c_mktsegment, n_name, count(*) AS n, min(c_custkey) AS o, first(conf ORDER BY c_custkey) AS c, gate FROM c WHERE gate = 0 OR fine GROUP BY c_mktsegment, n_name, gate)
+        SELECT c_mktsegment, n_name AS place, round(CASE WHEN gate = 1 THEN least(0.9::DOUBLE, c + 0.05::DOUBLE * (n - 1)) ELSE least(0.2::DOUBLE, c + 0.02::DOUBLE * (n - 1)) END, 6) AS confidence, (SELECT count(DISTINCT n_name) FROM c d WHERE d.c_mktsegment = v.c_mktsegment)::INT - 1 AS n_alternatives FROM v QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, o) = 1"""),
     "aspect_polarity_map": (q_aspect_polarity_map, "SELECT user_id, event_type AS aspect, CASE WHEN value < 50 THEN 'negative' WHEN value < 150 THEN 'neutral' ELSE 'positive' END AS polarity, count(*) AS n FROM events GROUP BY ALL"),
     "last_wins_dedup": (q_last_wins_dedup, "SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value, min(event_id) AS first_order FROM events GROUP BY ALL"),
     "severity_case": (q_severity_case, f"WITH {INCIDENTS} SELECT severity, count(*) AS n, sum(source_count)::BIGINT AS sources FROM i GROUP BY severity"),

@@ -37,10 +37,10 @@ def feature_collection(df: DataFrame, feature_col: str, most: int = 100_000) ->
 
 
 def incident_markdown(df: DataFrame) -> DataFrame:
-    """Adds markdown to fused records (title, incident_id, source_ids, independent, facts)."""
-    fact = lambda f: F.concat(F.lit("- "), f["field"], F.lit(": "), F.coalesce(f["value"].cast("string"), F.lit("not reported")), F.when(F.size(f["alternatives"]) > 0, F.concat(F.lit(" vs "), F.array_join(F.transform(f["alternatives"], lambda a: a.cast("string")), " vs "))).otherwise(F.lit("")))
+    """Adds markdown to fused records, with the evidence that each fact cites."""
+    fact = lambda f: F.concat(F.lit("- "), f["field"], F.lit(": "), F.coalesce(f["value"].cast("string"), F.lit("not reported")), F.when(F.size(f["alternatives"]) > 0, F.concat(F.lit(" vs "), F.array_join(F.transform(f["alternatives"], lambda a: a.cast("string")), " vs "))).otherwise(F.lit("")), F.array_join(F.transform(f["support"], lambda e: F.concat(F.lit(" ["), e, F.lit("]"))), ""))
     facts = F.array_join(F.transform(F.coalesce("facts", F.array()), fact), "\n")
-    return df.withColumn("markdown", F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled"))), F.concat(F.lit("Record "), "incident_id"), F.concat(F.lit("Independent sources: "), F.col("independent").cast("string")), facts))
+    return df.withColumn("markdown", F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled"))), F.concat(F.lit("Record "), "incident_id"), F.concat(F.lit("Independent sources: "), F.col("source_count").cast("string")), F.concat(F.lit("Place: "), F.coalesce("place", F.lit("not resolved"))), facts, F.concat(F.lit("\n"), "summary")))
 
 
 def write_schemas(tables: dict[str, DataFrame], path: str, spark: SparkSession) -> None:
@@ -51,10 +51,21 @@ def publish(df: DataFrame, root: str, name: str) -> str:
     """Write a new version and then point to it: readers see the old or the new one, whole; a failed write changes nothing."""
     version = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    df.sparkSession.createDataFrame([(name, version)], "name string, version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
+    number = 1 + (_last(df.sparkSession, root, name) or (0, None))[0]
+    df.sparkSession.createDataFrame([(name, version, number)], "name string, version string, number long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
     return version
 
 
+def _last(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    """Number and folder of the newest version; of two writers that took one number, the one whose folder comes last."""
+    try:
+        row = spark.read.parquet(f"{root}/_pointers").where(F.col("name") == name).orderBy(F.desc("number"), F.desc("version")).first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return (row["number"], row["version"]) if row else None
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/_pointers").where(F.col("name") == name).orderBy(F.desc("at")).first()["version"]
-    return spark.read.parquet(version)
+    return spark.read.parquet(_last(spark, root, name)[1])

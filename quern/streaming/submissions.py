@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quern.operators.store import shared_folder
+
 #: (action, states it is allowed in) -> next state.
 RULES = {
     "submit": (("none", "rejected"), "pending"), "review": (("pending", "ingest_failed"), "processing"), "approve": (("processing",), "approved"),
@@ -35,7 +37,7 @@ class Machine(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         status, applied, refused, seen = self.state.get() if self.state.exists() else ("none", 0, 0, 0)
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():  # one batch's actions on one submission
             to = transition(status, r.action)
             seen += 1
             if to is None:
@@ -66,13 +68,7 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Its checkpoint and the table that it feeds are in the shared checkpoint folder; each batch is written with its number, so that a
     batch that runs again replaces itself."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quern-")
+    base = shared_folder(spark)
     folder = f"{base}/submissions-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -155,17 +155,33 @@ def test_votes(spark):
 
 
 def test_fused_record(spark):
-    clusters = spark.createDataFrame([("c", "m1"), ("c", "m2")], "cluster string, mention_id string")
-    mentions = spark.createDataFrame([("m1", "s1", "g", "first"), ("m2", "s2", "g", "second")], "mention_id string, source_id string, dependency_group string, title string")
-    facts = spark.createDataFrame([("m1", "fatalities", 1), ("m2", "fatalities", 2)], "mention_id string, field string, value int")
-    r = fusing.fuse_clusters(clusters, mentions, facts).first()
-    assert (r.independent, r.duplicate_groups, r.title, r.mention_ids) == (1, 1, "first", ["m1", "m2"])
-    assert (r.facts[0].value, r.facts[0].alternatives, r.facts[0].contradiction) == (1, [2], True)
+    clusters = spark.createDataFrame([("c", "m1"), ("c", "m2"), ("d", "m3")], "cluster string, mention_id string")
+    rows_ = [("m1", "s1", "g", "first", ["e1"], ["bus"], [], 1, None, "Dhaka", "city", 23.8, 90.4, 0.68), ("m2", "s2", "g", None, ["e2"], [], ["jam"], 2, 3, "Bangladesh", "country", 23.0, 90.0, 0.12), ("m3", "s3", None, None, ["e3"], [], [], None, 0, "Bangladesh", "country", 23.0, 90.0, 0.12)]
+    mentions = spark.createDataFrame(rows_, "mention_id string, source_id string, dependency_group string, title string, evidence_ids array<string>, vehicles array<string>, effects array<string>, fatalities int, injuries int, place_name string, granularity string, lat double, lon double, place_confidence double")
+    mentions = mentions.selectExpr("*", "if(mention_id = 'm3', null, timestamp_ntz'2026-01-02 00:00:00') AS event_time", "cast(null AS double) AS radius_km", "'r' AS reason")
+    moods = spark.createDataFrame([("t1", "e1", "s1", "road_safety", "negative"), ("t2", "e1", "s1", "road_safety", "positive")], "sentiment_id string, evidence_id string, source_id string, aspect string, polarity string")
+    c, d = fusing.fuse_clusters(clusters, mentions, moods).orderBy("mention_ids").collect()
+    assert (c.source_count, c.duplicate_groups, c.title, c.evidence_ids, c.place, c.confidence, c.other_places, c.radius_km) == (1, [["s1", "s2"]], "first", ["e1", "e2"], "Dhaka", 0.68, ["Bangladesh"], 12.0)
+    assert [(f.field, f.value, f.state, f.alternatives, f.contradiction, f.support) for f in c.facts] == [("fatalities", 1, "known", [2], True, ["e1", "e2"]), ("injuries", 3, "known", [], False, ["e2"])]
+    assert (c.date, c.polarities, c.n_sentiments, c.by_aspect, c.severity, c.method) == ("2026-01-02", ["positive"], 1, {"road_safety": {"positive": 1}}, "high", "source_named_offline_gazetteer_centroid")
+    assert (d.title, d.date, d.place, d.method, d.is_incident_location, d.radius_km, d.n_sentiments) == (fusing.UNTITLED, None, "Bangladesh", "collection_country_fallback", False, None, 0)
+    assert [(f.value, f.state) for f in d.facts] == [(None, "not_reported"), (0, "reported_zero")]
+    assert "Dhaka" in c.text and "zero injuries reported" in d.summary
+
+
+def test_filters_map_and_pages_take_fused_records(spark):
+    from quern.plans.fusion import _records
+
+    r = _records(spark, "/root/testdata/sf0.001")
+    every = querying.Filter(kind="road_crash", severity="high", confidence=0.1, source_count=1, search="PLACE", date_from="2024-01-01", date_to="2024-12-31", box=(-180.0, -90.0, 180.0, 90.0), sentiment="negative").apply(r)
+    assert 0 < every.count() < r.count()
+    assert querying.page(every, "incident_id", 1, 2).count() == 2
+    assert r.select(querying.feature(["incident_id"]).alias("f")).where("f IS NOT NULL").count() == r.where("lat IS NOT NULL").count() > 0
 
 
 def test_place_vote_and_last_wins(spark):
     p = spark.createDataFrame([("c", "X", "country", 0.12, 1), ("c", "A", "city", 0.6, 2), ("c", "A", "city", 0.7, 3), ("d", "X", "country", 0.12, 4), ("d", "X", "country", 0.12, 5)], "k string, n string, g string, c double, o long")
-    assert [(r.k, r.place, round(r.confidence, 6)) for r in fusing.fused_place(p, ["k"], "n", "g", "c", "o").orderBy("k").collect()] == [("c", "A", 0.75), ("d", "X", 0.14)]
+    assert [(r.k, r.place, round(r.confidence, 6)) for r in fusing.fused_place(p, ["k"], "n", "g", "c", "o").orderBy("k").collect()] == [("c", "A", 0.65), ("d", "X", 0.14)]
     w = spark.createDataFrame([("e", 1, "a"), ("e", 3, "b"), ("f", 2, "c")], "k string, o long, v string")
     assert rows(fusing.last_wins(w, ["k"], "o").select("k", "v", "first_order"), "k") == [("e", "b", 1), ("f", "c", 2)]
 

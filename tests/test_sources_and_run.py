@@ -62,7 +62,7 @@ def test_media(spark):
 
 def test_run_from_folder_to_incidents(spark, folder, tmp_path):
     aliases = spark.createDataFrame([("north ryde", "ryde", "north", 30, 1), ("bridge", "bridge", None, 5, 2)], "alias string, anchor string, family string, priority int, ord int")
-    countries = spark.createDataFrame([("AU", "AUS")], "country_code string, iso3 string")
+    countries = spark.createDataFrame([("AU", "AUS", "Australia", -25.0, 133.0)], "country_code string, iso3 string, name string, lat double, lon double")
     result = pipeline.run(spark, folder, aliases, countries)
     got = {tuple(i.source_ids): i for i in result.incidents.collect()}
     title = {r.source_id: r.title for r in result.mentions.collect()}
