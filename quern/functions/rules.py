@@ -85,3 +85,8 @@ def total_score(time: Column, location: Column, entity: Column, vehicle: Column,
 def adjudicated(total: Column, time: Column, location: Column, lexical: Column, guard: Column) -> Column:
     same = ((location == 1) & (time >= 0.65)) | ((lexical >= 0.3) & (total >= 0.6) & guard.isNull())
     return F.when(same, "same_incident").otherwise("uncertain")
+
+
+def half_coordinates(lat: Column, lon: Column) -> Column:
+    """Whether a place has one coordinate without the other, which it may not."""
+    return lat.isNull() != lon.isNull()

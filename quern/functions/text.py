@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -131,3 +132,19 @@ def strip_publisher(title: str | Column, publisher: str | Column) -> Column:
     """Without a trailing ' - Publisher', in any case."""
     t, suffix = _column(title), F.concat(F.lit(" - "), _column(publisher))
     return F.when(F.lower(t).endswith(F.lower(suffix)), F.trim(F.left(t, F.length(t) - F.length(suffix)))).otherwise(t)
+
+
+def matches_terms(text: str | Column, terms_: list[str], excluded: list[str]) -> Column:
+    """Whether a text holds any of the terms and none of the excluded ones, accents and case aside."""
+    t = unaccented(text)
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x).casefold() if not unicodedata.combining(c))
+    any_of = lambda words: reduce(Column.__or__, (F.contains(t, F.lit(plain(w))) for w in words), F.lit(False))
+    return any_of(terms_) & ~any_of(excluded)
+
+
+def compacted(text: str | Column, most: int) -> Column:
+    """Without addresses, in single spaces, at most so many characters, cut at a word with an ellipsis."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(_column(text), r"https?://\S+", ""), r"\s+", " "))
+    cut = F.substring(t, 1, most + 1)
+    word = F.when(cut.contains(" "), F.rtrim(F.regexp_replace(cut, r" [^ ]*$", ""))).otherwise(cut)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(word, F.lit("…")))

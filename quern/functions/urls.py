@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-#: Query parameters that only track.
+#: Answers that deny access, and query parameters that only track.
+BLOCKED = (401, 403, 407, 418, 429, 451)
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src")
 
 
@@ -49,16 +50,40 @@ def direct_url(url: str | Column) -> Column:
     return F.coalesce(F.try_url_decode(inner), u)
 
 
+def is_public(host: str | None) -> bool:
+    """Whether the host is neither local nor an address outside the public range."""
+    if not host or host == "localhost" or host.endswith((".localhost", ".local")):
+        return False
+    try:
+        return ipaddress.ip_address(host.strip("[]")).is_global
+    except ValueError:
+        return True
+
+
 @F.pandas_udf(BooleanType())
 def public_host(host: pd.Series) -> pd.Series:
-    """Whether the host is neither local nor an address outside the public range."""
+    return host.map(is_public)
+
+
+def safe_relative_path(path: str | Column) -> Column:
+    """Whether a path stays below its folder: not empty, not absolute, no backslash, no dot parts."""
+    p = _column(path)
+    return (p != "") & ~p.contains("\\") & ~p.startswith("/") & ~p.rlike(r"(^|/)\.{0,2}(/|$)")
+
+
+def web_url(url: str | Column) -> Column:
+    """Whether an address is absolute, of the web and without credentials."""
+    u = _column(url)
+    return u.rlike(r"^(?i:https?)://[^/?#@:]+(:[0-9]*)?([/?#].*)?$")
+
+
+def country_code(code: str | Column, assigned: list[str] | None = None) -> Column:
+    """Whether a code has three capital letters, and is one of the assigned ones if those are given."""
+    c = _column(code)
+    return c.rlike("^[A-Z]{3}$") & (c.isin(assigned) if assigned else F.lit(True))
 
-    def test(x: str | None) -> bool:
-        if not x or x == "localhost" or x.endswith((".localhost", ".local")):
-            return False
-        try:
-            return ipaddress.ip_address(x.strip("[]")).is_global
-        except ValueError:
-            return True
 
-    return host.map(test)
+def access_class(status: str | Column) -> Column:
+    """What an HTTP status says about access to a publisher; null is a request that failed."""
+    s = _column(status)
+    return F.when(s.isNull(), "request_error").when(s.between(200, 399), "accessible").when(s.isin(*BLOCKED), "blocked").when(s.isin(404, 410), "unavailable").otherwise("http_error")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.rules import haversine_km
 from quern.functions.text import folded
 from quern.operators.matching import components
 
@@ -58,6 +59,13 @@ def numeric_comparison(rows: DataFrame, gold: str, found: str, keys: list[str] |
     return both.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(d == 0).alias("exact"), F.avg(F.abs(d)).alias("mae"), F.sum(gold).alias("gold_total"), F.sum(found).alias("found_total"), F.count_if(d > 0).alias("over"), F.count_if(d < 0).alias("under"))
 
 
+def place_comparison(rows: DataFrame, terms: str, place: str, gold: tuple[str, str], found: tuple[str, str]) -> DataFrame:
+    """Adds agrees (the place holds all required terms), km (between both coordinates, if both are there) and the category of error."""
+    agrees = F.coalesce(F.forall(terms, lambda t: F.contains(folded(place), folded(t))), F.lit(False)) & F.col(place).isNotNull()
+    km = haversine_km(F.col(gold[0]), F.col(gold[1]), F.col(found[0]), F.col(found[1]))
+    return rows.withColumns({"agrees": agrees, "km": km, "error": F.when(F.col(place).isNull(), "place_missing").when(~agrees, "place_differs").otherwise("none")})
+
+
 def presence(rows: DataFrame, fields: list[str], keys: list[str] | None = None) -> DataFrame:
     """Share of rows in which each field is known."""
     return rows.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col(f).isNotNull().cast("int")).alias(f) for f in fields))

@@ -158,3 +158,30 @@ def summary_text() -> Column:
         F.when(F.size("vehicles") > 0, F.concat(F.lit("Vehicles or road users: "), F.array_join("vehicles", ", "), F.lit("."))), F.when(F.size("effects") > 0, F.concat(F.lit("Effects: "), F.array_join("effects", "; "), F.lit("."))),
         F.concat(F.size("source_ids").cast("string"), F.lit(" source records, "), F.col("source_count").cast("string"), F.lit(" independent groups, "), F.size("evidence_ids").cast("string"), F.lit(" pieces of evidence.")),
     )
+
+
+def reconciled(records: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Records of a model held to what their mentions tell: records (key, place, lat, lon, confidence), candidates (key, name,
+    granularity, lat, lon, confidence).
+
+    The place becomes the located candidate whose words of more than three letters occur most in the model's name, then the most
+    confident, then the first by name, countries only if there are no others; its confidence is the smaller one.  Coordinates
+    without a located candidate go."""
+    own = candidates.where("lat IS NOT NULL AND lon IS NOT NULL").join(records.select(key, F.lower(F.coalesce("place", F.lit(""))).alias("_said")), key)
+    words = F.array_distinct(F.filter(F.split(F.lower(F.replace("name", F.lit(","), F.lit(" "))), r"\s+"), lambda w: F.length(w) > 3))
+    fit = F.struct((F.col("granularity") != "country").alias("fine"), F.size(F.filter(words, lambda w: F.contains(F.col("_said"), w))).alias("overlap"), F.col("confidence").alias("c"))
+    best = own.withColumn("_fit", fit).groupBy(key).agg(F.max("_fit").alias("_top"), F.collect_list(F.struct("_fit", F.struct("name", "granularity", "lat", "lon", "confidence").alias("v"))).alias("_all"))
+    best = best.select(key, F.array_min(F.transform(F.filter("_all", lambda x: x["_fit"] == F.col("_top")), lambda x: x["v"])).alias("_b"))
+    out = records.join(best, key, "left")
+    found = F.col("_b").isNotNull()
+    return out.select(
+        key, F.when(found, F.col("_b.name")).otherwise(F.col("place")).alias("place"), F.col("_b.lat").alias("lat"), F.col("_b.lon").alias("lon"), F.when(found, F.col("_b.granularity")).otherwise("unknown").alias("granularity"),
+        F.when(found, F.least("confidence", "_b.confidence")).when(F.col("lat").isNotNull(), 0.0).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(F.col("_b.granularity") == "country", "collection_country_fallback").when(found, "source_named_offline_gazetteer_centroid").when(F.col("lat").isNotNull(), "unresolved; ungrounded coordinates discarded").otherwise("unresolved").alias("method"),
+    )
+
+
+def unanimous_facts(told: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Facts (key, field, value) that all mentions of a record agree on and that the record lacks, with confidence 0.8."""
+    one = told.where("value IS NOT NULL").groupBy(key, "field").agg(F.min("value").alias("value"), F.max("value").alias("_most")).where("value = _most").drop("_most")
+    return one.join(known.select(key, "field"), [key, "field"], "left_anti").select(key, "field", "value", fact_state(F.col("value")).alias("state"), F.lit(0.8).alias("confidence"))

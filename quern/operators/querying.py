@@ -49,7 +49,7 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) ->
     return lat.isNull() | lon.isNull() | (lon.between(west, east) & lat.between(south, north))
 
 
-def page(rows: DataFrame, order: str, number: int, size: int) -> DataFrame:
+def page(rows: DataFrame, order: str | Column, number: int, size: int) -> DataFrame:
     """Rows of one page, counted from 1, by an explicit order."""
     return rows.orderBy(order).offset((number - 1) * size).limit(size)
 

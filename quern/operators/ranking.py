@@ -35,3 +35,14 @@ def quota_selection(rows: DataFrame, group: str, key: str, domain: str, confiden
     pair = top_per_group(per, [group], order, 2).select(group, url, F.lit(True).alias("pair"))
     joined = once.join(pair, [group, url], "left").withColumn("pair", F.coalesce("pair", F.lit(False)))
     return top_per_group(joined, [group], [F.desc("pair"), *order], n)
+
+
+def accepted(rows: DataFrame, group: str, domain: str, title: Column, ok: Column, order: list[Column], cap: int = 3, most: int = 20) -> DataFrame:
+    """Rows taken in order: those that are ok, the first of a title, while fewer than cap of their domain and most of the group
+    are taken before.
+
+    Only rows that are ok count against a domain, so they are filtered first; the place among them is then that among taken ones."""
+    fit = rows.where(ok).withColumn("_title", title)
+    fit = fit.withColumn("_t", F.row_number().over(Window.partitionBy(group, "_title").orderBy(*order))).where("_t = 1")
+    fit = fit.withColumn("_d", F.row_number().over(Window.partitionBy(group, domain).orderBy(*order))).where(F.col("_d") <= cap)
+    return fit.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("position") <= most).drop("_title", "_t", "_d")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import content_hash, stable_id
 from quern.functions.urls import canonical_url, hostname
-from quern.operators import ranking, validation
+from quern.operators import ranking, titles, validation
 
 
 @dataclass
@@ -28,6 +28,19 @@ def candidate_issues(candidates: DataFrame) -> DataFrame:
     return validation.every(*(validation.issue(candidates.where(test), code, "canonical_url") for code, test in checks.items()))
 
 
+def compiled(candidates: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Candidates (candidate_id, grp, domain, title, published, terms) with incident_key and pair_confidence: of the pair that
+    overrides (grp, l_id, r_id) name, if both are there, else of the group's plausible pair with most title terms shared."""
+    once = candidates.dropDuplicates(["grp", "candidate_id"])
+    there = overrides.join(once.select("grp", F.col("candidate_id").alias("l_id")), ["grp", "l_id"], "left_semi").join(once.select("grp", F.col("candidate_id").alias("r_id")), ["grp", "r_id"], "left_semi")
+    told = titles.plausible_pairs(titles.title_pairs(once.withColumnRenamed("candidate_id", "report_id"), 3))
+    best = told.groupBy("grp").agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "l_id", "r_id")).alias("b")).join(there, "grp", "left_anti")
+    pairs = there.select("grp", "l_id", "r_id", F.lit(0.95).alias("c")).unionByName(best.select("grp", "b.l_id", "b.r_id", F.least(F.lit(0.95), 0.55 - F.col("b.less") / 2).alias("c")))
+    key = F.concat(F.lower("grp"), F.lit("_pair_"), content_hash(F.least("l_id", "r_id").cast("string"), F.greatest("l_id", "r_id").cast("string"), length=12))
+    keyed = pairs.select("grp", F.explode(F.array("l_id", "r_id")).alias("candidate_id"), key.alias("incident_key"), F.col("c").alias("pair_confidence"))
+    return once.join(keyed, ["grp", "candidate_id"], "left")
+
+
 def build(candidates: DataFrame, countries: DataFrame, per_country: int = 10) -> Corpus:
     """Sources selected pair first, incidents of two sources and two domains or more, and what falls short."""
     eligible = candidates.where("access_status IN ('captured', 'available', 'ok')").withColumn("pair_confidence", F.coalesce("pair_confidence", F.lit(0.0)))

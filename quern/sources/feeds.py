@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import urllib.error
 import urllib.request
 import urllib.robotparser
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quern.functions.text import normalized, stable_id
-from quern.functions.urls import canonical_url, hostname
+from quern.functions.dates import feed_date
+from quern.functions.text import alias_pattern, compacted, folded, normalized, stable_id
+from quern.functions.urls import canonical_url, direct_url, hostname, is_public
 
 Fetch = Callable[[str, dict[str, str]], tuple[int, bytes]]
 MOST_RECORDS, MOST_DAYS, MOST_BYTES, AGENT = 250, 90, 4_000_000, "quern/0.1"
@@ -89,12 +91,43 @@ def discovered(articles: DataFrame) -> DataFrame:
     return rows.withColumn("_k", first).where("_k = 1").select(stable_id("disc", "country_iso2", "url").alias("discovery_id"), "country_iso2", "url", normalized("title").alias("title"), hostname("url").alias("domain"), "seen_at", "language", "source_country")
 
 
+def feed_candidates(items: DataFrame) -> DataFrame:
+    """Items (country_iso2, query, ord, title, link, pubDate) of all queries, once for each country and address: the first by query
+    and place keeps its title; the address inside an aggregator's link counts, and a trailing publisher goes."""
+    rows = items.withColumns({"url": canonical_url(direct_url("link")), "published_at": feed_date(F.col("pubDate"))}).where("url IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy("country_iso2", "url").orderBy("query", "ord"))
+    return rows.withColumn("_k", first).where("_k = 1").select("country_iso2", "url", hostname("url").alias("domain"), F.regexp_replace(normalized("title"), r" - [^-]+$", "").alias("title"), "published_at")
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files: title, link, pubDate, description."""
     return spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string, description string").load(path)
 
 
-OUTCOMES = "url string, outcome string, status int, reason string, bytes long"
+#: Words that tell a report of a crash in a post: vehicle, event and consequence together, and none of the last.
+POST_WORDS = (r"(?i)\b(bus|truck|lorry|car|motorcycle|van|train)\b", r"(?i)\b(crash|accident|collision)\w*", r"(?i)\b(killed|dead|died|injured|hurt)\b")
+NO_POST = r"(?i)\b(video game|simulation|insurance|movie)\b"
+POSTS_PER_COUNTRY, EXCERPT = 3, 280
+
+
+def social_posts(posts: DataFrame, countries: DataFrame) -> DataFrame:
+    """Posts (uri, author_did, handle, text, link, ord) that name a country and tell of a crash, once for each address, at most
+    POSTS_PER_COUNTRY of a country; countries (iso2, alias).
+
+    The aliases are a dimension; posts that don't tell of a crash are dropped before they meet it."""
+    told = F.lit(True)
+    for words in POST_WORDS:
+        told = told & F.col("text").rlike(words)
+    key = F.regexp_extract("uri", r"^(?:[^/]*/){4,}([^/]+)$", 1)
+    fit = posts.where(told & ~F.col("text").rlike(NO_POST) & F.col("author_did").startswith("did:") & (key != ""))
+    fit = fit.select("text", "handle", "ord", F.when(F.col("link").rlike("^https?://"), F.col("link")).alias("external_link"), F.concat(F.lit("post:"), "author_did", F.lit("/"), key).alias("post_url"), F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_first"))
+    names = countries.select("iso2", F.regexp_extract(folded("alias"), r"[\p{L}\p{N}]+", 0).alias("_first"), alias_pattern(F.col("alias")).alias("_pattern"))
+    named = fit.join(names, "_first").where(F.expr("replace(lower(text), 'ß', 'ss') rlike _pattern")).groupBy("iso2", "post_url").agg(F.min_by(F.struct("handle", "external_link", compacted("text", EXCERPT).alias("excerpt")), "ord").alias("p"), F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("iso2").orderBy("ord"))
+    return named.withColumn("_k", place).where(F.col("_k") <= POSTS_PER_COUNTRY).select(stable_id("social", "post_url").alias("candidate_id"), "iso2", "post_url", "p.handle", "p.external_link", "p.excerpt")
+
+
+OUTCOMES = "url string, outcome string, status int, reason string, bytes long, content binary"
 
 
 def allowed(robots_status: int, robots: bytes, url: str, agent: str = AGENT) -> tuple[bool, str]:
@@ -108,27 +141,35 @@ def allowed(robots_status: int, robots: bytes, url: str, agent: str = AGENT) ->
     return rules.can_fetch(agent, url), "robots rules"
 
 
-def captured(urls: DataFrame, fetch: Fetch = bounded_fetch, most: int = MOST_BYTES) -> DataFrame:
-    """Outcome of each address: captured, robots_denied, rejected or failed.  Addresses of a host share a task, which asks for its
-    robots file once; a host with many addresses is spread over SALT tasks."""
+def captured(urls: DataFrame, fetch: Fetch = bounded_fetch, most: int = MOST_BYTES, pause: float = 0.0) -> DataFrame:
+    """Outcome of each address, captured, robots_denied, rejected or failed, and the page of those captured, for snapshots().
+
+    Only public web addresses whose answer is a page are captured.  Addresses of a host share a task, which asks for its robots
+    file once and waits `pause` seconds between calls to it; a host with many addresses is spread over SALT tasks."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         robots: dict[str, tuple[int, bytes]] = {}
         for batch in batches:
             out = []
             for url in batch.url:
-                origin = "{0.scheme}://{0.netloc}".format(urlsplit(url))
                 try:
+                    parts = urlsplit(url)
+                    if parts.scheme not in ("http", "https") or not is_public(parts.hostname):
+                        out.append((url, "rejected", None, "not a public web address", None, None))
+                        continue
+                    origin = f"{parts.scheme}://{parts.netloc}"
                     if origin not in robots:
                         robots[origin] = fetch(origin + "/robots.txt", {})
                     ok, reason = allowed(*robots[origin], url)
                     if not ok:
-                        out.append((url, "robots_denied", None, reason, None))
+                        out.append((url, "robots_denied", None, reason, None, None))
                         continue
+                    time.sleep(pause)
                     status, body = fetch(url, {})
-                    out.append((url, "captured", status, reason, len(body)) if status == 200 and len(body) <= most else (url, "rejected", status, "status or size", len(body)))
+                    wrong = "status" if status != 200 else "size" if len(body) > most else "no page" if b"<" not in body[:1000] else None
+                    out.append((url, "rejected", status, wrong, len(body), None) if wrong else (url, "captured", status, reason, len(body), body))
                 except (OSError, ValueError) as e:
-                    out.append((url, "failed", None, str(e)[:200], None))
+                    out.append((url, "failed", None, str(e)[:200], None, None))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOMES.split(", ")])
 
     salt = F.pmod(F.xxhash64("url"), F.lit(SALT))

@@ -132,11 +132,12 @@ def test_capture_rules(spark):
             return {"open": (404, b""), "closed": (500, b""), "rules": (200, b"User-agent: *\nDisallow: /private")}[host.split(".")[0]]
         if path == "boom":
             raise OSError("no route")
-        return (200, b"x" * 10) if path != "gone" else (410, b"")
+        return (200, b"<p>x</p>" if path != "raw" else b"x" * 10) if path != "gone" else (410, b"")
 
-    urls = spark.createDataFrame([(f"https://{u}",) for u in ("open.example/a", "open.example/gone", "open.example/boom", "closed.example/a", "rules.example/a", "rules.example/private/x")], "url string")
+    urls = spark.createDataFrame([(f"https://{u}",) for u in ("open.example/a", "open.example/gone", "open.example/boom", "closed.example/a", "rules.example/a", "rules.example/private/x", "open.example/raw", "127.0.0.1/a")], "url string")
     got = {r.url.split("//")[1]: r.outcome for r in feeds.captured(urls, fetch).collect()}
-    assert got == {"open.example/a": "captured", "open.example/gone": "rejected", "open.example/boom": "failed", "closed.example/a": "robots_denied", "rules.example/a": "captured", "rules.example/private/x": "robots_denied"}
+    assert got == {"open.example/a": "captured", "open.example/gone": "rejected", "open.example/boom": "failed", "closed.example/a": "robots_denied", "rules.example/a": "captured", "rules.example/private/x": "robots_denied", "open.example/raw": "rejected", "127.0.0.1/a": "rejected"}
+    assert {bytes(r.content) for r in feeds.captured(urls, fetch).where("outcome = 'captured'").collect()} == {b"<p>x</p>"}
 
 
 def test_sinks_and_publishing(spark, tmp_path):
