@@ -146,6 +146,13 @@ def content_markdown(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
 
 
+def source_files(blocks: DataFrame, sources: DataFrame) -> DataFrame:
+    """path and content of each source's files: its blocks as Markdown, and what is known of it as JSON with sorted keys."""
+    text = content_markdown(blocks).select("source_id", F.concat_ws("/", F.col("source_id").cast("string"), F.lit("content.md")).alias("path"), F.col("markdown").alias("content"))
+    told = sources.select("source_id", F.concat_ws("/", F.col("source_id").cast("string"), F.lit("source.json")).alias("path"), F.to_json(F.struct(*sorted(sources.columns)), {"ignoreNullFields": "false"}).alias("content"))
+    return text.unionByName(told)
+
+
 def coverage_features(profiles: DataFrame, counts: DataFrame) -> DataFrame:
     """Profiles (iso2, name, lat, lon) with their counts, zero where there are none, as GeoJSON features."""
     joined = profiles.join(counts, "iso2", "left").withColumn("sources", F.coalesce("sources", F.lit(0)))

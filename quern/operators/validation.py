@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.store import stored
+
+#: Protected items, or words of theirs, that are broadcast; more are joined.
+MOST_ITEMS = 200_000
+
 
 def issue(rows: DataFrame, code: str, subject: str, detail: str | None = None) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), F.col(subject).cast("string").alias("subject"), (F.col(detail).cast("string") if detail else F.lit(None).cast("string")).alias("detail"))
@@ -46,17 +51,19 @@ def every(*issues: DataFrame) -> DataFrame:
 
 
 def leaks_of(texts: DataFrame, id_col: str, text_col: str, protected: DataFrame, item_col: str, protected_text: str) -> DataFrame:
-    """Texts that hold a protected text whole, by words: an equi-join on the item's rarest word, then a containment test.
+    """Texts that hold a protected text whole, by words: found by the item's rarest word, then a containment test.
 
-    Every item has a word, a text that holds the item holds that word; choosing the rarest keeps common words out of the join.
-    """
-    text = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0B]+", " ")), F.lit(" "))
-    rows = texts.select(F.col(id_col), text(text_col).alias("_t"))
-    items = protected.select(F.col(item_col), text(protected_text).alias("_p"))
+    Every item has a word, and a text that holds the item holds that word; the rarest one of the item's keeps common words out.
+    Words are counted without their texts; a text meets the items of the rare words it holds where it is read, so that no text is
+    shuffled, as long as the items can be broadcast."""
+    spaced = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0B]+", " ")), F.lit(" "))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    item_words = items.select(item_col, "_p", F.explode(words("_p")).alias("_w"))
-    wanted = item_words.select("_w").distinct()
-    held = rows.select(id_col, "_t", F.explode(words("_t")).alias("_w")).join(F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted, "_w")
-    often = held.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    rare = item_words.join(often, "_w", "left").groupBy(item_col, "_p").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
-    return held.join(rare, "_w").where(F.contains("_t", F.col("_p"))).select(id_col, item_col).distinct()
+    small = lambda d: F.broadcast(d) if d.count() <= MOST_ITEMS else d
+    items = protected.select(F.col(item_col), spaced(protected_text).alias("_p"))
+    item_words = items.select(item_col, F.explode(words("_p")).alias("_w"))
+    wanted = stored(item_words.select("_w").distinct(), "wanted")
+    often = texts.select(F.explode(words(spaced(text_col))).alias("_w")).join(small(wanted), "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    rare = item_words.join(often, "_w", "left").groupBy(item_col).agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w"))
+    rare = stored(rare.join(items, item_col), "rare")
+    held = texts.select(F.col(id_col), spaced(text_col).alias("_t")).withColumn("_w", F.explode(words("_t")))
+    return held.join(small(rare), "_w").where(F.contains("_t", F.col("_p"))).select(id_col, item_col).distinct()

@@ -116,7 +116,10 @@ QUERIES = {
     "evidence_by_source": (q_evidence_by_source, "SELECT conv_id AS source_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds, string_agg(DISTINCT CASE WHEN turn = 0 THEN 'observed' ELSE 'reported' END, ',' ORDER BY CASE WHEN turn = 0 THEN 'observed' ELSE 'reported' END) AS assertions FROM conversations GROUP BY conv_id"),
     "shown_facts": (q_shown_facts, """WITH v AS (SELECT user_id, k, count(*) AS n, min(event_id) AS o FROM (SELECT user_id, event_id, (props::JSON->>'k')::INT AS k FROM events) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, o) AS r FROM v)
         SELECT user_id, string_agg(k, ' vs ' ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, k) AS shown FROM r GROUP BY user_id"""),
-    "gold_assignment": (q_gold_assignment, None),
+    "gold_assignment": (q_gold_assignment, """WITH RECURSIVE s AS (SELECT c_custkey AS g, s_suppkey AS r, c_nationkey AS k, floor(10 - abs(c_acctbal - s_acctbal) / 1000) AS score, s_suppkey % 3 AS src FROM customer JOIN supplier ON c_nationkey = s_nationkey), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, src DESC, r) AS o FROM s WHERE score > 0),
+        l AS (SELECT k, g, list(r ORDER BY o) AS rs, row_number() OVER (PARTITION BY k ORDER BY g) AS i FROM p GROUP BY k, g),
+        w AS (SELECT k, i, g, rs[1] AS r, [rs[1]] AS taken FROM l WHERE i = 1 UNION ALL SELECT l.k, l.i, l.g, list_filter(l.rs, lambda x: NOT list_contains(w.taken, x))[1], list_concat(w.taken, list_filter(l.rs, lambda x: NOT list_contains(w.taken, x))[1:1]) FROM w JOIN l ON l.k = w.k AND l.i = w.i + 1)
+        SELECT g AS gold_id, r AS record_id FROM w WHERE r IS NOT NULL"""),
     "stale_outputs": (q_stale_outputs, "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
     "inherited_place": (q_inherited_place, "WITH m AS (SELECT conv_id, min(length(text))::INT AS p FROM conversations WHERE turn = 0 OR length(text) > 300 GROUP BY conv_id HAVING count(*) = 1) SELECT conv_id, turn, coalesce(p, -1) AS place FROM conversations LEFT JOIN m USING (conv_id) WHERE turn > 0"),
     "source_catalog": (q_source_catalog, rf"WITH {TITLES}, l AS (SELECT lang, host, '- [' || regexp_replace(title, '([\[\]|])', '\\\1', 'g') || '](' || url || ')' AS line FROM titles) SELECT lang, count(*) AS sources, count(DISTINCT host) AS domains, (sum(length(line)) + count(*) - 1)::INT AS chars FROM l GROUP BY lang"),

@@ -1,12 +1,18 @@
-"""Folder scan: each file with kind, hash, size, sidecar and parent page; and readers for whole JSON and line JSON."""
+"""Folder scan and checked readers: each file with kind, hash, size, sidecar and parent page; and readers for whole JSON and line JSON."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quern.functions.text import stable_id
+from quern.sources.sinks import file_system, resolved
 
 MOST_BYTES = 25_000_000
 SIDECAR = "SOURCE_INFO.md"
@@ -61,3 +67,46 @@ def content_lock(spark: SparkSession, folder: str) -> DataFrame:
     """Path, hash and size of every file below the folder, but for locks."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.where(~F.col("path").contains("/locks/")).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes")).orderBy("path")
+
+
+def artifacts(rows: DataFrame, folder: str) -> DataFrame:
+    """rows (path, sha256 expected or null) -> path, status (ok, unsafe, missing, changed), size_bytes: no path or link leads out."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = file_system(folder)
+        for b in batches:
+            out = []
+            for path, expected in zip(b.path, b.sha256, strict=True):
+                full = resolved(system, root, path)
+                if full is None:
+                    out.append((path, "unsafe", -1))
+                elif (info := system.get_file_info(full)).type != fs.FileType.File:
+                    out.append((path, "missing", -1))
+                else:
+                    with system.open_input_stream(full) as f:
+                        same = expected is None or hashlib.sha256(f.read()).hexdigest() == expected
+                    out.append((path, "ok" if same else "changed", info.size))
+            yield pd.DataFrame(out, columns=["path", "status", "size_bytes"])
+
+    return rows.select("path", "sha256").mapInPandas(check, "path string, status string, size_bytes long")
+
+
+def strict_rows(spark: SparkSession, folder: str, glob: str, schema: str, required: list[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents, or lines, of JSON of exactly that schema, and issues (where, code) that name path and line.
+
+    An unknown field, a missing required one and text that is no object of the schema are issues; their rows are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    root = folder.rstrip("/").split("://", 1)[-1]
+    texts = files.select(F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+', '/'), length('{root}') + 2)").alias("path"), F.decode("content", "utf-8").alias("text"))
+    if lines:
+        texts = texts.select("path", F.posexplode(F.split("text", "\n")).alias("k", "text")).where("trim(text) != ''").withColumn("where", F.concat_ws(":", "path", (F.col("k") + 1).cast("string")))
+    else:
+        texts = texts.withColumn("where", F.col("path"))
+    fields = [f.name for f in _parse_datatype_string(schema).fields]
+    read = texts.select("where", F.from_json("text", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.from_json("text", "map<string, string>", {"mode": "PERMISSIVE"}).alias("_all"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("_all").isNull()
+    unknown = F.size(F.array_except(F.map_keys("_all"), F.array(*map(F.lit, fields)))) > 0
+    lacks = F.exists(F.array(*(F.col(f"r.{c}").isNull() for c in required)), lambda x: x)
+    code = F.when(bad, "not_valid").when(unknown, "unknown_field").when(lacks, "missing_field")
+    told = read.withColumn("code", code)
+    return told.where("code IS NULL").select("where", *(F.col(f"r.{f}").alias(f) for f in fields)), told.where("code IS NOT NULL").select("where", "code")

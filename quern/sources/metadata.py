@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.sinks import file_system
+
 #: Keys that a sidecar may set.
 FIELDS = ("languages", "timezone", "country", "country_code", "published_at", "published_time", "traffic_incident", "traffic_keywords")
 SCHEMA = "path string, uri string, publisher string, languages array<string>, timezone string, country string, country_code string, published_at string, traffic_incident boolean, traffic_keywords array<string>, warnings array<string>"
@@ -71,7 +73,11 @@ def parse_sidecar(text: str) -> dict:
 
 
 def read_sidecars(spark: SparkSession, folder: str, name: str = "SOURCE_INFO.md") -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder).select("path", "content")
+    return sidecars(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder).select("path", "content"))
+
+
+def sidecars(files: DataFrame) -> DataFrame:
+    """files (path, content) -> what each says."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,8 +88,9 @@ def read_sidecars(spark: SparkSession, folder: str, name: str = "SOURCE_INFO.md"
 
 def country_profiles(spark: SparkSession, path: str) -> DataFrame:
     """A small dimension from a TOML file of [[countries]]: codes, name, zone, centre, languages, terms."""
-    with open(path, "rb") as f:
-        rows = tomllib.load(f)["countries"]
+    system, full = file_system(path)
+    with system.open_input_stream(full) as f:
+        rows = tomllib.loads(f.read().decode("utf-8"))["countries"]
     made = [(r["iso2"].upper(), r["iso3"].upper(), r["name"], r.get("primary_timezone"), float(r["coverage_centroid"]["latitude"]), float(r["coverage_centroid"]["longitude"]), list(r.get("languages", [])), list(r.get("query_terms", []))) for r in rows]
     for k, what in ((0, "iso2"), (1, "iso3")):
         if len({r[k] for r in made}) != len(made):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +74,77 @@ def _last(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(_last(spark, root, name)[1])
+
+
+FILED = "path string, sha256 string, size_bytes long, outcome string"
+
+
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
+
+
+def below(path: str) -> bool:
+    """Whether a path stays below its folder, as urls.safe_relative_path tells it."""
+    parts = path.split("/")
+    return bool(path) and "\\" not in path and all(p not in ("", ".", "..") for p in parts)
+
+
+def resolved(system: fs.FileSystem, root: str, path: str) -> str | None:
+    """The file's full path, None if it is unsafe or, on a local disk, a link leads out of the folder."""
+    if not below(path):
+        return None
+    full = f"{root.rstrip('/')}/{path}"
+    if isinstance(system, fs.LocalFileSystem):
+        inside = os.path.realpath(root)
+        if os.path.islink(full) or os.path.commonpath([inside, os.path.realpath(full)]) != inside:
+            return None
+    return full
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """rows (path, content) as files below the folder: one row for each with its hash and outcome: written, same, conflict (a file
+    with other content is there and stays) or unsafe.
+
+    A file appears whole, by a rename; a task that runs again finds its files and tells same."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = file_system(folder)
+        for b in batches:
+            out = []
+            for path, content in zip(b.path, b.content, strict=True):
+                body = bytes(content)
+                digest, full = hashlib.sha256(body).hexdigest(), resolved(system, root, path)
+                if full is None:
+                    out.append((path, digest, len(body), "unsafe"))
+                elif system.get_file_info(full).type == fs.FileType.File:
+                    with system.open_input_stream(full) as f:
+                        out.append((path, digest, len(body), "same" if hashlib.sha256(f.read()).hexdigest() == digest else "conflict"))
+                else:
+                    system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                    part = f"{full.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.part"
+                    with system.open_output_stream(part) as f:
+                        f.write(body)
+                    system.move(part, full)
+                    out.append((path, digest, len(body), "written"))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FILED.split(", ")])
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(write, FILED)
+
+
+def remove_files(rows: DataFrame, folder: str) -> DataFrame:
+    """rows (path): the files below the folder that are removed, and those that weren't there."""
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = file_system(folder)
+        for b in batches:
+            out = []
+            for path in b.path:
+                full = resolved(system, root, path)
+                there = full is not None and system.get_file_info(full).type == fs.FileType.File
+                if there:
+                    system.delete_file(full)
+                out.append((path, "removed" if there else "unsafe" if full is None else "absent"))
+            yield pd.DataFrame(out, columns=["path", "outcome"])
+
+    return rows.select("path").mapInPandas(remove, "path string, outcome string")

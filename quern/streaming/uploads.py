@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources.media import IMAGE, VIDEO
-from quern.sources.sinks import publish
+from quern.sources.sinks import publish, write_files
 
 MOST_FILES, MOST_BYTES = 50, 25_000_000
 CHECKED = "submission_id string, status string, reason string, files array<struct<path: string, sha256: string, size_bytes: long>>"
@@ -87,7 +87,7 @@ def checked_uploads(files: DataFrame) -> DataFrame:
             for path, content in zip(b.path, b.content, strict=True):
                 payload = bytes(content)
                 status, reason, found = ("invalid", "too large", []) if len(payload) > MOST_BYTES else check_upload(path, payload)
-                out.append(("sub_" + hashlib.sha256(payload).hexdigest()[:16], status, reason, found))
+                out.append((_submission(payload), status, reason, found))
             yield pd.DataFrame(out, columns=["submission_id", "status", "reason", "files"])
 
     return files.select("path", "content").mapInPandas(check, CHECKED)
@@ -111,3 +111,32 @@ def recompute(spark: SparkSession, root: str, name: str, compute: Callable[[], D
     if found:
         raise ValueError(f"not published: {found}")
     return publish(made, root, name)
+
+
+def members(name: str, payload: bytes) -> list[tuple[str, bytes]]:
+    """Names and contents of a valid upload's files."""
+    if name.lower().endswith(".json"):
+        return [("video.json", payload)]
+    with zipfile.ZipFile(io.BytesIO(payload)) as archive:
+        return [(PurePosixPath(m.filename).name, archive.read(m)) for m in archive.infolist() if not m.is_dir()]
+
+
+def landed(files: DataFrame, approved: DataFrame, folder: str) -> DataFrame:
+    """Files of approved uploads (submission_id), each upload in a folder of its own: path, sha256, size_bytes, outcome."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b.path, b.content, strict=True):
+                payload = bytes(content)
+                if len(payload) <= MOST_BYTES and check_upload(path, payload)[0] == "pending":
+                    out += [(_submission(payload), name, body) for name, body in members(path, payload)]
+            yield pd.DataFrame(out, columns=["submission_id", "name", "content"])
+
+    rows = files.select("path", "content").mapInPandas(unpack, "submission_id string, name string, content binary")
+    kept = rows.join(approved.select("submission_id").distinct(), "submission_id", "left_semi")
+    return write_files(kept.select(F.concat_ws("/", "submission_id", "name").alias("path"), "content"), folder)
+
+
+def _submission(payload: bytes) -> str:
+    return "sub_" + hashlib.sha256(payload).hexdigest()[:16]

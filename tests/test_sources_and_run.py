@@ -85,7 +85,7 @@ def test_live_provider(spark, tmp_path):
             return '{"decision": "maybe"}'
         return '{"decision": "same_incident", "confidence": 0.9, "tokens_in": 1000000, "tokens_out": 0}'
 
-    live = providers.provider("live", ask=ask, retries=1, pause=0)
+    live = providers.provider("live", ask=ask, retries=1, pause=0, repairs=2)
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     runs = live.runs(pairs).cache()
     assert sorted((r.status, r.retries) for r in runs.collect()) == [("failed", 1), ("ok", 0)]
@@ -97,6 +97,41 @@ def test_live_provider(spark, tmp_path):
     assert rows(providers.provider("recorded").adjudicate(pairs).select("l_id", "decision"), "l_id") == [(1, "same_incident"), (3, "uncertain")]
 
 
+def test_live_provider_repairs_and_keeps_to_its_budget(spark):
+    def ask(request):
+        body = json.loads(request)
+        if "repair" not in body:
+            return '{"title": "T", "confidence": 0.5, "lat": 1.0}'
+        assert "half a coordinate" in body["repair"]
+        return '{"title": "T", "place": "P", "confidence": 0.5, "lat": 1.0, "lon": 2.0, "tokens_in": 3}'
+
+    bundles = spark.createDataFrame([("i1", '{"x": 1}')], "incident_id string, request string")
+    assert tuple(providers.Live(ask, pause=0).fuse(bundles).first())[1:] == ("T", "P", 1.0, 2.0, 0.5, 3, 0, 1, "ok", None)
+    assert providers.Live(ask, pause=0, repairs=0).fuse(bundles).first().status == "failed"
+    with pytest.raises(ValueError, match="budget"):
+        providers.Live(ask, budget=0.01, spent=0.0095).fuse(bundles)
+
+
+def test_files_below_a_folder(spark, tmp_path):
+    root = str(tmp_path / "out")
+    df = spark.createDataFrame([("a/x.txt", b"1"), ("../y", b"2"), ("b.txt", b"3")], "path string, content binary")
+    outcome = lambda d: {r.path: r.outcome for r in sinks.write_files(d, root).collect()}
+    assert outcome(df) == {"a/x.txt": "written", "../y": "unsafe", "b.txt": "written"}
+    assert outcome(df.withColumn("content", F.lit(b"3"))) == {"a/x.txt": "conflict", "../y": "unsafe", "b.txt": "same"}
+    (tmp_path / "secret").write_text("s")
+    (tmp_path / "out" / "link").symlink_to(tmp_path / "secret")
+    asked = spark.createDataFrame([("a/x.txt", None), ("link", None), ("none", None), ("b.txt", "0"), ("/etc/passwd", None)], "path string, sha256 string")
+    assert {r.path: r.status for r in files.artifacts(asked, root).collect()} == {"a/x.txt": "ok", "link": "unsafe", "none": "missing", "b.txt": "changed", "/etc/passwd": "unsafe"}
+    assert {r.path: r.outcome for r in sinks.remove_files(df, root).collect()} == {"a/x.txt": "removed", "../y": "unsafe", "b.txt": "removed"}
+
+
+def test_strict_rows(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"a": 1, "b": "x"}\nbad\n\n{"a": 2, "c": 3}\n{"b": "y"}\n')
+    found, issues = files.strict_rows(spark, str(tmp_path), "*.jsonl", "a int, b string", ["a"], lines=True)
+    assert rows(found) == [("r.jsonl:1", 1, "x")]
+    assert rows(issues, "where") == [("r.jsonl:2", "not_valid"), ("r.jsonl:4", "unknown_field"), ("r.jsonl:5", "missing_field")]
+
+
 def test_corpus_build(spark):
     made = []
     for c in ("AA", "BB", "CC"):
