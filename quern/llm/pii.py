@@ -329,6 +329,8 @@ def _holds(kind: str, text: str) -> bool:
 
 _TRIGGER = re.compile(r"[0-9@]|\b[dD][oO][tT]\b|[\[({][aA][tT]|\b[aA][tT][ \t]+[\w-]+\.[^\W\d_]")
 
+_AT = re.compile(rb"(?i)\bat[ \t]+[^\s.]+\.[A-Za-z\x80-\xFF]")
+
 
 def _islands(text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
     """Token sequences round what a span needs; a sequence ends at a line end."""
@@ -389,8 +391,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 hit = digit[own]
                 hit[:-2] |= (low[:-2] == 100) & (low[1:-1] == 111) & (low[2:] == 116)
                 hit[:-2] |= ((own[:-2] == 40) | (low[:-2] == 123)) & (low[1:-1] == 97) & (low[2:] == 116)
-                hit[:-2] |= (low[:-2] == 97) & (low[1:-1] == 116) & ((own[2:] == 32) | (own[2:] == 9))  # at: the trigger wants a dotted name behind it
-                marked = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(hit)])[at]))
+                marked = np.diff(np.concatenate([[0], np.cumsum(hit)])[at]) > 0
+                word = np.flatnonzero((low[:-2] == 97) & (low[1:-1] == 116) & ((own[2:] == 32) | (own[2:] == 9)))  # at: only before a dotted name
+                for i in np.unique(np.searchsorted(at, word, "right") - 1):
+                    marked[i] = marked[i] or _AT.search(own[at[i] : at[i + 1]].tobytes()) is not None
+                marked = np.flatnonzero(marked)
                 texts = [own[at[i] : at[i + 1]].tobytes().decode() for i in marked]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(texts, base, model.value)
