@@ -337,11 +337,15 @@ def test_personal_data_rows(spark, none):
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
-def test_language_model_base_and_held_out(spark):
+def lm_rows():
     rng = random.Random(6)
-    langs = [[f"{c}{i}" for i in range(300)] for c in "pq"]
-    rows = [(i, " ".join(langs[i % 2][int(rng.random() ** 3 * 300)] for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(1000, None), (1001, "never seen"), (3, "twice once")]
-    got = lm_score.lm_scores(table(spark, rows), classes=64, known=200).collect()
+    langs = [[f"{c}{i}{e}" for i, e in zip(range(300), itertools.cycle("xyz"))] for c in "pq"]
+    return [(i, " ".join(langs[i % 2][int(rng.random() ** 3 * 300)] for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(1000, None), (1001, "never seen"), (3, "twice once")]
+
+
+def test_language_model_base_and_held_out(spark):
+    rows = lm_rows()
+    got = lm_score.lm_scores(table(spark, rows), words=100, known=200).collect()
     tokens = {i: [*(t or "").split(), 0] for i, t in rows}
     counts = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for x in [*(t or "").split(), 0])
     n, v = sum(counts.values()), len(counts)
@@ -354,12 +358,84 @@ def test_language_model_base_and_held_out(spark):
         assert r.base_score == pytest.approx(sum(np.log10((counts[y] + 1) / (n + v + 1)) for y in x), rel=1e-9)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # the language of a text follows from its words
+    assert sum(r.score - r.base_score for r in held) > 0.05 * sum(r.n_tokens for r in held)
+
+
+def test_language_model_scores_match_plain_python(spark):
+    """Each token by itself: class and unit by whole exponentials, and its share of the group."""
+    rows = lm_rows()
+    docs = table(spark, rows).coalesce(1)
+    texts = docs.where("crc32(cast(doc_id as string)) % 7 != 2").selectExpr("text AS _text")
+    v = lm_score.vocabulary(lm_score.token_counts(texts), 100, 200)
+    model = lm_score.train(texts, v)
+    w = {n: x.astype(float) for n, x in model.w.items()}
+    counts = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for x in (t or "").split())
+    words = list(common.scan_words(pa.array([t for _, t in rows])))[0][2]
+    unit = dict(zip(words.hash.tolist(), lm_score.units_of(words, v)[2].tolist(), strict=True))
+    groups = defaultdict(Counter)
+    for x, c in counts.items():
+        u = unit[common.word_hash(x)]
+        if u <= lm_score.ENDINGS:
+            groups[u][x] = c
+    logsum = lambda x: x.max() + np.log(np.exp(x - x.max()).sum())
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm_score.lm_scores(docs, words=100, known=200).collect()}
+    for i, t in rows[:60] + rows[-3:]:
+        said = (t or "").split()
+        seq = [unit[common.word_hash(x)] for x in said] + [0]
+        total = 0.0
+        for k, u in enumerate(seq):
+            q = sum(w["context"][seq[k - j - 1] if k > j else 0] @ w["place"][j] for j in range(lm_score.ORDER))
+            c = u // lm_score.CLASS
+            classes, inside = w["class"] @ q + w["class_bias"][:, 0], slice(c * lm_score.CLASS, (c + 1) * lm_score.CLASS)
+            units = w["unit"][inside] @ q + w["bias"][inside, 0]
+            total += (classes[c] - logsum(classes) + units[u % lm_score.CLASS] - logsum(units)) / np.log(10)
+            if 0 < u <= lm_score.ENDINGS:
+                g = groups[u]
+                total += np.log10((g[said[k]] + 1) / (sum(g.values()) + len(g) + 1))
+        assert got[i, len(seq)] == pytest.approx(total, rel=1e-4), i
 
 
 def test_language_model_is_normalised():
-    pairs = np.random.default_rng(1).integers(0, 9, (12, 12)).astype(float)
-    assert np.allclose((10 ** lm_score.train(pairs, rank=4)).sum(axis=1), 1)
+    rng = np.random.default_rng(1)
+    model = lm_score.Model(rng.integers(0, 50, lm_score.CLASS**2).astype(float), rank=8)
+    model.w = {n: x + rng.normal(0, 0.3, x.shape).astype(np.float32) for n, x in model.w.items()}
+    every = np.arange(lm_score.CLASS**2)
+    for context in ([0, 0, 0], [300, 5, 0], [16000, 300, 300]):
+        p = 10 ** model.log10(np.tile(context, (len(every), 1)), every)
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_noise_contrastive_steps_learn_what_follows():
+    """Units that follow one another for sure, and gradients of repeated rows that add up."""
+    rng = np.random.default_rng(2)
+    unit_counts = np.zeros(lm_score.CLASS**2)
+    unit_counts[300:700] = 50
+    after = rng.permutation(np.arange(300, 700))
+    before = rng.integers(300, 700, 30_000)
+    context = np.stack([before, rng.integers(300, 700, 30_000), np.zeros(30_000, int)], axis=1)
+    target = after[before - 300]
+    model = lm_score.Model(unit_counts)
+    first = model.log10(context[:2000], target[:2000]).mean()
+    trainer = lm_score.Trainer(model, 1)
+    for _ in range(12):
+        trainer.run(context, target, lm_score.RATE)
+    model.w = trainer.w
+    assert model.log10(context[:2000], target[:2000]).mean() > first + 1
+    assert trainer.moved["context"][300:700].sum() == 12 * 2 * 30_000
+
+
+def test_language_model_sequences():
+    _, _, w = next(common.scan_words(pa.array(["a b c d", None, "e"])))
+    context, target = lm_score.sequences(w, np.array([1, 2, 3, 4, 5]), 3)
+    assert target.tolist() == [1, 2, 3, 4, 0, 0, 5, 0]
+    assert context.tolist() == [[0, 0, 0], [1, 0, 0], [2, 1, 0], [3, 2, 1], [4, 3, 2], [0, 0, 0], [0, 0, 0], [5, 0, 0]]
+
+
+def test_language_model_odd_rows(odd):
+    got = lm_score.lm_scores(odd).collect()
+    assert len(got) == len(ODD) and all(np.isfinite(r.score) and r.score < 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 5)} == {1} and len({r.base_score for r in got if r.doc_id in (6, 10)}) == 1
 
 
 def test_language_model_empty(none, spark):
