@@ -80,8 +80,8 @@ def q_pair_reduction_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the group of equal texts as gold and that of equal title terms and language as found."""
-    terms = F.array_join(F.slice(lexical_features(F.substring_index("text", "\n", 1), []), 1, 3), " ")
+    """Documents with the group of equal texts as gold and that of equal long words and language as found."""
+    terms = F.sha2(F.array_join(lexical_features("text", [], 6), " "), 256)
     return load(spark, sf, "documents").select("doc_id", content_hash("text", length=64).alias("gold"), F.concat_ws("|", "lang", terms).alias("found"))
 
 
@@ -111,7 +111,7 @@ QUERIES = {
         r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node), k AS (SELECT component, count(*) AS size FROM (SELECT node, min(c) AS component FROM r GROUP BY node) GROUP BY component)
         SELECT component, size, printf('cluster-%03d', row_number() OVER (ORDER BY component)) AS name FROM k"""),
     "pair_reduction_stats": (q_pair_reduction_stats, "SELECT sum(n)::BIGINT AS rows, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS cross_pairs FROM (SELECT count(*) AS n FROM documents GROUP BY source)"),
-    "b_cubed": (q_b_cubed, r"""WITH d AS (SELECT doc_id, text AS gold, lang || '|' || array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(replace(lower(string_split(text, chr(10))[1]), 'ß', 'ss'), '[\p{L}\p{N}]+')), lambda x: length(x) >= 4))[1:3], ' ') AS found FROM documents),
+    "b_cubed": (q_b_cubed, r"""WITH d AS (SELECT doc_id, text AS gold, lang || '|' || sha256(array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')), lambda x: length(x) >= 6)), ' ')) AS found FROM documents),
         c AS (SELECT *, count(*) OVER (PARTITION BY gold) AS gn, count(*) OVER (PARTITION BY found) AS cn, count(*) OVER (PARTITION BY gold, found) AS n FROM d), p AS (SELECT avg(n / cn) AS p, avg(n / gn) AS r FROM c)
         SELECT round(p, 8) AS precision, round(r, 8) AS recall, round(2 * p * r / (p + r), 8) AS f1 FROM p"""),
     "confusion_prf": (q_confusion_prf, """WITH d AS (SELECT lang, quality = 1 AS a, NOT contains(text, '!! ') AND NOT contains(text, '*** ') AND NOT contains(text, ' | ') AS p FROM labels JOIN documents USING (doc_id)),
