@@ -9,7 +9,12 @@ near: one document of each group linked by 5-word shingles at a similarity of 0.
 decontaminate: documents that hold a passage of the benchmark, words replaced or not, go (no shuffle).
 pack: what is left becomes pieces of at most 1024 tokens in as few sequences as best fit finds.
 
-An empty documents table passes through all stages; null texts count as empty.
+Cases, beside those of the operators: an empty table passes through all stages; null and empty texts are one group of copies,
+scored like any text (with the bank's share of good labels), never leak, and pack as their end; of repeated rows one stays; rows with
+a null id are one id, that sorts first; texts of any length go through whole; ties go by the operators' rules; other columns,
+whatever their names, come through unchanged up to the last stage, which reads id and text only.
+
+run() removes what a stage stored, and its input, once the stage's result is written.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from quern.llm.common import scratch_dir, table
+from quern.llm.common import table
+from quern.operators.store import removed, scope, shared_folder
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +62,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{scratch_dir(spark)}/quern-pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/quern-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        with scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
