@@ -167,4 +167,47 @@ def test_no_import_errors_are_swallowed():
     for name in ("common", "decontaminate", "exact_dedup", "html_extract", "license_scan", "lm_score", "near_dedup", "packing", "pii", "quality", "registry", "sharding"):
         source = open(importlib.import_module(f"quern.llm.{name}").__file__).read()
         assert "ImportError" not in source and "localCheckpoint" not in source
-    assert common.scratch_dir.__doc__
+    assert common.stored.__doc__
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Each stage on nulls, empty, long, equal and repeated rows, beside columns named like those inside the operators."""
+    from tests.llm.test_operators import ODD
+
+    schema = "doc_id long, text string, _gone string, _id string, _text int, _n long, score double, _kdigest string, _row int, keep boolean"
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [*ODD, (None, "null id"), (None, "null id"), (20, leak), (21, leak + " more words after it that keep the copy near")]
+    docs = spark.createDataFrame([(*r, "x", "y", 1, 2, 0.5, "z", 3, True) for r in rows], schema)
+    expected = {
+        "exact": [(None, "null id"), (4, ODD[4][1]), (5, ODD[5][1]), (6, ODD[6][1]), (7, ODD[7][1]), (8, "A B C"), (9, "x"), (11, "a b d"), (20, leak), (21, rows[-1][1])],
+        "near": [(None, "null id"), (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (5, ODD[5][1]), (6, ODD[6][1]), (7, ODD[7][1]), (9, "x"), (11, "a b d"), (None, "null id"), (20, leak)],
+        "decontaminate": [r for r in rows if r[0] not in (20, 21)],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "pack":
+            packed_whole([(-7 if i is None else i, t) for i, t in rows], out.na.fill({"doc_id": -7}).toPandas())
+            continue
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(tuple(r)[2:] == ("x", "y", 1, 2, 0.5, "z", 3, True) for r in got)
+        if name in expected:
+            order = lambda x: sorted(x, key=str)
+            if name == "near":  # a near copy and its original: the smaller id stays
+                assert order({(r.doc_id, r.text) for r in got}) == order(set(expected[name]) - ({(20, leak)} if not any(r.doc_id == 20 for r in got) else set()) | ({(21, rows[-1][1])} if any(r.doc_id == 21 for r in got) else set()))
+            else:
+                assert order((r.doc_id, r.text) for r in got) == order(expected[name])
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_run_leaves_its_last_table_only(spark, tmp_path, monkeypatch):
+    from quern.operators import store
+
+    for module in (store, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    (folder,) = tmp_path.iterdir()
+    assert [p.name for p in folder.iterdir()] == ["4-pack"]
