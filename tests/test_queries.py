@@ -41,6 +41,84 @@ def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_best_title_pair_matches_plain_python(spark):
+    from difflib import SequenceMatcher
+
+    from quern.operators.matching import GENERIC
+    from quern.plans.tables import mentions
+
+    rows = mentions(spark, SF).collect()
+    best = {}
+    for i, a in enumerate(sorted(rows, key=lambda r: r.mention_id)):
+        for b in sorted(rows, key=lambda r: r.mention_id)[i + 1 :]:
+            shared = set(a.terms) & set(b.terms)
+            if a.country != b.country or a.source_id == b.source_id or len(shared) < 2 or not shared - set(GENERIC):
+                continue
+            fold = lambda x: x.lower().replace("ß", "ss")
+            days = abs((a.event_time - b.event_time).total_seconds()) / 86400
+            score = 0.55 * len(shared) / len(set(a.terms) | set(b.terms)) + 0.30 * SequenceMatcher(None, fold(a.title), fold(b.title)).ratio() + 0.15 * max(0, 1 - days / 7)
+            key = (round(score, 8), -a.mention_id, -b.mention_id)
+            if score >= 0.5 and key > best.get(a.country, (0,)):
+                best[a.country] = key
+    got = {r.grp: (r.score, -r.l_id, -r.r_id) for r in QUERIES["best_title_pair"](spark, SF).collect()}
+    assert got == best != {}
+
+
+def test_constrained_clusters_match_one_greedy_over_all_pairs(spark):
+    from quern.plans.matching import _decisions
+    from quern.plans.tables import mentions
+
+    told = {r.mention_id: r for r in mentions(spark, SF).collect()}
+    decisions = _decisions(spark, SF).collect()
+    same = {(r.l_id, r.r_id) for r in decisions if r.decision == "same_incident"}
+    barred = {(r.l_id, r.r_id) for r in decisions if r.decision in ("different_incident", "related_but_distinct")}
+    for a in told.values():
+        for b in told.values():
+            if a.mention_id < b.mention_id and a.source_id != b.source_id and a.country == b.country and a.primary and b.primary and (a.mention_id, b.mention_id) not in same:
+                far = abs((a.event_time - b.event_time).total_seconds()) > 3 * 86400
+                if far or (a.locations and b.locations and not set(a.locations) & set(b.locations)):
+                    barred.add((a.mention_id, b.mention_id))
+    cluster = {n: {n} for pair in same for n in pair}
+    for r in sorted((r for r in decisions if r.decision == "same_incident"), key=lambda r: (-r.confidence, r.l_id, r.r_id)):
+        x, y = cluster[r.l_id], cluster[r.r_id]
+        if x is not y and not any((min(i, j), max(i, j)) in barred for i in x for j in y):
+            x |= y
+            for n in y:
+                cluster[n] = x
+    got = {r.node: r.cluster for r in QUERIES["constrained_clusters"](spark, SF).collect()}
+    assert got == {n: min(c) for n, c in cluster.items()} != {}
+
+
+def test_bootstraps_match_draws_over_rows(spark):
+    import numpy as np
+
+    labels = np.array([r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None], float)
+    got = QUERIES["bootstrap_ci"](spark, SF).first()
+    means = np.random.default_rng(3).choice(labels, (20_000, len(labels))).mean(axis=1)
+    assert got.n == len(labels) and abs(got.low - np.quantile(means, 0.025)) < 0.02 and abs(got.high - np.quantile(means, 0.975)) < 0.02
+    one = QUERIES["cluster_bootstrap"](spark, SF).first()
+    assert one.groups <= 20 and 0 <= one.low <= one.high <= 1
+
+
+def test_page_blocks_tell_each_paragraph_of_an_article(spark):
+    import html
+    import re
+
+    got = {}
+    for r in QUERIES["page_blocks"](spark, SF).collect():
+        got.setdefault(r.page_id, set()).add(r.text)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    found = 0
+    for p in pages:
+        for text in re.findall(r"(?s)<p>((?:(?!</?p>|<(?:div|ul|table|h\d|article)).)*)</p>", re.sub(r"(?s)<(script|style).*?</\1>", "", p.html)):
+            plain = " ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", text))).split())
+            words = plain.split()
+            if len(plain) >= 2 and sum(len(w) == 1 for w in words) <= 0.55 * len(words) and not re.match(r"(?i)(share|like|comment|reply|follow|subscribe|log in|sign up|see more|advertisement)\b", plain):
+                assert plain in got[p.page_id], (p.page_id, plain)
+                found += 1
+    assert found > 50 and set(got) == {p.page_id for p in pages}
+
+
 def test_clusters_do_not_depend_on_row_order(spark):
     from quern.operators.matching import constrained_clusters
     from quern.plans.matching import _decisions
