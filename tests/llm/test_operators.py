@@ -359,7 +359,7 @@ def test_language_model_base_and_held_out(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     held = [r for r in got if r.held_out]
     # the language of a text follows from its words
-    assert sum(r.score - r.base_score for r in held) > 0.05 * sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) > 0.03 * sum(r.n_tokens for r in held)
 
 
 def test_language_model_scores_match_plain_python(spark):
