@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import rules, text, urls
-from quern.operators import evaluation, fusing, metrics, querying, ranking
+from quern.operators import evaluation, fusing, metrics, querying, ranking, validation
 from quern.plans import corpus_build
 from quern.plans.fusion import _MEMBERS, _records
+from quern.plans.matching import _scored
 from quern.plans.records import INCIDENTS, _incidents
 from quern.plans.tables import MENTIONS, TITLES, load, mentions, page_titles
-from quern.sources import feeds
+from quern.sources import feeds, sinks
 from quern.streaming import uploads
 
 _KINDS = "CASE o_orderkey % 8 WHEN 0 THEN 'Direct view' WHEN 1 THEN 'alleged claim' WHEN 2 THEN 'police CLAIM' WHEN 3 THEN 'public sentiment' WHEN 4 THEN 'inferred' WHEN 5 THEN 'possible jam' WHEN 6 THEN 'report' END"
@@ -225,6 +226,39 @@ def q_compiled_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_build.compiled(m, override).select("candidate_id", "grp", "incident_key", F.round("pair_confidence", 3).alias("pair_confidence"))
 
 
+def q_incident_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.incident_markdown(_records(spark, sf)).select("incident_id", "markdown")
+
+
+def q_markdown_table(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.markdown_table(load(spark, sf, "nation").selectExpr("n_nationkey", "concat(n_name, if(n_nationkey % 3 = 0, '|x', '')) AS name", "nullif(n_regionkey, 2) AS region"), "n_nationkey")
+
+
+def q_issue_report(spark: SparkSession, sf: str) -> DataFrame:
+    c = load(spark, sf, "customer")
+    found = validation.every(validation.issue(c.where("c_acctbal < 0"), "negative_balance", "c_name"), validation.issue(c.where("c_nationkey % 5 = 0"), "fifth_nation", "c_custkey", "c_name"))
+    return sinks.issue_report(found).unionByName(sinks.issue_report(found.where("code = 'none'")))
+
+
+def q_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """All gold pairs of orders' customers against decisions: a missing decision is a negative one; and a fixed threshold of 0.72."""
+    pairs = _scored(spark, sf).select("l_id", "r_id", "total_score", F.when(F.col("hard_guard").isNull() & (F.col("total_score") >= 0.62), "same_incident").otherwise("uncertain").alias("decision"))
+    members = mentions(spark, sf).select("mention_id", F.concat_ws("|", "country", F.element_at(F.concat("terms", F.array(F.lit(""))), 1)).alias("gold"))
+    return metrics.ablation(metrics.gold_pairs(members, pairs, "mention_id", "gold"), 0.72).select("method", "tp", "fp", "fn", *(F.round(F.coalesce(c, F.lit(-1.0)), 8).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def q_corpus_built(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates to sources, incidents of two sources and domains, and issues."""
+    c = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+        "n_name AS country_iso2", "concat('https://d', c_custkey % 9, '.example/', c_custkey) AS canonical_url", "c_name AS title", "c_mktsegment AS excerpt", "concat('d', c_custkey % 9, '.example') AS domain", "array('en') AS languages",
+        "if(c_custkey % 4 = 0, 'blocked', 'captured') AS access_status", "if(c_custkey % 3 = 0, concat('key', c_custkey % 2), null) AS incident_key", "if(c_custkey % 3 = 0, (c_custkey % 50) / 100D, null) AS pair_confidence")
+    built = corpus_build.build(c, load(spark, sf, "nation").selectExpr("n_name AS iso2"), 10)
+    told = built.sources.groupBy("country_iso2").agg(F.count(F.lit(1)).alias("sources"), F.count_if("pair").alias("pairs"), F.count_distinct(F.when(F.col("pair"), F.col("domain"))).alias("pair_domains"))
+    ids = built.incidents.select("country_iso2", "incident_key", F.size("source_ids").alias("incident_sources"))
+    short = built.issues.where("code = 'source_quota'").select(F.col("subject").alias("country_iso2"), F.col("detail").cast("long").alias("short"))
+    return told.join(ids, "country_iso2", "left").join(short, "country_iso2", "left").select("country_iso2", "sources", "pairs", "pair_domains", F.coalesce("incident_key", F.lit("")).alias("incident_key"), F.coalesce("incident_sources", F.lit(0)).alias("incident_sources"), F.coalesce("short", F.lit(-1)).alias("short"))
+
+
 _HOST_SQL = "c_custkey % 9 IN (1, 4, 8)"
 QUERIES = {
     "assertion_enum": (q_assertion_enum, "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'observed' WHEN 1 THEN 'attributed_claim' WHEN 2 THEN 'attributed_claim' WHEN 3 THEN 'opinion' WHEN 4 THEN 'inferred' WHEN 5 THEN 'predicted' ELSE 'reported' END AS assertion FROM orders"),
@@ -280,6 +314,26 @@ QUERIES = {
         SELECT o.id, coalesce(b.name, o.place) AS place, coalesce(b.lat, -1) AS lat, coalesce(b.gran, 'unknown') AS granularity, round(CASE WHEN b.id IS NOT NULL THEN least(0.7::DOUBLE, b.conf) WHEN bare THEN 0.7::DOUBLE ELSE 0 END, 6) AS confidence,
         CASE WHEN b.gran = 'country' THEN 'collection_country_fallback' WHEN b.id IS NOT NULL THEN 'source_named_offline_gazetteer_centroid' WHEN bare THEN 'unresolved' ELSE 'unresolved; ungrounded coordinates discarded' END AS method FROM o LEFT JOIN b USING (id)"""),
     "unanimous_facts": (q_unanimous_facts, "WITH t AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'fatalities' ELSE 'injuries' END AS field, min(l_quantity::INT % 3) AS value FROM lineitem GROUP BY ALL HAVING min(l_quantity::INT % 3) = max(l_quantity::INT % 3)) SELECT id, field, value, CASE WHEN value = 0 THEN 'reported_zero' ELSE 'known' END AS state, 0.8::DOUBLE AS confidence FROM t WHERE NOT (field = 'fatalities' AND id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0))"),
+    "incident_markdown": (q_incident_markdown, f"""WITH {_MEMBERS}, n AS (SELECT c, count(DISTINCT src) AS sources FROM m2 GROUP BY c), j AS (SELECT b.incident_id, t, pn, gran, ff.deaths, ff.injuries, b.vehicles, b.effects, n.sources, b.source_count, len(string_split(b.evidence, ',')) AS ev FROM base b JOIN tv USING (c) JOIN n USING (c) LEFT JOIN pw USING (c) LEFT JOIN ff USING (c)), su AS (SELECT incident_id, 'Reported for ' || day(t) || ' ' || monthname(t) || ' ' || year(t) || '. ' || CASE WHEN pn IS NULL THEN 'The place is not resolved.' ELSE 'Place: ' || pn || ', at ' || gran || ' precision.' END || ' Casualties: ' ||
+          CASE WHEN deaths IS NULL THEN 'fatalities not reported' WHEN deaths = 0 THEN 'zero fatalities reported' WHEN deaths = 1 THEN '1 fatality' ELSE deaths || ' fatalities' END || ' and ' || CASE WHEN injuries IS NULL THEN 'injuries not reported' WHEN injuries = 0 THEN 'zero injuries reported' WHEN injuries = 1 THEN '1 injury' ELSE injuries || ' injuries' END || '.' ||
+          CASE WHEN vehicles <> '' THEN ' Vehicles or road users: ' || replace(vehicles, ',', ', ') || '.' ELSE '' END || CASE WHEN effects <> '' THEN ' Effects: ' || effects || '.' ELSE '' END || ' ' || sources || ' source records, ' || source_count || ' independent groups, ' || ev || ' pieces of evidence.' AS summary FROM j),
+        sp2 AS (SELECT fv.c, f, list_sort(list_distinct(flatten(list(ev)))) AS sup FROM fv JOIN m2 ON m2.id = fv.id GROUP BY ALL),
+        fl AS (SELECT b.c, k.f, CASE k.f WHEN 'fat' THEN 'fatalities' ELSE 'injuries' END AS name, max(v) FILTER (r = 1) AS v, string_agg(v, ' vs ' ORDER BY v) FILTER (r > 1) AS alt FROM base b CROSS JOIN (VALUES ('fat'), ('inj')) k(f) LEFT JOIN fw ON fw.c = b.c AND fw.f = k.f GROUP BY ALL),
+        ft AS (SELECT fl.c, string_agg('- ' || name || ': ' || coalesce(v::VARCHAR, 'not reported') || CASE WHEN alt IS NOT NULL THEN ' vs ' || alt ELSE '' END || coalesce(array_to_string(list_transform(sup, lambda e: ' [' || e || ']'), ''), ''), chr(10) ORDER BY name) AS facts FROM fl LEFT JOIN sp2 ON sp2.c = fl.c AND sp2.f = fl.f GROUP BY fl.c)
+        SELECT b.incident_id, '# ' || b.title || chr(10) || 'Record ' || b.incident_id || chr(10) || 'Independent sources: ' || b.source_count || chr(10) || 'Place: ' || coalesce(pn, 'not resolved') || chr(10) || facts || chr(10) || chr(10) || summary AS markdown FROM base b JOIN su USING (incident_id) JOIN ft USING (c) LEFT JOIN pw USING (c)"""),
+    "markdown_table": (q_markdown_table, r"""SELECT -1 AS ord, '| n_nationkey | name | region |' AS line UNION ALL SELECT 0, '|---|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey)::INT, '| ' || n_nationkey || ' | ' || n_name || CASE WHEN n_nationkey % 3 = 0 THEN '\|x' ELSE '' END || ' | ' || coalesce(nullif(n_regionkey, 2)::VARCHAR, '') || ' |' FROM nation"""),
+    "issue_report": (q_issue_report, """WITH x AS (SELECT 'negative_balance' AS code, c_name AS s FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'fifth_nation', c_custkey::VARCHAR FROM customer WHERE c_nationkey % 5 = 0)
+        SELECT 0 AS ord, count(*) || ' issues' AS line FROM x UNION ALL SELECT row_number() OVER (ORDER BY code)::INT, '- ' || code || ': ' || count(*) || ', first ' || min(s) FROM x GROUP BY code UNION ALL SELECT 0, 'No issues.'"""),
+    "ablation": (q_ablation, f"""WITH {MENTIONS}, g AS (SELECT id, country || '|' || coalesce(list_sort(terms)[1], '') AS gold FROM m), p AS (SELECT a.id AS l, b.id AS r, a.gold = b.gold AS same FROM g a JOIN g b ON a.id < b.id),
+        j AS (SELECT same, coalesce(s.hard_guard IS NULL AND s.total_score >= 0.62, false) AS d, coalesce(s.total_score >= 0.72, false) AS h FROM p LEFT JOIN (SELECT * FROM scored WHERE li > 0 OR ti > 0) s ON s.l_id = l AND s.r_id = r),
+        u AS (SELECT 'decisions' AS method, same, d AS q FROM j UNION ALL SELECT 'threshold', same, h FROM j), c AS (SELECT method, count(*) FILTER (same AND q) AS tp, count(*) FILTER (NOT same AND q) AS fp, count(*) FILTER (same AND NOT q) AS fn FROM u GROUP BY method)
+        SELECT *, round(coalesce(tp / nullif(tp + fp, 0), -1), 8) AS precision, round(coalesce(tp / nullif(tp + fn, 0), -1), 8) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), -1), 8) AS f1 FROM c"""),
+    "corpus_built": (q_corpus_built, """WITH c AS (SELECT n_name AS k, 'https://d' || (c_custkey % 9) || '.example/' || c_custkey AS url, 'd' || (c_custkey % 9) || '.example' AS dom, CASE WHEN c_custkey % 3 = 0 THEN 'key' || (c_custkey % 2) END AS key, coalesce(CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 50) / 100.0::DOUBLE END, 0.0::DOUBLE) AS conf FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0),
+        b AS (SELECT k, key FROM (SELECT k, key, count(DISTINCT dom) AS d, max(conf) AS m FROM c WHERE key IS NOT NULL GROUP BY ALL) WHERE d >= 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY m DESC, key) = 1),
+        o AS (SELECT c.* FROM c JOIN b ON c.k = b.k AND c.key = b.key QUALIFY row_number() OVER (PARTITION BY c.k, dom ORDER BY conf DESC, dom, url) = 1), p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY conf DESC, dom, url) <= 2),
+        s AS (SELECT c.*, p.url IS NOT NULL AS pair FROM c LEFT JOIN p ON p.k = c.k AND p.url = c.url QUALIFY row_number() OVER (PARTITION BY c.k ORDER BY p.url IS NOT NULL DESC, c.key IS NULL, c.conf DESC, c.dom, c.url) <= 10),
+        t AS (SELECT k, count(*) AS sources, count(*) FILTER (pair) AS pairs, count(DISTINCT dom) FILTER (pair) AS pair_domains, max(key) FILTER (pair) AS key FROM s GROUP BY k)
+        SELECT k AS country_iso2, sources, pairs, pair_domains, CASE WHEN pairs >= 2 AND pair_domains >= 2 THEN key ELSE '' END AS incident_key, CASE WHEN pairs >= 2 AND pair_domains >= 2 THEN pairs ELSE 0 END::INT AS incident_sources, CASE WHEN sources < 10 THEN sources ELSE -1 END AS short FROM t"""),
     "compiled_candidates": (q_compiled_candidates, f"""WITH {MENTIONS}, p AS (SELECT l_id, r_id, lc AS grp, lexical_score AS s FROM scored WHERE ti >= 3 AND lexical_score >= 0.24 AND abs(epoch_us(lt) - epoch_us(rt)) <= 4 * 86400000000 QUALIFY row_number() OVER (PARTITION BY lc ORDER BY lexical_score DESC, l_id, r_id) = 1),
         ov AS (SELECT 'de' AS grp, 1 AS l_id, 2 AS r_id WHERE (SELECT count(*) FROM m WHERE country = 'de' AND id IN (1, 2)) = 2), b AS (SELECT grp, l_id, r_id, 0.95::DOUBLE AS c FROM ov UNION ALL SELECT grp, l_id, r_id, least(0.95::DOUBLE, 0.55::DOUBLE + s / 2) FROM p WHERE grp NOT IN (SELECT grp FROM ov)),
         k AS (SELECT *, lower(grp) || '_pair_' || substring(sha256(l_id || '|' || r_id), 1, 12) AS key FROM b) SELECT id AS candidate_id, country AS grp, key AS incident_key, round(CASE WHEN key IS NOT NULL THEN c END, 3) AS pair_confidence FROM m LEFT JOIN k ON country = grp AND id IN (l_id, r_id)"""),

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,24 @@ def incident_markdown(df: DataFrame) -> DataFrame:
     return df.withColumn("markdown", F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled"))), F.concat(F.lit("Record "), "incident_id"), F.concat(F.lit("Independent sources: "), F.col("source_count").cast("string")), F.concat(F.lit("Place: "), F.coalesce("place", F.lit("not resolved"))), facts, F.concat(F.lit("\n"), "summary")))
 
 
+def markdown_table(df: DataFrame, order: str) -> DataFrame:
+    """line and ord: a small result as the lines of a Markdown table, bars in values escaped, in the order of a column."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|")
+    spark = df.sparkSession
+    rows = df.withColumn("ord", F.row_number().over(Window.orderBy(order)).cast("int")).select("ord", F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |")).alias("line"))
+    head = spark.createDataFrame([(-1, "| " + " | ".join(df.columns) + " |"), (0, "|" + "---|" * len(df.columns))], "ord int, line string")
+    return head.unionByName(rows)
+
+
+def issue_report(issues: DataFrame) -> DataFrame:
+    """line and ord: how many issues of each code there are and their first subject, or that there are none."""
+    per = issues.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("subject").alias("first"))
+    lines = per.select("code", F.concat(F.lit("- "), "code", F.lit(": "), F.col("n").cast("string"), F.lit(", first "), F.coalesce("first", F.lit("-"))).alias("line"))
+    ranked = lines.withColumn("ord", F.row_number().over(Window.orderBy("code")).cast("int")).select("ord", "line")
+    total = issues.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("ord"), F.when(F.col("n") == 0, "No issues.").otherwise(F.concat(F.col("n").cast("string"), F.lit(" issues"))).alias("line"))
+    return total.unionByName(ranked)
+
+
 def write_schemas(tables: dict[str, DataFrame], path: str, spark: SparkSession) -> None:
     spark.createDataFrame([(n, d.schema.json()) for n, d in sorted(tables.items())], "name string, schema string").coalesce(1).write.mode("overwrite").json(path)
 
