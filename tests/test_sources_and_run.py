@@ -1,5 +1,6 @@
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -236,3 +237,38 @@ def test_uploads(spark, tmp_path):
     with pytest.raises(ValueError, match="not published"):
         uploads.recompute(spark, root, "t", lambda: spark.range(9), lambda d: d.where("id > 5"))
     assert sinks.published(spark, root, "t").count() == 3
+
+
+def test_commands(spark, folder, tmp_path, capsys):
+    from quern.__main__ import main, password_hash, password_matches
+
+    (tmp_path / "a.csv").write_text("alias,anchor,family,priority,ord,display,granularity,lat,lon,radius_km\nnorth ryde,ryde,north,30,1,North Ryde,city,-33.8,151.1,\nbridge,bridge,,5,2,,,,,\n")
+    (tmp_path / "c.toml").write_text('[[countries]]\niso2 = "AU"\niso3 = "AUS"\nname = "Australia"\ncoverage_centroid = { latitude = -25.0, longitude = 133.0 }\n')
+    out = str(tmp_path / "run")
+    main(["run", folder, out, str(tmp_path / "a.csv"), str(tmp_path / "c.toml")])
+    merged = spark.read.parquet(f"{out}/incidents").where(F.size("source_ids") >= 2).first()
+    assert (merged.place, merged.granularity, merged.lat, merged.radius_km, merged.method) == ("North Ryde", "city", -33.8, 12.0, "source_named_offline_gazetteer_centroid")
+    main(["report", out, str(tmp_path / "md")])
+    assert "North Ryde" in (tmp_path / "md" / f"{merged.incident_id}.md").read_text()
+    main(["map", out, str(tmp_path / "map")])
+    assert {json.loads(r[0])["geometry"]["type"] for r in spark.read.text(str(tmp_path / "map")).collect()} == {"Point"}
+    main(["schemas", out, str(tmp_path / "schemas")])
+    assert spark.read.json(str(tmp_path / "schemas")).count() == 4
+    main(["evaluate", "/root/testdata/sf0.001", str(tmp_path / "eval")])
+    assert spark.read.json(str(tmp_path / "eval" / "metrics")).count() == 13
+    (tmp_path / "cand.jsonl").write_text('{"country_iso2": "AU", "canonical_url": "https://a.example/x", "title": "t", "domain": "b.example", "languages": ["en"], "access_status": "captured"}\n')
+    main(["validate", str(tmp_path / "cand.jsonl")])
+    main(["build", str(tmp_path / "cand.jsonl"), str(tmp_path / "c.toml"), str(tmp_path / "corpus")])
+    assert spark.read.json(str(tmp_path / "corpus" / "sources")).count() == 1
+    assert "domain_mismatch: 1" in capsys.readouterr().out
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "v.json").write_text('{"claims": []}')
+    main(["uploads", str(tmp_path / "up")])
+    sid = re.search("sub_[0-9a-f]+", capsys.readouterr().out)[0]
+    (tmp_path / "ok.txt").write_text(sid + "\n")
+    main(["land", str(tmp_path / "up"), str(tmp_path / "ok.txt"), str(tmp_path / "landed")])
+    assert (tmp_path / "landed" / sid / "video.json").exists()
+    for args in (["scan", folder], ["lock", folder], ["sidecars", folder], ["profiles", str(tmp_path / "c.toml")], ["catalog", "/root/testdata/sf0.001"], ["query", "point_lookup", "/root/testdata/sf0.001"]):
+        main(args)
+    stored = password_hash("secret")
+    assert password_matches("secret", stored) and not password_matches("other", stored) and stored != password_hash("secret")
