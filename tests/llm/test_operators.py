@@ -406,6 +406,15 @@ def test_language_model_is_normalised():
         assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_shares_of_large_products():
+    rng = np.random.default_rng(4)
+    q, w, column = rng.normal(0, 60, (40, 5)).astype(np.float32), rng.normal(0, 9, (5, lm_score.CLASS)).astype(np.float32), rng.integers(0, lm_score.CLASS, 40)
+    x = (q @ w).astype(float)
+    want = x[np.arange(40), column] - x.max(axis=1) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))
+    got = lm_score._log_share(q, w, column, np.empty((lm_score.ROWS, lm_score.CLASS), np.float32))
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3) and np.abs(x).max() > 700
+
+
 def test_noise_contrastive_steps_learn_what_follows():
     """Units that follow one another for sure, and gradients of repeated rows that add up."""
     rng = np.random.default_rng(2)
