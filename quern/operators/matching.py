@@ -1,7 +1,8 @@
 """Pairs of mentions: blocking, scores, guards, overrides, decisions; and clusters under cannot-links.
 
-A pair is worth a decision if its total reaches 0.45.  Without a shared place or term a total is at most 0.35 (0.30 for time,
-0.05 for vehicles, while no mention has entities), so pairs come from an equi-join on places and terms and none is lost.
+A pair is worth a decision if its total reaches 0.45.  Without a shared place, term or entity a total is at most 0.35 (0.30 for
+time, 0.05 for vehicles), so pairs come from an equi-join on those and none is lost.  Entities (people and organisations) are a
+column that mentions may lack.
 Pairs that a guard bars need no shared key, and most mentions are barred from most others: they matter only between mentions
 that links would join, so constrained_clusters tests them there, on the mentions, and never lists them.
 """
@@ -27,12 +28,19 @@ BLOCK = 256
 
 
 def _side(mentions: DataFrame, p: str) -> DataFrame:
-    return mentions.select(*(F.col(c).alias(f"{p}{c}") for c in ("mention_id", "source_id", "country", "event_time", "locations", "vehicles", "terms", "primary")))
+    known = ("mention_id", "source_id", "country", "event_time", "locations", "vehicles", "terms", "primary")
+    return mentions.select(*(F.col(c).alias(f"{p}{c}") for c in known), _entities(mentions).alias(f"{p}entities"))
+
+
+def _entities(mentions: DataFrame) -> Column:
+    none = F.array().cast("array<string>")
+    return F.coalesce("entities", none) if "entities" in mentions.columns else none
 
 
 def shared_key_pairs(mentions: DataFrame) -> DataFrame:
-    """Pairs (l_id, r_id), l_id < r_id, of mentions of different sources and not of different countries that share a place or a term."""
+    """Pairs (l_id, r_id), l_id < r_id, of mentions of different sources and not of different countries that share a place, a term or an entity."""
     keys = F.array_union(F.transform("locations", lambda x: F.concat(F.lit("l:"), x)), F.transform(F.filter("terms", lambda t: ~t.isin(*GENERIC)), lambda x: F.concat(F.lit("t:"), x)))
+    keys = F.array_union(keys, F.transform(_entities(mentions), lambda x: F.concat(F.lit("e:"), x)))
     rows = mentions.select("mention_id", "source_id", "country", F.explode(keys).alias("key"))
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("mention_id"), F.col("blocks")).cast("int"))
@@ -57,7 +65,7 @@ def scored(pairs: DataFrame, mentions: DataFrame, most_days: int = MOST_DAYS) ->
     plain = lambda p: F.filter(f"{p}terms", lambda t: ~t.isin(*GENERIC))
     primary = F.col("l_primary") & F.col("r_primary")
     both = both.withColumns({
-        "time_score": time_score(F.col("l_event_time"), F.col("r_event_time"), most_days), "location_score": jaccard("l_locations", "r_locations"), "entity_score": F.lit(0.0),
+        "time_score": time_score(F.col("l_event_time"), F.col("r_event_time"), most_days), "location_score": jaccard("l_locations", "r_locations"), "entity_score": jaccard("l_entities", "r_entities"),
         "vehicle_score": jaccard("l_vehicles", "r_vehicles"), "lexical_score": jaccard(plain("l_"), plain("r_")), "_shared": F.size(F.array_intersect(plain("l_"), plain("r_"))) > 0,
         "hard_guard": guard(F.coalesce(days_apart(F.col("l_event_time"), F.col("r_event_time")) > most_days, F.lit(False)) & primary,
                             (F.size("l_locations") > 0) & (F.size("r_locations") > 0) & (F.size(F.array_intersect("l_locations", "r_locations")) == 0) & primary,

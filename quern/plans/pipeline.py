@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.dates import FIRST_BLOCKS, told_in_text
 from quern.functions.text import folded, lexical_features, stable_id
 from quern.operators import evidence as E
 from quern.operators import fusing, matching, validation
@@ -50,10 +51,12 @@ def read_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def collect_evidence(sources: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Evidence of all kinds of sources, and the title of each source."""
+    """Evidence of all kinds of sources, and the title of each source with the first date in its first blocks."""
     joined = sources.join(contents, "path").select("source_id", "kind", "content", "traffic_keywords", "traffic_incident")
     blocks = page_blocks(joined.where("kind = 'html'"), "source_id", "content", F.col("traffic_keywords"), F.col("traffic_incident")).withColumn("author", F.lit(None).cast("string"))
     titles = blocks.where("kind = 'headline'").groupBy("source_id").agg(F.min_by("text", "ord").alias("title"))
+    day = told_in_text(F.col("text"))
+    titles = titles.join(blocks.where(F.col("ord") < FIRST_BLOCKS).where(day.isNotNull()).groupBy("source_id").agg(F.min_by(day, "ord").alias("told_on")), "source_id", "full")
     pages = E.block_evidence(sources, blocks).select("evidence_id", "source_id", "evidence_kind", "claim_text", "normalized_claim", "claimant", "casualties", "extraction_confidence", F.array().cast("array<string>").alias("vehicles"))
     parts = [pages]
     for kind, modality in (("video_analysis", "video"), ("image_analysis", "image")):
@@ -101,7 +104,7 @@ def mention_features(mentions: DataFrame, evidence: DataFrame, sources: DataFram
     joined = joined.join(mention_places(mentions, aliases, countries), "mention_id", "left")
     named, none = F.col("place") == "named", F.array().cast("array<string>")
     return joined.select(
-        "mention_id", "source_id", F.col("country_code").alias("country"), F.coalesce("told", F.substring("published_at", 1, 19).try_cast("timestamp_ntz")).alias("event_time"),
+        "mention_id", "source_id", F.col("country_code").alias("country"), F.coalesce("told", F.substring("published_at", 1, 19).try_cast("timestamp_ntz"), "told_on").alias("event_time"),
         F.when(named, F.array("anchor")).otherwise(none).alias("locations"), F.when(F.size("vehicles") > 0, F.col("vehicles")).otherwise(F.coalesce("_said", none)).alias("vehicles"),
         F.when(named, F.array(folded("anchor"))).otherwise(lexical_features(F.coalesce("title", F.lit("")), keywords)).alias("terms"), F.lit(True).alias("primary"),
         F.when(F.col("_blocked"), F.array(F.lit(BLOCKED))).otherwise(none).alias("effects"),

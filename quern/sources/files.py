@@ -31,13 +31,13 @@ def scan(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> Data
     The hash is taken where the file is read; contents never leave their task.  Files over the limit stay, with a warning.
     """
     root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
-    files = files.select(name.alias("full"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    files = listed.select(name.alias("full"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     start = F.instr(F.col("full"), root.split("://", 1)[-1].rstrip("/").rsplit("/", 1)[-1] + "/")
     files = files.withColumn("path", F.substr("full", start + len(root.rsplit("/", 1)[-1]) + 1)).withColumn("folder", F.regexp_extract("path", "^(.*/)?[^/]*$", 1))
     kept = files.withColumn("kind", _kind(F.col("path"))).where("kind IS NOT NULL")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SIDECAR).load(root).select(name.alias("full"))
+    listing = listed.where(F.col("path").endswith("/" + SIDECAR)).select(name.alias("full"))  # of the same listing, without contents
     sidecars = listing.withColumn("path", F.substr("full", start + len(root.rsplit("/", 1)[-1]) + 1)).select(F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("folder"), F.col("path").alias("sidecar"))
     parents = kept.where("kind = 'html'").groupBy("folder").agg(F.min("path").alias("_page"))
     joined = kept.join(sidecars, "folder", "left").join(parents, "folder", "left")

@@ -244,3 +244,12 @@ def test_page_blocks_of_posts_in_spans(spark):
 
 def test_transitions():
     assert [transition(*x) for x in (("none", "submit"), ("pending", "approve"), ("processing", "approve"), ("ingest_failed", "review"), ("approved", "reject"))] == ["pending", None, "approved", "processing", None]
+
+
+def test_entities_are_scored_and_bring_pairs_together(spark):
+    schema = "mention_id long, source_id string, country string, event_time timestamp_ntz, locations array<string>, vehicles array<string>, terms array<string>, primary boolean, entities array<string>"
+    day = datetime(2026, 1, 1)
+    rows_ = [(1, "a", None, day, [], ["bus"], [], True, ["Fahim", "BUET"]), (2, "b", None, day, [], ["bus"], [], True, ["Fahim", "BUET"]), (3, "c", None, day, [], [], [], True, None)]
+    m = spark.createDataFrame(rows_, schema)
+    got = matching.candidates(matching.scored(matching.shared_key_pairs(m), m)).collect()
+    assert [(r.l_id, r.r_id, r.entity_score, round(r.total_score, 6)) for r in got] == [(1, 2, 1.0, 0.5)]
