@@ -10,10 +10,11 @@ that links would join, so constrained_clusters tests them there, on the mentions
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.rules import adjudicated, days_apart, time_score, total_score
@@ -25,6 +26,7 @@ POSSIBLE, MOST_DAYS = 0.45, 3
 GENERIC = ("road", "accident", "road_crash", "crash", "fatal", "incident", "unknown")
 #: Keys shared by more mentions than this are paired in blocks of that size, so that no task holds a whole hot key.
 BLOCK = 256
+MINUTE = 60_000_000
 
 
 def _side(mentions: DataFrame, p: str) -> DataFrame:
@@ -81,6 +83,47 @@ def guard(time: Column, place: Column, country: Column) -> Column:
     return F.when(country, F.lit("country")).when(place, F.lit("location")).when(time, F.lit("time"))
 
 
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """n: the pairs of rows with equal keys, from counts."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.expr("_n * (_n - 1) DIV 2")), F.lit(0)).alias("n"))
+
+
+def _far_pairs(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """n: the pairs of rows (keys, _t in microseconds) with equal keys that are more than limit apart.
+
+    Each row asks how many lie before its own time less the limit: those of earlier minutes from prefix sums, those of the same
+    minute from their order, so that no window holds more than a minute of a group, or the minutes of one."""
+    own = rows.select(*keys, F.col("_t"), F.lit(1).alias("_is")).unionByName(rows.select(*keys, (F.col("_t") - limit).alias("_t"), F.lit(0).alias("_is"))).withColumn("_m", F.floor(F.col("_t") / MINUTE))
+    inside = F.sum("_is").over(Window.partitionBy(*keys, "_m").orderBy("_t", "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    minute = own.withColumn("_before", inside).groupBy(*keys, "_m").agg(F.sum("_is").alias("_n"), F.sum(1 - F.col("_is")).alias("_asks"), F.sum(F.when(F.col("_is") == 0, F.col("_before")).otherwise(0)).alias("_same"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    return minute.withColumn("_e", F.coalesce(earlier, F.lit(0))).agg(F.coalesce(F.sum(F.col("_same") + F.col("_asks") * F.col("_e")), F.lit(0)).alias("n"))
+
+
+def guard_counts(mentions: DataFrame, most_days: int = MOST_DAYS) -> DataFrame:
+    """hard_guard, pairs: how many of all pairs of mentions of different sources and not of different countries each guard bars, and
+    those that none does.  Pairs are counted, never listed, but for those that share a place."""
+    rows = stored(mentions.select("mention_id", "source_id", "country", "primary", (F.size("locations") > 0).alias("_placed"), F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("event_time")).alias("_t")), "guarded")
+    limit = most_days * 86_400_000_000
+
+    def admitted(count: Callable[[DataFrame, list[str]], DataFrame], some: DataFrame, name: str) -> DataFrame:
+        named = some.where("country IS NOT NULL")
+        signs = ((1, some, []), (-1, named, []), (1, named, ["country"]), (-1, some, ["source_id"]), (1, named, ["source_id"]), (-1, named, ["source_id", "country"]))
+        parts = [count(d, keys).select((sign * F.col("n")).alias("n")) for sign, d, keys in signs]
+        return reduce(DataFrame.unionAll, parts).agg(F.sum("n").alias(name))
+
+    far = lambda d, keys: _far_pairs(d.where("_t IS NOT NULL"), keys, limit)
+    first, placed = rows.where("primary"), rows.where("primary AND _placed")
+    none = F.array().cast("array<string>")
+    lean = mentions.withColumns({"terms": none, "entities": none})
+    shared = shared_key_pairs(lean).join(first.select(F.col("mention_id").alias("l_id"), F.col("_t").alias("_l")), "l_id").join(first.select(F.col("mention_id").alias("r_id"), F.col("_t").alias("_r")), "r_id")
+    shared = shared.agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.abs(F.col("_l") - F.col("_r")) > limit).alias("shared_far"))
+    wide = reduce(lambda a, b: a.join(F.broadcast(b)), (admitted(_pairs, rows, "all"), admitted(_pairs, placed, "placed"), admitted(far, first, "far"), admitted(far, placed, "placed_far"), shared))  # one row each
+    wide = wide.selectExpr("placed - shared AS location", "far - (placed_far - shared_far) AS time", "all")
+    told = F.array(*(F.struct(F.lit(g).alias("hard_guard"), n.alias("pairs")) for g, n in (("location", F.col("location")), ("time", F.col("time")), ("none", F.col("all") - F.col("location") - F.col("time")))))
+    return wide.select(F.explode(told).alias("x")).select("x.*").where("pairs > 0")
+
+
 def candidates(scores: DataFrame, possible: float = POSSIBLE) -> DataFrame:
     return scores.where(F.col("hard_guard").isNotNull() | (F.col("total_score") >= possible))
 

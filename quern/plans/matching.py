@@ -27,7 +27,7 @@ def q_pair_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_hard_guards(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).groupBy(F.coalesce("hard_guard", F.lit("none")).alias("hard_guard")).agg(F.count(F.lit(1)).alias("pairs"))
+    return M.guard_counts(mentions(spark, sf))
 
 
 def q_override_precedence(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +98,7 @@ def q_confusion_prf(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "pair_score": (q_pair_score, f"WITH {MENTIONS} SELECT l_id, r_id, round(time_score, 6) AS time_score, round(location_score, 6) AS location_score, round(vehicle_score, 6) AS vehicle_score, round(lexical_score, 6) AS lexical_score, round(total_score, 6) AS total_score FROM scored WHERE hard_guard IS NULL AND total_score >= 0.45"),
-    "hard_guards": (q_hard_guards, f"WITH {MENTIONS} SELECT coalesce(hard_guard, 'none') AS hard_guard, count(*) AS pairs FROM scored WHERE li > 0 OR ti > 0 GROUP BY ALL"),
+    "hard_guards": (q_hard_guards, f"WITH {MENTIONS} SELECT coalesce(hard_guard, 'none') AS hard_guard, count(*) AS pairs FROM scored GROUP BY ALL"),
     "override_precedence": (q_override_precedence, f"WITH {DECIDED} SELECT decision, count(*) AS pairs, count(*) FILTER (confidence = 1) AS certain FROM dec GROUP BY ALL"),
     "adjudicate": (q_adjudicate, f"WITH {DECIDED} SELECT l_id, r_id, decision, round(confidence, 6) AS confidence FROM dec"),
     "time_window_pairs": (q_time_window_pairs, "SELECT a.o_custkey, a.o_orderkey AS l_id, b.o_orderkey AS r_id, abs(datediff('day', a.o_orderdate, b.o_orderdate))::INT AS days FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE abs(datediff('day', a.o_orderdate, b.o_orderdate)) <= 4"),

@@ -253,3 +253,26 @@ def test_entities_are_scored_and_bring_pairs_together(spark):
     m = spark.createDataFrame(rows_, schema)
     got = matching.candidates(matching.scored(matching.shared_key_pairs(m), m)).collect()
     assert [(r.l_id, r.r_id, r.entity_score, round(r.total_score, 6)) for r in got] == [(1, 2, 1.0, 0.5)]
+
+
+def test_guard_counts_match_all_pairs(spark):
+    rng = random.Random(41)
+    day = datetime(2026, 1, 1)
+    rows_ = []
+    for i in range(160):
+        when = None if rng.random() < 0.1 else day + timedelta(days=rng.choice((0, 1, 3, 3, 4)), seconds=rng.choice((0, 0, 30, 86399)), microseconds=rng.choice((0, 1)))
+        rows_.append((i, f"s{rng.randrange(12)}", rng.choice((None, "A", "A", "B")), when, rng.sample(["p", "q", "r"], rng.randrange(3)), [], [], rng.random() < 0.8))
+    m = spark.createDataFrame(rows_, "mention_id long, source_id string, country string, event_time timestamp_ntz, locations array<string>, vehicles array<string>, terms array<string>, primary boolean")
+    want = defaultdict(int)
+    for i, a in enumerate(rows_):
+        for b in rows_[i + 1 :]:
+            if a[1] == b[1] or (a[2] and b[2] and a[2] != b[2]):
+                continue
+            both = a[7] and b[7]
+            if both and a[4] and b[4] and not set(a[4]) & set(b[4]):
+                want["location"] += 1
+            elif both and a[3] and b[3] and abs(a[3] - b[3]) > timedelta(days=3):
+                want["time"] += 1
+            else:
+                want["none"] += 1
+    assert {r.hard_guard: r.pairs for r in matching.guard_counts(m).collect()} == dict(want)
