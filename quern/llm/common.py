@@ -81,11 +81,11 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of whole rows with at most that many bytes, or one row if it alone has more."""
+def chunks(off: np.ndarray, most: int = 1 << 19, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of whole rows, with at most that many bytes and rows, or one row if it alone has more bytes."""
     at, n = 0, len(off) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1))
         yield at, min(to, n)
         at = min(to, n)
 

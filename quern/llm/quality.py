@@ -42,7 +42,7 @@ def features(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, end row, logarithms of 1 + counts of byte pairs and of words)."""
     codes = _pair_codes()
     data, off = utf8(col)
-    for a, b in chunks(off, 1 << 20):
+    for a, b in chunks(off, 1 << 19, 1024):
         own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
         n = b - a
         doc = np.repeat(np.arange(n), np.diff(at))
@@ -111,7 +111,7 @@ class Bank:
         size = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(size > 0, size, 1)
 
-    def score(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+    def score(self, x: np.ndarray, block: int = 256) -> np.ndarray:
         """Each row against the whole bank.  Blocks have one shape and cosines are rounded, so that a row's score doesn't hang on
         the rows beside it; all of the bank that are as near as the last of the NEIGHBOURS vote."""
         out = np.full(len(x), self.labels.mean() if len(self.labels) else 0.5, np.float64)

@@ -58,6 +58,7 @@ def test_words_and_shingles_match_plain_python():
 def test_chunks_keep_rows_whole():
     off = np.array([0, 3, 3, 10, 30, 31])
     assert list(common.chunks(off, 10)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(common.chunks(off, 10, 2)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
 
 
 # --- 1 --------------------------------------------------------------------------------------------------------------
