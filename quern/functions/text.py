@@ -85,7 +85,7 @@ def normalized(text: str | Column) -> Column:
 
 def terms(text: str | Column) -> Column:
     """Distinct sorted letters-and-digits tokens of a folded text."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
 
 
 def lexical_features(title: str | Column, excluded: list[str] | Column, least: int = 4) -> Column:

@@ -97,7 +97,7 @@ def stale(listed: DataFrame, kept: DataFrame, key: str) -> DataFrame:
 
 def by_source(evidence: DataFrame) -> DataFrame:
     """Evidence of each source: how many items, which kinds and assertions, the most first."""
-    return evidence.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("evidence_kind")).alias("kinds"), F.array_sort(F.collect_set("assertion_type")).alias("assertions")).orderBy(F.desc("n"), "source_id")
+    return evidence.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("evidence_kind")).alias("kinds"), F.sort_array(F.collect_set("assertion_type")).alias("assertions")).orderBy(F.desc("n"), "source_id")
 
 
 def shown_value(value: Column, alternatives: Column, state: Column) -> Column:
@@ -143,7 +143,7 @@ def source_catalog(sources: DataFrame) -> DataFrame:
 def content_markdown(blocks: DataFrame) -> DataFrame:
     """source_id and its blocks as Markdown, in order."""
     text = F.when(F.col("kind") == "headline", F.concat(F.lit("## "), "text")).otherwise(F.col("text"))
-    return blocks.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
+    return blocks.groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("markdown"))
 
 
 def source_files(blocks: DataFrame, sources: DataFrame) -> DataFrame:

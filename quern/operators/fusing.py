@@ -28,7 +28,7 @@ def plurality(rows: DataFrame, keys: list[str], value: str, order: str) -> DataF
     votes = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
     best = F.min(F.struct((-F.col("_n")).alias("_less"), F.col("_first").alias("_o"), F.col(value).alias("_v"), F.col("_n")))
     fused = votes.groupBy(*keys).agg(best.alias("_b"), F.collect_set(value).alias("_all"), F.sum("_n").alias("_total"))
-    other = F.array_sort(F.filter("_all", lambda x: x != F.col("_b._v")))
+    other = F.sort_array(F.filter("_all", lambda x: x != F.col("_b._v")))
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(0.9), 0.55 + 0.08 * F.col("_b._n") - 0.12 * F.size(other)))
     return fused.select(*keys, F.col("_b._v").alias("value"), F.col("_b._n").alias("votes"), other.alias("alternatives"), (F.size(other) > 0).alias("contradiction"), confidence.alias("confidence"), F.col("_total").alias("reports"))
 
@@ -56,7 +56,7 @@ def fused_place(rows: DataFrame, keys: list[str], name: str, granularity: str, c
     as_fine = F.min(F.when(F.col("_fine") > 0, F.struct((-F.col("_fine")).alias("less"), F.col("_of").alias("o"), F.col(name).alias("name"), F.col("_fine").alias("n"), F.lit(True).alias("fine"), F.col("_ff").alias("f"))))
     rest = F.struct(F.col("_f.confidence").alias("confidence"), F.col("_f.granularity").alias("granularity"), *(F.col(f"_f.{c}").alias(c) for c in carried))
     as_country = F.min(F.struct((-F.col("_n")).alias("less"), F.col("_o").alias("o"), F.col(name).alias("name"), F.col("_n").alias("n"), F.lit(False).alias("fine"), rest.alias("f")))
-    out = votes.groupBy(*keys).agg(F.coalesce(as_fine, as_country).alias("b"), F.array_sort(F.collect_set(name)).alias("names"))
+    out = votes.groupBy(*keys).agg(F.coalesce(as_fine, as_country).alias("b"), F.sort_array(F.collect_set(name)).alias("names"))
     more = F.col("b.n") - 1
     raised = F.when(F.col("b.fine"), F.least(F.lit(MOST_PLACE), F.col("b.f.confidence") + 0.05 * more)).otherwise(F.least(F.lit(MOST_COUNTRY), F.col("b.f.confidence") + 0.02 * more))
     return out.select(*keys, F.col("b.name").alias("place"), raised.alias("confidence"), F.col("b.f.granularity").alias("granularity"), *(F.col(f"b.f.{c}").alias(c) for c in carried), F.array_remove("names", F.col("b.name")).alias("alternatives"))
@@ -79,8 +79,8 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def nested_counts(rows: DataFrame, keys: list[str], outer: str, inner: str) -> DataFrame:
     """keys -> map of outer to map of inner to count."""
     level = rows.groupBy(*keys, outer, inner).agg(F.count(F.lit(1)).alias("_n"))
-    level = level.groupBy(*keys, outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, "_n")))).alias("_m"))
-    return level.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(outer, F.map_entries("_m").alias("_e"))))).alias("_x")).select(
+    level = level.groupBy(*keys, outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(inner, "_n")))).alias("_m"))
+    return level.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(outer, F.map_entries("_m").alias("_e"))))).alias("_x")).select(
         *keys, F.transform_values("_x", lambda _, e: F.map_from_entries(e)).alias("counts")
     )
 
@@ -89,13 +89,13 @@ def casualty_facts(clusters: DataFrame, mentions: DataFrame) -> DataFrame:
     """cluster -> facts: an array of one struct for each of FIELDS, told or not, with its evidence."""
     told = clusters.join(mentions.select("mention_id", "evidence_ids", *FIELDS), "mention_id").select("cluster", "mention_id", "evidence_ids", F.explode(F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.col(f))))).alias("field", "value")).where("value IS NOT NULL")
     voted = plurality(told, ["cluster", "field"], "value", "mention_id")
-    cited = told.groupBy("cluster", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("support"))
+    cited = told.groupBy("cluster", "field").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("support"))
     every = clusters.select("cluster").distinct().withColumn("field", F.explode(F.array(*map(F.lit, FIELDS))))
     facts = every.join(voted.join(cited, ["cluster", "field"]), ["cluster", "field"], "left").withColumns({
         "state": fact_state(F.col("value")), "confidence": F.coalesce("confidence", F.lit(0.0)), "contradiction": F.coalesce("contradiction", F.lit(False)),
         "alternatives": F.coalesce("alternatives", F.array().cast("array<int>")), "support": F.coalesce("support", F.array().cast("array<string>")),
     })
-    return facts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("field", "value", "state", "alternatives", "contradiction", "confidence", "support"))).alias("facts"))
+    return facts.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("field", "value", "state", "alternatives", "contradiction", "confidence", "support"))).alias("facts"))
 
 
 def most_told(field: str) -> Column:
@@ -111,7 +111,7 @@ def moods(sentiments: DataFrame, members: DataFrame, key: str) -> DataFrame:
     own = members.select(key, "source_id").distinct().join(sentiments, "source_id")
     once = own.groupBy(key, "evidence_id").agg(F.max_by(F.struct("aspect", "polarity"), "sentiment_id").alias("_s")).select(key, "_s.aspect", "_s.polarity")
     counts = nested_counts(once, [key], "aspect", "polarity").withColumnRenamed("counts", "by_aspect")
-    return counts.join(once.groupBy(key).agg(F.array_sort(F.collect_set("polarity")).alias("polarities"), F.count(F.lit(1)).alias("n_sentiments")), key)
+    return counts.join(once.groupBy(key).agg(F.sort_array(F.collect_set("polarity")).alias("polarities"), F.count(F.lit(1)).alias("n_sentiments")), key)
 
 
 def fuse_clusters(clusters: DataFrame, mentions: DataFrame, sentiments: DataFrame | None = None) -> DataFrame:
@@ -121,14 +121,14 @@ def fuse_clusters(clusters: DataFrame, mentions: DataFrame, sentiments: DataFram
     effects, fatalities, injuries, and of their place: place_name, granularity, lat, lon, place_confidence, radius_km, reason).
     Ties go to the mention with the smallest id."""
     joined = stored(clusters.join(mentions, "mention_id"), "members")
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
     base = joined.groupBy("cluster").agg(
-        F.array_sort(F.collect_set("mention_id")).alias("mention_ids"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), union("evidence_ids").alias("evidence_ids"),
+        F.sort_array(F.collect_set("mention_id")).alias("mention_ids"), F.sort_array(F.collect_set("source_id")).alias("source_ids"), union("evidence_ids").alias("evidence_ids"),
         union("vehicles").alias("vehicles"), union("effects").alias("effects"), F.min_by("title", F.when(F.col("title").isNotNull(), F.struct("source_id", "mention_id"))).alias("title"),
     ).withColumn("incident_id", F.concat(F.lit("inc_"), F.substring(F.sha2(F.array_join(F.transform("mention_ids", lambda m: m.cast("string")), "|"), 256), 1, 16)))
     own = F.coalesce("dependency_group", F.col("source_id").cast("string"))
-    groups = joined.select("cluster", own.alias("_g"), F.col("dependency_group").isNotNull().alias("_named"), "source_id").distinct().groupBy("cluster", "_g", "_named").agg(F.array_sort(F.collect_set("source_id")).alias("_s"))
-    groups = groups.groupBy("cluster").agg(F.count_distinct("_g").alias("source_count"), F.array_sort(F.collect_list(F.when(F.col("_named") & (F.size("_s") > 1), F.col("_s")))).alias("duplicate_groups"))
+    groups = joined.select("cluster", own.alias("_g"), F.col("dependency_group").isNotNull().alias("_named"), "source_id").distinct().groupBy("cluster", "_g", "_named").agg(F.sort_array(F.collect_set("source_id")).alias("_s"))
+    groups = groups.groupBy("cluster").agg(F.count_distinct("_g").alias("source_count"), F.sort_array(F.collect_list(F.when(F.col("_named") & (F.size("_s") > 1), F.col("_s")))).alias("duplicate_groups"))
     time = plurality(joined, ["cluster"], "event_time", "mention_id").select("cluster", F.col("value").alias("event_start"), F.col("alternatives").alias("other_times"))
     place = fused_place(joined.where("place_name IS NOT NULL"), ["cluster"], "place_name", "granularity", "place_confidence", "mention_id", ["lat", "lon", "radius_km", "reason"])
     cites = joined.where("place_name IS NOT NULL").groupBy("cluster").agg(union("evidence_ids").alias("place_evidence"))

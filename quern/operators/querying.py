@@ -62,7 +62,7 @@ def feature(properties: list[str], lat: str = "lat", lon: str = "lon") -> Column
 
 def inverted_links(records: DataFrame, id_col: str, list_col: str, members: DataFrame, member_col: str) -> DataFrame:
     """Each member with the sorted ids of the records that list it; an empty list for the others."""
-    links = records.select(F.col(id_col).alias("_r"), F.explode(list_col).alias(member_col)).groupBy(member_col).agg(F.array_sort(F.collect_set("_r")).alias("record_ids"))
+    links = records.select(F.col(id_col).alias("_r"), F.explode(list_col).alias(member_col)).groupBy(member_col).agg(F.sort_array(F.collect_set("_r")).alias("record_ids"))
     return members.join(links, member_col, "left").withColumn("record_ids", F.coalesce("record_ids", F.array().cast(links.schema["record_ids"].dataType)))
 
 

@@ -46,7 +46,7 @@ def build(candidates: DataFrame, countries: DataFrame, per_country: int = 10) ->
     eligible = candidates.where("access_status IN ('captured', 'available', 'ok')").withColumn("pair_confidence", F.coalesce("pair_confidence", F.lit(0.0)))
     chosen = ranking.quota_selection(eligible, "country_iso2", "incident_key", "domain", "pair_confidence", "canonical_url", per_country)
     sources = chosen.withColumn("source_id", stable_id("src", "country_iso2", "canonical_url")).withColumn("content_hash", content_hash("title", "excerpt", length=64))
-    groups = sources.where("pair").groupBy("country_iso2", "incident_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("domains"), F.array_sort(F.collect_set("source_id")).alias("source_ids")).where("n >= 2 AND domains >= 2")
+    groups = sources.where("pair").groupBy("country_iso2", "incident_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("domain").alias("domains"), F.sort_array(F.collect_set("source_id")).alias("source_ids")).where("n >= 2 AND domains >= 2")
     number = F.row_number().over(Window.partitionBy("country_iso2").orderBy("incident_key"))
     incidents = groups.select(F.concat("country_iso2", F.lit("-"), F.lpad(number.cast("string"), 3, "0")).alias("incident_id"), "country_iso2", "incident_key", "source_ids")
     issues = validation.every(

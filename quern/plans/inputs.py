@@ -36,7 +36,7 @@ def q_video_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as video analyses: turns as claims, first turns as bare incidents, moods."""
     t = load(spark, sf, "conversations")
     claim = F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).alias("claim"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("description"), F.when(F.col("turn") % 3 == 0, F.lit("directly observed")).alias("evidence_type"), F.when(F.col("turn") % 2 == 0, F.lit("high")).otherwise("0.3").alias("confidence"), F.col("role").alias("claimant"))
-    per = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", claim.alias("c")))), lambda x: x["c"]).alias("claims"))
+    per = t.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", claim.alias("c")))), lambda x: x["c"]).alias("claims"))
     doc = F.to_json(F.struct(
         "claims", F.array(F.struct(F.lit("collision").alias("incident_type"), F.concat(F.lit("road "), F.col("conv_id").cast("string")).alias("location"), F.lit("2").alias("fatalities"), F.array(F.struct(F.lit("bus").alias("vehicle_type"), F.lit("x").alias("colour"))).alias("vehicles"))).alias("traffic_incidents"),
         F.struct(F.array(F.struct(F.lit("delay").alias("aspect"), F.concat(F.lit("angry "), F.col("conv_id").cast("string")).alias("evidence_text"))).alias("aspect_sentiments")).alias("sentiment_analysis"),
@@ -147,7 +147,7 @@ def q_document_default(spark: SparkSession, sf: str) -> DataFrame:
 def q_strict_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of strict JSON: rows that fit, and issues by path and line."""
     n = load(spark, sf, "nation").selectExpr("n_regionkey", "n_nationkey", "CASE n_nationkey % 4 WHEN 0 THEN concat('{\"k\": ', n_nationkey, ', \"name\": \"', n_name, '\"}') WHEN 1 THEN 'no json' WHEN 2 THEN concat('{\"k\": ', n_nationkey, ', \"other\": 1}') ELSE concat('{\"name\": \"', n_name, '\"}') END AS line")
-    per = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    per = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
     found, issues = files.strict_rows(spark, _written(spark, per.selectExpr("concat('reviews/', n_regionkey, '.jsonl') AS path", "content"), "strict"), "*.jsonl", "k int, name string", ["k"], lines=True)
     return found.select("where", F.lit("row").alias("code"), "k").unionByName(issues.select("where", "code", F.lit(-1).alias("k")))
 
@@ -155,7 +155,7 @@ def q_strict_rows(spark: SparkSession, sf: str) -> DataFrame:
 def q_country_profiles(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "nation")
     entry = F.concat(F.lit('[[countries]]\niso2 = "'), F.concat(F.lit("a"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")), F.lit('"\niso3 = "b'), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit('"\nname = "'), F.col("n_name"), F.lit('"\ncoverage_centroid = { latitude = '), (F.col("n_nationkey") + 0.5).cast("string"), F.lit(", longitude = "), F.col("n_regionkey").cast("string"), F.lit(' }\nlanguages = ["en", "x'), F.col("n_regionkey").cast("string"), F.lit('"]\n'))
-    folder = _written(spark, n.agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("content")).withColumn("path", F.lit("countries.toml")), "toml")
+    folder = _written(spark, n.agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("content")).withColumn("path", F.lit("countries.toml")), "toml")
     return metadata.by_either_code(metadata.country_profiles(spark, f"{folder}/countries.toml")).select("country_code", "name", "lat", "lon", F.array_join("languages", ",").alias("languages"))
 
 
@@ -187,7 +187,7 @@ def q_feed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items of two queries' feeds, once for each address."""
     n = load(spark, sf, "nation")
     item = F.concat(F.lit("<item><title>"), "n_name", F.lit(" - Some Paper</title><link>https://agg.example/r?url=https%3A%2F%2Fp"), (F.col("n_nationkey") % 7).cast("string"), F.lit(".example%2Fx</link><pubDate>Mon, 01 Jan 2024 0"), (F.col("n_nationkey") % 10).cast("string"), F.lit(":00:00 +0600</pubDate></item>"))
-    per = n.withColumn("q", F.col("n_nationkey") % 2).groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("i")))), lambda x: x["i"]), "").alias("c"))
+    per = n.withColumn("q", F.col("n_nationkey") % 2).groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", item.alias("i")))), lambda x: x["i"]), "").alias("c"))
     folder = _written(spark, per.select(F.concat(F.lit("q"), F.col("q").cast("string"), F.lit(".xml")).alias("path"), F.concat(F.lit("<rss><channel>"), "c", F.lit("</channel></rss>")).alias("content")), "feeds")
     key = F.split("title", " - ")[0]
     parts = [feeds.read_feed(spark, f"{folder}/q{q}.xml").withColumn("query", F.lit(f"q{q}")) for q in (0, 1)]

@@ -96,7 +96,7 @@ def mention_features(mentions: DataFrame, evidence: DataFrame, sources: DataFram
     told = F.try_to_timestamp(F.initcap(F.nullif(date, F.lit(""))), F.lit("d MMMM yyyy")).cast("timestamp_ntz")
     says = lambda w: F.max(F.contains("normalized_claim", F.lit(w)))
     per = claims.groupBy("mention_id").agg(
-        F.min_by(told, F.when(told.isNotNull(), F.col("evidence_id"))).alias("told"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("vehicles")))).alias("vehicles"),
+        F.min_by(told, F.when(told.isNotNull(), F.col("evidence_id"))).alias("told"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("vehicles")))).alias("vehicles"),
         F.array_compact(F.array(*(F.when(says(w), F.lit(w)) for w in VEHICLE_WORDS))).alias("_said"), (says("blockade") | says("অবরোধ")).alias("_blocked"),
     )
     keywords = F.array_union(F.array(*map(F.lit, STOPWORDS)), F.array_compact(F.flatten(F.array(F.regexp_extract_all(folded(F.coalesce("publisher", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.transform(F.coalesce("traffic_keywords", F.array().cast("array<string>")), folded)))))

@@ -177,7 +177,7 @@ def q_evaluation_manifest(spark: SparkSession, sf: str) -> DataFrame:
         "median_uncertainty_radius_km": (r.where("is_incident_location").agg(F.percentile("radius_km", F.lit(0.5)).alias("value"), F.count("radius_km").alias("n")), "km", "descriptive"),
         "gold_quality_share": (share(labelled, F.col("quality") == 1), "proportion", "gold_accuracy"), "labelled_accuracy": (labelled.agg(F.sum("quality").alias("value"), F.count(F.lit(1)).alias("n")), "proportion", "descriptive"),
     })
-    broken = metrics.manifest_issues(rows).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("issues"))
+    broken = metrics.manifest_issues(rows).groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("issue")), ",").alias("issues"))
     return rows.join(broken, "name", "left").select("name", F.round("value", 8).alias("value"), "n", "unit", "kind", F.coalesce("issues", F.lit("")).alias("issues"))
 
 
