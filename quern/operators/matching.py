@@ -143,15 +143,15 @@ def components(edges: DataFrame, left: str = "l_id", right: str = "r_id") -> Dat
     """node, component (its smallest member) for every node with an edge: smallest-neighbour links with shortcuts.
 
     Each round writes its links to the shared folder, so that lineage stays short and survives lost executors."""
-    edges = stored(edges.select(left, right).distinct(), "edges")
+    edges = stored(edges.select(left, right).distinct(), "edges", few=True)
     up = edges.where(f"{left} <> {right}").select(F.greatest(left, right).alias("node"), F.least(left, right).alias("up")).distinct()
     nodes = edges.select(F.col(left).alias("node")).union(edges.select(right)).distinct()
     while True:
         least = up.groupBy("node").agg(F.min("up").alias("least"), F.count(F.lit(1)).alias("k"))
         others = up.join(least.where("k > 1"), "node").where("up <> least").select(F.col("up").alias("node"), F.col("least").alias("up"))
-        linked = stored(least.select("node", F.col("least").alias("up")).union(others).distinct(), "linked")
-        top = stored(linked.groupBy("node").agg(F.min("up").alias("top")).withColumnRenamed("node", "up"), "top")  # so that a hot node's join can be split
-        step = stored(linked.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "step")
+        linked = stored(least.select("node", F.col("least").alias("up")).union(others).distinct(), "linked", few=True)
+        top = stored(linked.groupBy("node").agg(F.min("up").alias("top")).withColumnRenamed("node", "up"), "top", few=True)  # so that a hot node's join can be split
+        step = stored(linked.join(top, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "step", few=True)
         rows, distinct, moved = step.agg(F.count(F.lit(1)), F.count_distinct("node"), F.count_if("moved")).first()
         if rows == distinct and not moved:
             return nodes.join(linked, "node", "left").select("node", F.coalesce("up", "node").alias("component"))

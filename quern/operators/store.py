@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether adaptive execution prefers many small partitions to few of the advisory size.
+PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 _made: list[list[str]] = []
 _temporary: dict[str, str] = {}
 
@@ -24,13 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back; unlike a checkpoint its plan runs once only."""
-    path = f"{shared_folder(df.sparkSession)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df written once and read back; unlike a checkpoint its plan runs once only.
+
+    few: for tables of ids, labels and links, whose last step costs little: files of the advisory size of adaptive execution
+    instead of one for each core, so that many rounds over a small table don't start many tasks."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(PARALLEL)
+    try:
+        if few:
+            spark.conf.set(PARALLEL, "false")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(PARALLEL, before)
     if _made:
         _made[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
