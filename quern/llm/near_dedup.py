@@ -116,12 +116,12 @@ class Texts:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """_id, _values: the sorted set of each of those nodes as bytes."""
-        ids = stored(ids, "ids")
+        ids = stored(ids, "ids", few=True)
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         if self.whole:
             wanted = self.rows.withColumn("_id", _node(F.col("_own"))).join(ids, "_id", "left_semi").select("_own", "_text")
         else:
-            owners = stored(self.signed.join(ids, "_id", "left_semi").select(F.col("_own").alias("_owner")).distinct(), "owners")
+            owners = stored(self.signed.join(ids, "_id", "left_semi").select(F.col("_own").alias("_owner")).distinct(), "owners", few=True)
             wanted = self.rows.join(owners, F.col("_own").eqNullSafe(F.col("_owner")), "left_semi").select("_own", "_text")
         words = self.words
 
@@ -180,16 +180,16 @@ def verify(pairs: DataFrame, texts: Texts, similarity: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (_l, _r) -> _id, _label: the smallest id that it reaches, for each id that has an edge and is not the smallest."""
-    up = stored(edges.where("_l != _r").select(F.greatest("_l", "_r").alias("_id"), F.least("_l", "_r").alias("_up")).distinct(), "edges")
+    up = stored(edges.where("_l != _r").select(F.greatest("_l", "_r").alias("_id"), F.least("_l", "_r").alias("_up")).distinct(), "edges", few=True)
     while True:
         # each node keeps its smallest neighbour above; its others are linked with that one
         least = up.groupBy("_id").agg(F.min("_up").alias("_min"), F.count(F.lit(1)).alias("_k"))
         others = up.join(least.where("_k > 1").select("_id", "_min"), "_id").where("_up != _min").select(F.col("_up").alias("_id"), F.col("_min").alias("_up"))
-        joined = stored(least.select("_id", F.col("_min").alias("_up")).unionByName(others).distinct(), "edges")
+        joined = stored(least.select("_id", F.col("_min").alias("_up")).unionByName(others).distinct(), "edges", few=True)
         # shortcut: to the smallest above the one above
-        top = stored(joined.groupBy("_id").agg(F.min("_up").alias("_top")).withColumnRenamed("_id", "_up"), "top")  # written, so that a hot centre's join can be split
+        top = stored(joined.groupBy("_id").agg(F.min("_up").alias("_top")).withColumnRenamed("_id", "_up"), "top", few=True)  # written, so that a hot centre's join can be split
         step = joined.join(top, "_up", "left").select("_id", F.coalesce("_top", "_up").alias("_next"), F.col("_top").isNotNull().alias("_moved"))
-        step = stored(step, "step")
+        step = stored(step, "step", few=True)
         state = step.agg(F.count(F.lit(1)), F.count_distinct("_id"), F.coalesce(F.sum(F.col("_moved").cast("int")), F.lit(0))).first()
         if state[0] == state[1] and state[2] == 0:
             return joined.select("_id", F.col("_up").alias("_label"))
@@ -232,7 +232,7 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Tex
     known = _labelled(members, labels)
     counts = known.groupBy("_key", "_label").agg(F.count(F.lit(1)).alias("_c"))
     state = counts.groupBy("_key").agg(F.max(F.struct("_c", "_label")).alias("_m"), F.sum("_c").alias("_all")).where("_m._c < _all")
-    state = stored(state.selectExpr("_key", "_m._label AS _main", f"cast(ceil((_all - _m._c) / {BLOCK}) AS int) AS _no", f"cast(ceil(_m._c / {BLOCK}) AS int) AS _nm"), "open")
+    state = stored(state.selectExpr("_key", "_m._label AS _main", f"cast(ceil((_all - _m._c) / {BLOCK}) AS int) AS _no", f"cast(ceil(_m._c / {BLOCK}) AS int) AS _nm"), "open", few=True)
     if not state.limit(1).count():
         return None
     own = known.join(state, "_key").withColumn("_other", F.col("_label") != F.col("_main")).withColumn("_at", F.expr("cast(pmod(xxhash64(_id), if(_other, _no, _nm)) as int)"))
@@ -315,8 +315,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
     whole = isinstance(kind, IntegralType) and not repeats
     signed = signed.withColumn("_id", _node(F.col("_own")) if whole else F.xxhash64("_own", "_set"))
     texts = Texts(rows, signed, words, whole)
-    classes = stored(signed.where("_n > 0").groupBy(*SET).agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size")), "classes")
-    reps = stored(signed.join(classes.select(F.col("_rep").alias("_id"), *SET), ["_id", *SET], "left_semi").dropDuplicates(["_id"]).drop("_own"), "reps")
+    classes = stored(signed.where("_n > 0").groupBy(*SET).agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_size")), "classes", few=True)
+    reps = stored(signed.join(classes.select(F.col("_rep").alias("_id"), *SET), ["_id", *SET], "left_semi").dropDuplicates(["_id"]).drop("_own"), "reps", few=True)
 
     table_keys = f"flatten(transform(sequence(0, {TABLES - 1}), i -> transform(sequence(0, {TABLES - 1}), j -> xxhash64(_a[i], _b[j], i * {TABLES} + j))))"
     # small rows that become many: so few to a task that their counts fit into its memory
@@ -337,16 +337,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
         for key in (["_own"], SET):
             same = signed.where("_n > 0" if key == SET else "true").groupBy(*key).agg(F.min("_id").alias("_r"))
             on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in key]
-            edges = edges.union(signed.select("_id", *key).distinct().alias("x").join(stored(same, "same").alias("y"), on).select(F.col("_id").alias("_l"), "_r"))
-    edges = stored(edges, "links")
+            edges = edges.union(signed.select("_id", *key).distinct().alias("x").join(stored(same, "same", few=True).alias("y"), on).select(F.col("_id").alias("_l"), "_r"))
+    edges = stored(edges, "links", few=True)
     labels = components(edges)
     more = _crossing(members, labels, reps, texts, similarity)
     if more is not None:
         labels = components(more.union(labels.select(F.col("_label").alias("_l"), F.col("_id").alias("_r"))))
 
-    labels = stored(labels, "labels")
+    labels = stored(labels, "labels", few=True)
     if whole:
-        named = stored(_labelled(classes.withColumnRenamed("_rep", "_id"), labels).select(*SET, "_label"), "named")
+        named = stored(_labelled(classes.withColumnRenamed("_rep", "_id"), labels).select(*SET, "_label"), "named", few=True)
         result = signed.select("_id", "_own", *SET).join(named, SET, "left").withColumn("_label", F.coalesce("_label", "_id"))
     else:
         result = _labelled(signed.select("_id", "_own", "_n"), labels)
@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
         group = F.when(F.col("_label") != NULL_ID, F.col("_label")).cast(kind)
     else:
         result = stored(result, "labelled")
-        least = stored(result.groupBy("_label").agg(F.min(F.struct("_own")).alias("_least")), "least")
+        least = stored(result.groupBy("_label").agg(F.min(F.struct("_own")).alias("_least")), "least", few=True)
         result, group = result.join(least, "_label"), F.col("_least._own")
     return result.select(F.col("_own").alias(id_col), F.col("_n").alias("n_shingles"), group.alias("component_id"), F.col("_own").eqNullSafe(group).alias("kept"))
 
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARIT
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with the columns of docs; few ids are broadcast, more are joined."""
     name = fresh(docs, "_gone")
-    gone = stored(near_duplicates(docs, words, similarity, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(name)).distinct(), "gone")
+    gone = stored(near_duplicates(docs, words, similarity, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(name)).distinct(), "gone", few=True)
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
