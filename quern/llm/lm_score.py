@@ -7,10 +7,11 @@ before a token, each through the matrix of its position, add up to a vector q, a
 plus a bias.  Units stand in classes of CLASS: the probability of a unit is that of its class, by products of q with class
 vectors, times that within its class, so that two small batched products give exactly normalised log-probabilities over all units.
 
-Training goes over the texts where they lie: a task takes its first rows up to LEAST tokens and one in SHARE of all others, so
-that what is learnt from grows with the input, draws noise classes and noise units of the same class by their frequencies, and
-moves its own copy of the vectors by noise-contrastive estimation.  Copies meet in blocks: a unit's change is the mean over tasks, weighted by
-how often each has moved it.  ROUNDS of this; the driver and each task hold the model, which has a fixed size, and nothing else.
+Training goes over the texts where they lie, and over all of them: a hash of the text deals the rows to ROUNDS, and each round learns
+from its own; the first rows of a task, up to LEAST tokens, are learnt from in every round.  A task draws noise classes and noise
+units of the same class by their frequencies, and moves its own copy of the vectors by noise-contrastive estimation.  Copies meet in
+blocks: a unit's change is the mean over tasks, weighted by how often each has moved it.  The driver and each task hold the model,
+which has a fixed size, and a task the tokens of its first rows.
 
 Counts of frequent words, KNOWN at most, are broadcast.  All other words of a text meet their counts in a join on the word's
 hash, once for each text; one that only held-out rows hold may be frequent there, and adaptive execution splits its rows.  Words
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,8 @@ from quern.llm.common import Words, chunks, crc_mod, mix, stored, table, utf8
 #: Units are the end, ENDINGS groups and WORDS words: CLASS^2 = 16,384 together.
 CLASS, ENDINGS, WORDS, KNOWN = 128, 255, 16_128, 65_536
 RANK, ORDER, CLASS_NOISE, NOISE, ROUNDS, RATE = 32, 3, 64, 16, 2, 0.12
-#: Tokens that every task learns from if it has them, the share of the other rows, tokens of a step, and how often the former
-#: are gone over at most.
-LEAST, SHARE, STEP, EPOCHS = 1 << 17, 12, 2048, 6
+#: Tokens at the start of a task that every round learns from, tokens of a step, and how often the former are gone over at most.
+LEAST, STEP, EPOCHS = 1 << 17, 4096, 6
 END, END_HASH = 0, 1
 CHUNK, BLOCK, ROWS = 1 << 20, 1 << 15, 1 << 10
 
@@ -205,7 +206,12 @@ def _runs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; exponentials don't overflow."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -219,12 +225,14 @@ class Trainer:
 
     def _move(self, names: tuple[str, ...], rows: np.ndarray, times: np.ndarray, grads: tuple[np.ndarray, ...], rate: float) -> None:
         """Adds the gradients of rows that may repeat, each row's step by its own sum of squares."""
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        at, often = rows[order][first], np.add.reduceat(times[order], first)
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # numbers of units are below 2^14: a radix sort
+        rows = rows[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        at, often = rows[first], np.add.reduceat(times[order], first)
         for name, g in zip(names, grads, strict=True):
-            total = np.add.reduceat(g[order], first, axis=0)
-            self.square[name][at] += (total * total).reshape(len(at), -1).mean(axis=1)
+            total = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+            flat = total.reshape(len(at), -1)
+            self.square[name][at] += np.einsum("ij,ij->i", flat, flat) / flat.shape[1]
             self.moved[name][at] += often
             step = rate / np.sqrt(self.square[name][at])
             self.w[name][at] += step.reshape((-1,) + (1,) * (total.ndim - 1)) * total
@@ -233,19 +241,19 @@ class Trainer:
         """One step of noise-contrastive estimation: classes against CLASS_NOISE drawn classes, units against NOISE drawn units of
         their class, each by their frequencies; what is drawn serves all tokens of the step, or of the class."""
         w, model = self.w, self.model
-        order = np.argsort(target // CLASS, kind="stable")
+        order = np.argsort((target // CLASS).astype(np.uint8), kind="stable")
         context, target = context[order], target[order]
         c = target // CLASS
-        vectors = [w["context"][context[:, k]] for k in range(ORDER)]
+        vectors = [w["context"].take(context[:, k], axis=0) for k in range(ORDER)]
         q = sum(v @ w["place"][k] for k, v in enumerate(vectors))
         edge = np.concatenate([[0.0], model.noise[CLASS - 1 :: CLASS]])
         kinds, starts, ends = _runs(c)
 
         # classes
         drawn = np.searchsorted(edge[1:], self.rng.random(CLASS_NOISE) * edge[-1]).clip(0, CLASS - 1)
-        s_drawn, s_true = w["class"][drawn], w["class"][c]
+        s_drawn, s_true = w["class"][drawn], w["class"].take(c, axis=0)
         off = _logistic(q @ s_drawn.T + (w["class_bias"][drawn, 0] - model.log_class[drawn] - np.float32(np.log(CLASS_NOISE))))
-        on = 1 - _logistic((q * s_true).sum(axis=1) + w["class_bias"][c, 0] - model.log_class[c] - np.float32(np.log(CLASS_NOISE)))
+        on = 1 - _logistic(np.einsum("ij,ij->i", q, s_true) + w["class_bias"][c, 0] - model.log_class[c] - np.float32(np.log(CLASS_NOISE)))
         dq = on[:, None] * s_true - off @ s_drawn
         rows, often = np.concatenate([kinds, drawn]), np.concatenate([ends - starts, np.full(len(drawn), len(c))]).astype(np.float32)
         grads = np.concatenate([np.add.reduceat(on[:, None] * q, starts, axis=0), -off.T @ q]), np.concatenate([np.add.reduceat(on, starts), -off.sum(axis=0)])[:, None]
@@ -254,9 +262,9 @@ class Trainer:
         # units
         drawn = edge[kinds][:, None] + self.rng.random((len(kinds), NOISE)) * (edge[kinds + 1] - edge[kinds])[:, None]
         noise = np.clip(np.searchsorted(model.noise, drawn), kinds[:, None] * CLASS, kinds[:, None] * CLASS + CLASS - 1)
-        t_true = w["unit"][target]
+        t_true = w["unit"].take(target, axis=0)
         shift = np.float32(np.log(NOISE))
-        on = 1 - _logistic((q * t_true).sum(axis=1) + w["bias"][target, 0] - model.log_unit[target] - shift)
+        on = 1 - _logistic(np.einsum("ij,ij->i", q, t_true) + w["bias"][target, 0] - model.log_unit[target] - shift)
         dq += on[:, None] * t_true
         t_drawn, b_drawn = w["unit"][noise], w["bias"][noise, 0] - model.log_unit[noise] - shift
         g_drawn, g_bias = np.empty_like(t_drawn), np.empty(noise.shape, np.float32)
@@ -290,16 +298,16 @@ class Trainer:
 
 
 def _learn(batches: Iterator[pa.RecordBatch], v: Vocabulary, model: Model, number: int) -> Trainer | None:
-    """Whole rows drawn while they are read: the first up to LEAST tokens, which are gone over again, and one in SHARE of the rest."""
+    """Rows (text, round) while they are read: the first up to LEAST tokens, which are gone over again, and all others of this round."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    trainer, rng = Trainer(model, 1000 * number + part), np.random.default_rng(7 * part + number)
+    trainer = Trainer(model, 1000 * number + part)
     held, had = [], 0
     rate = RATE / (number + 1)
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             rows = batch.slice(start, 256)
             if had >= LEAST:
-                rows = rows.filter(pa.array(rng.integers(0, SHARE, rows.num_rows) == 0))
+                rows = rows.filter(pc.equal(rows.column(1), number))
             for a, b, w in _scan(rows.column(0)):
                 context, target = sequences(w, units_of(w, v)[2], b - a)
                 if had < LEAST:
@@ -318,6 +326,7 @@ def _learn(batches: Iterator[pa.RecordBatch], v: Vocabulary, model: Model, numbe
 def train(texts: DataFrame, v: Vocabulary, rank: int = RANK, rounds: int = ROUNDS) -> Model:
     """The model after rounds over texts (_text)."""
     model, spark = Model(v.unit_counts, rank), texts.sparkSession
+    dealt = texts.select("_text", F.pmod(F.xxhash64("_text"), F.lit(rounds)).cast("int").alias("_round"))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((v, model))
 
@@ -336,7 +345,7 @@ def train(texts: DataFrame, v: Vocabulary, rank: int = RANK, rounds: int = ROUND
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([total.tobytes()], pa.binary())], ["_table", "_first", "_block"])
 
         kind = "_table string, _first long, _block binary"
-        blocks = texts.mapInArrow(learn, kind).repartition("_table", "_first").mapInArrow(added, kind).collect()  # the size of one model
+        blocks = dealt.mapInArrow(learn, kind).repartition("_table", "_first").mapInArrow(added, kind).collect()  # the size of one model
         for r in blocks:
             x = model.w[r["_table"]]
             flat = x.reshape(len(x), -1)

@@ -435,6 +435,25 @@ def test_noise_contrastive_steps_learn_what_follows():
     assert trainer.moved["context"][300:700].sum() == 12 * 2 * 30_000
 
 
+def test_language_model_learns_from_every_row(monkeypatch):
+    """Beyond the tokens that every round learns from, each row is learnt from in its own round: none is left out."""
+    monkeypatch.setattr(lm_score, "LEAST", 100)
+    texts = [f"w{i} of row" for i in range(3000)]
+    words = next(common.scan_words(pa.array(texts)))[2]
+    hashes = np.unique(words.hash)
+    units = np.arange(300, 300 + len(hashes))
+    v = lm_score.Vocabulary(hashes, np.ones(len(hashes), np.int64), units, np.ones(lm_score.CLASS**2), 12_000, len(hashes), 3000, np.ones(lm_score.ENDINGS + 1))
+    seen = Counter()
+    monkeypatch.setattr(lm_score.Trainer, "run", lambda self, context, target, rate: seen.update(target.tolist()))
+    rounds = pa.array(np.random.default_rng(1).integers(0, lm_score.ROUNDS, 3000), pa.int32())
+    for number in range(lm_score.ROUNDS):
+        rows = pa.RecordBatch.from_arrays([pa.array(texts), rounds], ["_text", "_round"])
+        lm_score._learn(iter([rows.slice(0, 1000), rows.slice(1000)]), v, lm_score.Model(v.unit_counts, rank=2), number)
+    own = dict(zip(hashes.tolist(), units.tolist(), strict=True))
+    assert all(seen[own[h]] for h in words.hash[::3].tolist())
+    assert sum(seen[own[h]] == 1 for h in words.hash[::3].tolist()) > 2500
+
+
 def test_language_model_sequences():
     _, _, w = next(common.scan_words(pa.array(["a b c d", None, "e"])))
     context, target = lm_score.sequences(w, np.array([1, 2, 3, 4, 5]), 3)
