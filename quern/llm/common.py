@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,25 @@ def prefix_offsets(df: DataFrame, by: list[str], part: str, amount: str) -> Data
     return sums.selectExpr(*by, part, f"sum(_sum) over ({over}) - _sum as _before")
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which the memory that it freed goes back to the system: Python workers live on through stages of other kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            returned()
+
+    return run
+
+
+def returned() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 # --- text as arrays -------------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

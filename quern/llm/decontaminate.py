@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, mix, scan_words, table
+from quern.llm.common import Words, lean, mix, scan_words, table
 
 #: Two of four interleaved groups of three positions each: any two ignored positions are in the groups that some mask ignores.
 #: The next two find replacements that stand close together, by the six words beside them;
@@ -169,7 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         to.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], _arrow(item_type)), *(pa.array(x, pa.int32()) for x in out[1:])], ["_id", "item_id", "n_equal", "n_words", "doc_word", "item_word"])
 
-        parts.append(own.mapInArrow(scan, schema))
+        parts.append(own.mapInArrow(lean(scan), schema))
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     return found.withColumnRenamed("_id", id_col)
 
@@ -207,7 +207,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                 keep[[row for row, _, _ in found_in(batch.column(at), seeds, min_words, similarity)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs
 
 

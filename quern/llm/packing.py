@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import prefix_offsets, stored, table
+from quern.llm.common import lean, prefix_offsets, stored, table
 
 LENGTH, END = 1024, 2
 #: Rows of one length that a window ranks at a time, about; rows of ranks that are broadcast at most, more are joined.
@@ -52,17 +52,21 @@ def _encoder(folder: str | None):
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     path = (lambda name: os.path.join(folder, name)) if folder else public_tokenizers.path
     with open(path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path("byte_bpe_50k.json"))
+
+    @lru_cache(maxsize=1)
+    def slow():  # a third of the encoder's memory, for texts that hardly any corpus has
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path("byte_bpe_50k.json"))
 
     def encode(text: str) -> np.ndarray:
         if "<|endoftext|>" in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
         return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
     return encode
@@ -90,7 +94,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = END, folder: str |
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:])], ["_id", "_piece", "_start", "_length", "_crc"])
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return own.mapInArrow(cut, f"_id {own.schema['_id'].dataType.simpleString()}, _piece int, _start long, _length long, _crc long")
+    return own.mapInArrow(lean(cut), f"_id {own.schema['_id'].dataType.simpleString()}, _piece int, _start long, _length long, _crc long")
 
 
 def plan(counts: dict[int, int], length: int = LENGTH) -> _Plan:
@@ -234,7 +238,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end: int = END, folder: str | No
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kind = ranked.schema["_id"].dataType.simpleString()
-    return ranked.mapInArrow(assign, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(assign), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, chunks, crc_mod, mix, stored, table, utf8
+from quern.llm.common import Words, chunks, crc_mod, lean, mix, stored, table, utf8
 
 HALF, KNOTS, SHARES = 1024, 9, 8
 WIDTH = 2 * HALF + KNOTS * SHARES
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = rows.schema["_id"].dataType.simpleString()
     # an id that documents repeat counts once: its first text
-    got = rows.mapInArrow(count, f"_id {kind}, _label int, _x binary").groupBy("_id", "_label").agg(F.min("_x").alias("_x")).orderBy("_id").collect()
+    got = rows.mapInArrow(lean(count), f"_id {kind}, _label int, _x binary").groupBy("_id", "_label").agg(F.min("_x").alias("_x")).orderBy("_id").collect()
     y = np.array([r["_label"] for r in got], np.float64)
     if not len(got):
         return Bank(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y)
@@ -179,7 +179,7 @@ def scores(docs: DataFrame, bank: Bank, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.score(x))], ["_id", "score"])
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    got = own.mapInArrow(score, f"_id {own.schema['_id'].dataType.simpleString()}, score double")
+    got = own.mapInArrow(lean(score), f"_id {own.schema['_id'].dataType.simpleString()}, score double")
     return got.select(F.col("_id").alias(id_col), F.coalesce(crc_mod("_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -193,7 +193,7 @@ def keep_quality(docs: DataFrame, bank: Bank, threshold: float = THRESHOLD, text
             for a, b, x in features(batch.column(at)):
                 yield batch.slice(a, b - a).filter(pa.array(shared.value.score(x) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

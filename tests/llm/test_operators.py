@@ -521,6 +521,27 @@ def test_plan_of_many_pieces_takes_few_steps():
     assert len(made.steps) < 10_000 and made.sequences <= 1.03 * sum(x * n for x, n in counts.items()) / 1024
 
 
+def test_workers_hold_no_more_than_they_need(monkeypatch):
+    """The tokenizers file is loaded for texts with the special token only; what a task freed goes back when it ends."""
+    import tokenizers
+
+    class Never:
+        @staticmethod
+        def from_file(path):
+            raise AssertionError("loaded")
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Never)
+    packing._encoder.cache_clear()
+    assert len(packing._encoder(None)("two words"))
+    with pytest.raises(AssertionError, match="loaded"):
+        packing._encoder(None)("<|endoftext|>")
+    packing._encoder.cache_clear()
+    done = []
+    monkeypatch.setattr(common, "returned", lambda: done.append(1))
+    work = common.lean(lambda batches: (x + 1 for x in batches))
+    assert list(work(iter([1, 2]))) == [2, 3] and done == [1]
+
+
 def test_encoder_gives_the_ids_of_the_tokenizers_file(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
