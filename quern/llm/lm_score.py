@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ RANK, ORDER, CLASS_NOISE, NOISE, ROUNDS, RATE = 32, 3, 64, 16, 2, 0.12
 LEAST, STEP, EPOCHS = 1 << 17, 4096, 6
 END, END_HASH = 0, 1
 CHUNK, BLOCK, ROWS = 1 << 20, 1 << 15, 1 << 10
+#: Leading bits of a hash by which frequent words are found.
+BITS = 17
 
 
 def _scan(col: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -84,11 +87,24 @@ class Vocabulary:
     group_total: np.ndarray
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each hash and whether it is there."""
-        if not len(self.hashes):
+        """Index of each hash and whether it is there: from the first with equal leading bits upwards."""
+        last = len(self.hashes) - 1
+        if last < 0:
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
+        at = self._starts[h >> np.uint64(64 - BITS)]
+        own = self.hashes[at]
+        more = np.flatnonzero(own < h)
+        while len(more):
+            more = more[at[more] < last]
+            at[more] += 1
+            own[more] = self.hashes[at[more]]
+            more = more[own[more] < h[more]]
+        return at, own == h
+
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """For each value of the leading bits the first hash that is not below."""
+        return np.minimum(np.searchsorted(self.hashes, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS)), len(self.hashes) - 1)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.tokens + 1 * (self.distinct + 1)))
@@ -230,7 +246,8 @@ class Trainer:
         first = np.flatnonzero(np.diff(rows, prepend=-1))
         at, often = rows[first], np.add.reduceat(times[order], first)
         for name, g in zip(names, grads, strict=True):
-            total = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+            total = g.take(order, axis=0)  # two columns are added as one complex number: half as many additions, the same sums
+            total = np.add.reduceat(total.view(np.complex64) if g.shape[-1] % 2 == 0 else total, first, axis=0).view(np.float32)
             flat = total.reshape(len(at), -1)
             self.square[name][at] += np.einsum("ij,ij->i", flat, flat) / flat.shape[1]
             self.moved[name][at] += often
@@ -254,27 +271,40 @@ class Trainer:
         s_drawn, s_true = w["class"][drawn], w["class"].take(c, axis=0)
         off = _logistic(q @ s_drawn.T + (w["class_bias"][drawn, 0] - model.log_class[drawn] - np.float32(np.log(CLASS_NOISE))))
         on = 1 - _logistic(np.einsum("ij,ij->i", q, s_true) + w["class_bias"][c, 0] - model.log_class[c] - np.float32(np.log(CLASS_NOISE)))
-        dq = on[:, None] * s_true - off @ s_drawn
-        rows, often = np.concatenate([kinds, drawn]), np.concatenate([ends - starts, np.full(len(drawn), len(c))]).astype(np.float32)
-        grads = np.concatenate([np.add.reduceat(on[:, None] * q, starts, axis=0), -off.T @ q]), np.concatenate([np.add.reduceat(on, starts), -off.sum(axis=0)])[:, None]
-        self._move(("class", "class_bias"), rows, often, grads, rate)
+        dq = on[:, None] * s_true
+        dq -= off @ s_drawn
+        class_rows, class_often = np.concatenate([kinds, drawn]), np.concatenate([ends - starts, np.full(len(drawn), len(c))]).astype(np.float32)
+        class_drawn = off.T @ q, off.sum(axis=0)
 
-        # units
+        # units: a column of ones in q meets the biases, and sums up what they get; the last column of off has the class of the token
         drawn = edge[kinds][:, None] + self.rng.random((len(kinds), NOISE)) * (edge[kinds + 1] - edge[kinds])[:, None]
         noise = np.clip(np.searchsorted(model.noise, drawn), kinds[:, None] * CLASS, kinds[:, None] * CLASS + CLASS - 1)
         t_true = w["unit"].take(target, axis=0)
-        shift = np.float32(np.log(NOISE))
+        shift, rank = np.float32(np.log(NOISE)), q.shape[1]
+        wide = np.ones((len(c), rank + 1), np.float32)
+        wide[:, :rank] = q
+        pulled = np.empty((len(kinds), NOISE, rank + 1), np.float32)
+        pulled[:, :, :rank], pulled[:, :, rank] = w["unit"][noise], w["bias"][noise, 0] - model.log_unit[noise] - shift
+        off, back, push = np.empty((len(c), NOISE + 1), np.float32), np.empty_like(wide), np.empty((len(kinds), NOISE + 1, rank + 1), np.float32)
+        spans = list(zip(range(len(kinds)), starts.tolist(), ends.tolist(), strict=True))
+        for k, lo, hi in spans:
+            np.matmul(wide[lo:hi], pulled[k].T, out=off[lo:hi, :NOISE])
+        off[:, :NOISE] = _logistic(off[:, :NOISE])
+        off[:, NOISE] = on
+        for k, lo, hi in spans:
+            np.matmul(off[lo:hi, :NOISE], pulled[k], out=back[lo:hi])
+            np.matmul(off[lo:hi].T, wide[lo:hi], out=push[k])
+        dq -= back[:, :rank]
+        grads = np.concatenate([push[:, NOISE, :rank], -class_drawn[0]]), np.concatenate([push[:, NOISE, rank], -class_drawn[1]])[:, None]
+        self._move(("class", "class_bias"), class_rows, class_often, grads, rate)
         on = 1 - _logistic(np.einsum("ij,ij->i", q, t_true) + w["bias"][target, 0] - model.log_unit[target] - shift)
-        dq += on[:, None] * t_true
-        t_drawn, b_drawn = w["unit"][noise], w["bias"][noise, 0] - model.log_unit[noise] - shift
-        g_drawn, g_bias = np.empty_like(t_drawn), np.empty(noise.shape, np.float32)
-        for k, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            own = q[lo:hi]
-            off = _logistic(own @ t_drawn[k].T + b_drawn[k])
-            dq[lo:hi] -= off @ t_drawn[k]
-            g_drawn[k], g_bias[k] = -off.T @ own, -off.sum(axis=0)
+        t_true *= on[:, None]
+        dq += t_true
         rows, often = np.concatenate([target, noise.reshape(-1)]), np.concatenate([np.ones(len(target)), np.repeat(ends - starts, NOISE)]).astype(np.float32)
-        self._move(("unit", "bias"), rows, often, (np.concatenate([on[:, None] * q, g_drawn.reshape(-1, q.shape[1])]), np.concatenate([on, g_bias.reshape(-1)])[:, None]), rate)
+        grads = np.empty((len(rows), rank), np.float32)
+        np.multiply(on[:, None], q, out=grads[: len(c)])
+        np.negative(push[:, :NOISE, :rank].reshape(-1, rank), out=grads[len(c) :])
+        self._move(("unit", "bias"), rows, often, (grads, np.concatenate([on, -push[:, :NOISE, rank].reshape(-1)])[:, None]), rate)
 
         # contexts and their positions
         place = np.stack([v.T @ dq for v in vectors])

@@ -435,6 +435,53 @@ def test_noise_contrastive_steps_learn_what_follows():
     assert trainer.moved["context"][300:700].sum() == 12 * 2 * 30_000
 
 
+def test_steps_of_learning_match_plain_sums():
+    """One step on each of several texts against sums over tokens one by one."""
+    rng = np.random.default_rng(7)
+    n, rank, size = 300, 4, lm_score.CLASS
+    model = lm_score.Model(rng.integers(0, 50, size**2).astype(float), rank)
+    context, target = rng.integers(0, 600, (n, lm_score.ORDER)), rng.integers(0, 600, n)
+    trainer, draws = lm_score.Trainer(model, 3), np.random.default_rng(3)
+    trainer.step(context, target, 0.1)
+    w = model.w
+    edge = np.concatenate([[0.0], model.noise[size - 1 :: size]])
+    classes = np.searchsorted(edge[1:], draws.random(lm_score.CLASS_NOISE) * edge[-1]).clip(0, size - 1)
+    kinds = np.unique(target // size)
+    at = edge[kinds][:, None] + draws.random((len(kinds), lm_score.NOISE)) * (edge[kinds + 1] - edge[kinds])[:, None]
+    noise = np.clip(np.searchsorted(model.noise, at), kinds[:, None] * size, kinds[:, None] * size + size - 1)
+    grad = {k: np.zeros(x.shape) for k, x in w.items()}
+    for before, t in zip(context, target, strict=True):
+        q = sum(w["context"][u] @ w["place"][k] for k, u in enumerate(before))
+        dq, c = np.zeros(rank), t // size
+        for table, bias, log, i, number, sign in (
+            *(("class", "class_bias", model.log_class, i, lm_score.CLASS_NOISE, 0) for i in classes), ("class", "class_bias", model.log_class, c, lm_score.CLASS_NOISE, 1),
+            *(("unit", "bias", model.log_unit, i, lm_score.NOISE, 0) for i in noise[np.searchsorted(kinds, c)]), ("unit", "bias", model.log_unit, t, lm_score.NOISE, 1),
+        ):
+            g = sign - 1 / (1 + np.exp(-(q @ w[table][i] + w[bias][i, 0] - log[i] - np.log(number))))
+            grad[table][i] += g * q
+            grad[bias][i, 0] += g
+            dq += g * w[table][i]
+        for k, u in enumerate(before):
+            grad["context"][u] += w["place"][k] @ dq
+            grad["place"][k] += np.outer(w["context"][u], dq)
+    for k, g in grad.items():
+        flat = g.reshape(len(g), -1)
+        step = (0.01 if k == "place" else 0.1) / np.sqrt(1e-4 + (flat**2).mean(axis=1))
+        assert np.allclose((trainer.w[k] - w[k]).reshape(len(g), -1), step[:, None] * flat, atol=2e-4), k
+
+
+@pytest.mark.parametrize("same", [0, 30, 60])
+def test_frequent_words_are_found_by_their_hashes(same):
+    """Also hashes with equal leading bits, and ones below, between and above all others."""
+    rng = np.random.default_rng(same)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) >> np.uint64(same)
+    hashes = np.unique(draw(5000))
+    v = lm_score.Vocabulary(hashes, np.ones(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.ones(4), 1, 1, 1, np.ones(4))
+    asked = np.concatenate([hashes, draw(5000), np.array([0, 2**64 - 1], np.uint64)])
+    at, found = v.find(asked)
+    assert (found == np.isin(asked, hashes)).all() and (hashes[at[found]] == asked[found]).all()
+
+
 def test_language_model_learns_from_every_row(monkeypatch):
     """Beyond the tokens that every round learns from, each row is learnt from in its own round: none is left out."""
     monkeypatch.setattr(lm_score, "LEAST", 100)
