@@ -51,6 +51,29 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def kept(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, during which freed arrays stay with the process, so that the next ones need no new pages; they go back after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+        if limits:
+            limits(_TRIM, 256 << 20)
+            limits(_MMAP, 32 << 20)
+        try:
+            yield from work(batches)
+        finally:
+            if limits:
+                limits(_TRIM, 128 << 10)
+                limits(_MMAP, 128 << 10)
+            returned()
+
+    return run
+
+
+#: Numbers that mallopt has for what is kept free at the end of the heap and for what is mapped by itself.
+_TRIM, _MMAP = -1, -3
+
+
 def returned() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

@@ -5,7 +5,8 @@ score.  The model works on units: the end, the WORDS most frequent words, and fo
 bytes, inside which a word has its share of counts plus one.  Each unit has a vector as context and one as target; the ORDER units
 before a token, each through the matrix of its position, add up to a vector q, and the score of a unit is its product with q
 plus a bias.  Units stand in classes of CLASS: the probability of a unit is that of its class, by products of q with class
-vectors, times that within its class, so that two small batched products give exactly normalised log-probabilities over all units.
+vectors, times that within its class, so that log-probabilities over all units are exactly normalised.  Exponentials of the products
+with class vectors are made once for each unit and position, and a token multiplies those of its positions (25 MB in a worker).
 
 Training goes over the texts where they lie, and over all of them: a hash of the text deals the rows to ROUNDS, and each round learns
 from its own; the first rows of a task, up to LEAST tokens, are learnt from in every round.  A task draws noise classes and noise
@@ -14,7 +15,8 @@ blocks: a unit's change is the mean over tasks, weighted by how often each has m
 which has a fixed size, and a task the tokens of its first rows.
 
 Counts of frequent words, KNOWN at most, are broadcast.  All other words of a text meet their counts in a join on the word's
-hash, once for each text; one that only held-out rows hold may be frequent there, and adaptive execution splits its rows.  Words
+hash, once for each text, where a task holds its part of the counts and sorts nothing; one that only held-out rows hold may be
+frequent there, and adaptive execution splits its rows.  Words
 are told apart by hashes of 64 bits; n_known and base_score are exact but for collisions of those.
 
 Cases: null and empty texts are an end alone; repeated rows are scored each and counted each; a null id is not held out; ties in
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, chunks, crc_mod, mix, stored, table, utf8
+from quern.llm.common import Words, chunks, crc_mod, kept, mix, stored, table, utf8
 
 #: Units are the end, ENDINGS groups and WORDS words: CLASS^2 = 16,384 together.
 CLASS, ENDINGS, WORDS, KNOWN = 128, 255, 16_128, 65_536
@@ -46,6 +48,10 @@ END, END_HASH = 0, 1
 CHUNK, BLOCK, ROWS = 1 << 20, 1 << 15, 1 << 10
 #: Leading bits of a hash by which frequent words are found.
 BITS = 17
+#: Groups of rows with at least as many are added up one by one.
+FEW = 10
+#: Rows of a block of exponentials, and products whose exponentials, one for each position, can be multiplied.
+SMALL, LARGEST = 256, 25.0
 
 
 def _scan(col: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -70,7 +76,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(h.view(np.int64), END_HASH)), pa.array(np.append(endings(w)[first], 0).astype(np.int32)), pa.array(np.append(n, b - a))], ["_h", "_b", "_c"])
 
-    return texts.mapInArrow(count, "_h long, _b int, _c long").groupBy("_h").agg(F.min("_b").alias("_b"), F.sum("_c").alias("_c"))
+    return texts.mapInArrow(kept(count), "_h long, _b int, _c long").groupBy("_h").agg(F.min("_b").alias("_b"), F.sum("_c").alias("_c"))
 
 
 @dataclass
@@ -173,29 +179,65 @@ class Model:
         normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.w = {"context": normal(CLASS * CLASS, rank), "unit": normal(CLASS * CLASS, rank), "bias": self.log_unit.copy()[:, None], "class": normal(CLASS, rank), "class_bias": self.log_class.copy()[:, None], "place": np.stack([np.eye(rank, dtype=np.float32) / (k + 1) for k in range(ORDER)])}
 
-    def query(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.w["context"][context[:, k]] @ self.w["place"][k] for k in range(ORDER))
+    def log10(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return Scorer(self).log10(context, target)
+
+
+class Scorer:
+    """A model as it scores: each unit's vector moved to each position, and exponentials of their products with the class vectors,
+    of which a token's product over its positions gives those of q."""
+
+    def __init__(self, model: Model):
+        w = model.w
+        self.moved = [w["context"] @ w["place"][k] for k in range(ORDER)]
+        self.of_class = np.concatenate([w["class"].T, w["class_bias"].T])
+        self.of_unit = np.concatenate([w["unit"].reshape(CLASS, CLASS, -1).transpose(0, 2, 1), w["bias"].reshape(CLASS, 1, CLASS)], axis=1)
+        with np.errstate(over="ignore"):
+            self.powers, self.weight = [], np.exp(w["class_bias"][:, 0])
+        for m in self.moved:
+            x = m @ w["class"].T
+            if not np.abs(x).max() < LARGEST:
+                self.powers = []
+                break
+            self.powers.append(np.exp(x, out=x))
 
     def log10(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each target after its context, in blocks."""
-        moved = [self.w["context"] @ self.w["place"][k] for k in range(ORDER)]
-        of_class = np.concatenate([self.w["class"].T, self.w["class_bias"].T])
-        of_unit = np.concatenate([self.w["unit"].reshape(CLASS, CLASS, -1).transpose(0, 2, 1), self.w["bias"].reshape(CLASS, 1, CLASS)], axis=1)
         out, buffer = np.empty(len(target)), np.empty((ROWS, CLASS), np.float32)
         for s in range(0, len(target), BLOCK):
             t = target[s : s + BLOCK]
-            order = np.argsort((t // CLASS).astype(np.int16), kind="stable")
-            c, before = (t // CLASS)[order], context[s : s + BLOCK][order]
-            q = np.ones((len(t), of_class.shape[0]), np.float32)  # the last column meets the biases
-            q[:, :-1] = moved[0][before[:, 0]]
+            order = np.argsort((t // CLASS).astype(np.uint8), kind="stable")
+            before, t = [context[s : s + BLOCK, k].take(order) for k in range(ORDER)], t[order]
+            c = t // CLASS
+            q = np.ones((len(t), self.of_class.shape[0]), np.float32)  # the last column meets the biases
+            x = self.moved[0].take(before[0], axis=0, mode="clip")
             for k in range(1, ORDER):
-                q[:, :-1] += moved[k][before[:, k]]
-            got, place = _log_share(q, of_class, c, buffer), t[order] % CLASS
+                x += self.moved[k].take(before[k], axis=0, mode="clip")
+            q[:, :-1] = x
+            got, place = self._class_share(before, q, c, buffer) if self.powers else _log_share(q, self.of_class, c, buffer), t % CLASS
             for k, lo, hi in zip(*(x.tolist() for x in _runs(c)), strict=True):
-                got[lo:hi] += _log_share(q[lo:hi], of_unit[k], place[lo:hi], buffer)
+                got[lo:hi] += _log_share(q[lo:hi], self.of_unit[k], place[lo:hi], buffer)
             out[s + order] = got
         return out / np.log(10)
 
+    def _class_share(self, before: list[np.ndarray], q: np.ndarray, c: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+        """Logarithm of the share of a class after the units before."""
+        own, total = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
+        x, y = np.empty((SMALL, CLASS), np.float32), np.empty((SMALL, CLASS), np.float32)
+        for s in range(0, len(c), SMALL):
+            n = min(SMALL, len(c) - s)
+            self.powers[0].take(before[0][s : s + n], axis=0, mode="clip", out=x[:n])
+            for k in range(1, ORDER):
+                x[:n] *= self.powers[k].take(before[k][s : s + n], axis=0, mode="clip", out=y[:n])
+            own[s : s + n] = x[np.arange(n), c[s : s + n]]
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.matmul(x[:n], self.weight, out=total[s : s + n])
+        odd = np.flatnonzero(~((own > 1e-25) & (total > 1e-25) & (total < 1e25)))  # near the ends of what a number can hold
+        own[odd] = total[odd] = 1
+        out = np.log(own) + self.of_class[-1][c] - np.log(total)
+        out[odd] = _log_share(q[odd], self.of_class, c[odd], buffer)
+        return out
+
 
 def _log_share(q: np.ndarray, w: np.ndarray, column: np.ndarray, buffer: np.ndarray) -> np.ndarray:
     """Logarithm of the share of a column in the exponentials of each row of q @ w, so many rows at a time as a cache holds."""
@@ -222,14 +264,55 @@ def _runs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    """In place; exponentials don't overflow."""
-    np.negative(x, out=x)
-    np.minimum(x, 30, out=x)
-    np.exp(x, out=x)
+    """Of -x, in place; an exponential that overflows gives 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+class Groups:
+    """Places of equal numbers, groups by falling size.  Numbers, and how many there are, stay below 2^16.
+
+    order brings equal ones together; first, often: where a group starts there and how many it has; more: groups with more than k;
+    at: the number of each group; of: the group of each place.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        key = rows.astype(np.uint32) << np.uint32(16)
+        key |= np.arange(len(rows), dtype=np.uint32)
+        key.sort()
+        self.order = (key & np.uint32(0xFFFF)).astype(np.int64)
+        key >>= np.uint32(16)
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        often = bounds[1:] - bounds[:-1]
+        by = np.argsort(len(rows) - often.astype(np.uint16), kind="stable")
+        self.first, self.often, self._by = bounds[by], often[by], by
+        self.at = rows[self.order[self.first]]
+        self.more = (len(by) - np.cumsum(np.bincount(np.minimum(often, FEW), minlength=FEW + 1))).tolist()
+
+    @property
+    def of(self) -> np.ndarray:
+        rank, of = np.empty_like(self._by), np.empty_like(self.order)
+        rank[self._by] = np.arange(len(rank))
+        of[self.order] = np.repeat(rank, self.often[rank])
+        return of
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """Sums of the rows of g in each group: the k-th rows of all groups at once, and large groups by themselves."""
+        large, out = self.more[FEW - 1], g.take(self.order[self.first], axis=0, mode="clip")
+        for k, to in enumerate(self.more[1 : FEW - 1], 1):
+            if to > large:
+                out[large:to] += g.take(self.order[self.first[large:to] + k], axis=0, mode="clip")
+        if large:
+            first, often = self.first[:large], self.often[:large]
+            start = np.cumsum(often) - often
+            x = g.take(self.order[np.arange(start[-1] + often[-1]) + np.repeat(first - start, often)], axis=0, mode="clip")
+            # two columns are added as one complex number: half as many additions, the same sums
+            out[:large] = np.add.reduceat(x.view(np.complex64) if x.shape[1] % 2 == 0 else x, start, axis=0).view(np.float32)
+        return out
+
+
 class Trainer:
     """A copy of the model that one task moves, with how often each row of each table was moved."""
 
@@ -241,18 +324,18 @@ class Trainer:
 
     def _move(self, names: tuple[str, ...], rows: np.ndarray, times: np.ndarray, grads: tuple[np.ndarray, ...], rate: float) -> None:
         """Adds the gradients of rows that may repeat, each row's step by its own sum of squares."""
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # numbers of units are below 2^14: a radix sort
-        rows = rows[order]
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        at, often = rows[first], np.add.reduceat(times[order], first)
+        groups = Groups(rows)
+        at, often = groups.at, groups.sums(times[:, None])[:, 0]
         for name, g in zip(names, grads, strict=True):
-            total = g.take(order, axis=0)  # two columns are added as one complex number: half as many additions, the same sums
-            total = np.add.reduceat(total.view(np.complex64) if g.shape[-1] % 2 == 0 else total, first, axis=0).view(np.float32)
-            flat = total.reshape(len(at), -1)
-            self.square[name][at] += np.einsum("ij,ij->i", flat, flat) / flat.shape[1]
+            total = groups.sums(g.reshape(len(g), -1))
+            width = total.shape[1]
+            self.square[name][at] += (total * total) @ np.full(width, 1 / width, np.float32)
             self.moved[name][at] += often
-            step = rate / np.sqrt(self.square[name][at])
-            self.w[name][at] += step.reshape((-1,) + (1,) * (total.ndim - 1)) * total
+            total *= (rate / np.sqrt(self.square[name][at]))[:, None]
+            w = self.w[name].reshape(-1, width)
+            total += w.take(at, axis=0, mode="clip")
+            whole = np.dtype((np.void, 4 * width))  # rows are written as one value each
+            w.view(whole)[:, 0][at] = total.view(whole)[:, 0]
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of noise-contrastive estimation: classes against CLASS_NOISE drawn classes, units against NOISE drawn units of
@@ -260,61 +343,77 @@ class Trainer:
         w, model = self.w, self.model
         order = np.argsort((target // CLASS).astype(np.uint8), kind="stable")
         context, target = context[order], target[order]
-        c = target // CLASS
-        vectors = [w["context"].take(context[:, k], axis=0) for k in range(ORDER)]
-        q = sum(v @ w["place"][k] for k, v in enumerate(vectors))
+        c, size, rank = target // CLASS, len(target), w["unit"].shape[1]
         edge = np.concatenate([[0.0], model.noise[CLASS - 1 :: CLASS]])
         kinds, starts, ends = _runs(c)
+        often = (ends - starts).astype(np.float32)
+
+        # what a unit adds to q from a position is made once for all tokens that have it there; a column of ones in q meets the biases,
+        # and sums up what they get
+        places, wide = [], np.ones((size, rank + 1), np.float32)
+        for k in range(ORDER):
+            groups = Groups(context[:, k])
+            vectors = w["context"].take(groups.at, axis=0, mode="clip")
+            part = (vectors @ w["place"][k]).take(groups.of, axis=0, mode="clip")
+            q = q + part if k else part
+            places.append((groups, vectors))
+        wide[:, :rank] = q
 
-        # classes
+        # classes against drawn ones, so many tokens at a time as a cache holds
         drawn = np.searchsorted(edge[1:], self.rng.random(CLASS_NOISE) * edge[-1]).clip(0, CLASS - 1)
-        s_drawn, s_true = w["class"][drawn], w["class"].take(c, axis=0)
-        off = _logistic(q @ s_drawn.T + (w["class_bias"][drawn, 0] - model.log_class[drawn] - np.float32(np.log(CLASS_NOISE))))
-        on = 1 - _logistic(np.einsum("ij,ij->i", q, s_true) + w["class_bias"][c, 0] - model.log_class[c] - np.float32(np.log(CLASS_NOISE)))
-        dq = on[:, None] * s_true
-        dq -= off @ s_drawn
-        class_rows, class_often = np.concatenate([kinds, drawn]), np.concatenate([ends - starts, np.full(len(drawn), len(c))]).astype(np.float32)
-        class_drawn = off.T @ q, off.sum(axis=0)
-
-        # units: a column of ones in q meets the biases, and sums up what they get; the last column of off has the class of the token
+        pulled = np.concatenate([w["class"][drawn], (w["class_bias"][drawn, 0] - model.log_class[drawn] - np.float32(np.log(CLASS_NOISE)))[:, None]], axis=1)
+        back, class_push, away = np.empty_like(wide), np.zeros_like(pulled), -pulled.T
+        for lo in range(0, size, ROWS):
+            part = wide[lo : lo + ROWS]
+            off = _logistic(part @ away)
+            np.matmul(off, pulled, out=back[lo : lo + ROWS])
+            class_push += off.T @ part
+        dq = -back[:, :rank]
+        class_rows, class_often = np.concatenate([kinds, drawn]), np.concatenate([often, np.full(len(drawn), size, np.float32)])
+
+        # units, and after them the class of the token
         drawn = edge[kinds][:, None] + self.rng.random((len(kinds), NOISE)) * (edge[kinds + 1] - edge[kinds])[:, None]
         noise = np.clip(np.searchsorted(model.noise, drawn), kinds[:, None] * CLASS, kinds[:, None] * CLASS + CLASS - 1)
-        t_true = w["unit"].take(target, axis=0)
-        shift, rank = np.float32(np.log(NOISE)), q.shape[1]
-        wide = np.ones((len(c), rank + 1), np.float32)
-        wide[:, :rank] = q
-        pulled = np.empty((len(kinds), NOISE, rank + 1), np.float32)
-        pulled[:, :, :rank], pulled[:, :, rank] = w["unit"][noise], w["bias"][noise, 0] - model.log_unit[noise] - shift
-        off, back, push = np.empty((len(c), NOISE + 1), np.float32), np.empty_like(wide), np.empty((len(kinds), NOISE + 1, rank + 1), np.float32)
-        spans = list(zip(range(len(kinds)), starts.tolist(), ends.tolist(), strict=True))
-        for k, lo, hi in spans:
-            np.matmul(wide[lo:hi], pulled[k].T, out=off[lo:hi, :NOISE])
-        off[:, :NOISE] = _logistic(off[:, :NOISE])
-        off[:, NOISE] = on
-        for k, lo, hi in spans:
-            np.matmul(off[lo:hi, :NOISE], pulled[k], out=back[lo:hi])
-            np.matmul(off[lo:hi].T, wide[lo:hi], out=push[k])
+        pulled = np.empty((len(kinds), NOISE + 1, rank + 1), np.float32)
+        pulled[:, :NOISE, :rank], pulled[:, :NOISE, rank] = w["unit"].take(noise, axis=0), w["bias"][noise, 0] - model.log_unit[noise] - np.float32(np.log(NOISE))
+        pulled[:, NOISE, :rank], pulled[:, NOISE, rank] = w["class"][kinds], w["class_bias"][kinds, 0] - model.log_class[kinds] - np.float32(np.log(CLASS_NOISE))
+        off, push, away = np.empty((size, NOISE + 1), np.float32), np.empty_like(pulled), np.ascontiguousarray(-pulled.transpose(0, 2, 1))
+        spans = [(k, wide[lo:hi], off[lo:hi], back[lo:hi]) for k, lo, hi in zip(range(len(kinds)), starts.tolist(), ends.tolist(), strict=True)]
+        for k, q_k, off_k, _ in spans:
+            np.dot(q_k, away[k], out=off_k)
+        _logistic(off)
+        off[:, NOISE] -= 1
+        for k, q_k, off_k, back_k in spans:
+            np.dot(off_k, pulled[k], out=back_k)
+            np.dot(off_k.T, q_k, out=push[k])
         dq -= back[:, :rank]
-        grads = np.concatenate([push[:, NOISE, :rank], -class_drawn[0]]), np.concatenate([push[:, NOISE, rank], -class_drawn[1]])[:, None]
-        self._move(("class", "class_bias"), class_rows, class_often, grads, rate)
-        on = 1 - _logistic(np.einsum("ij,ij->i", q, t_true) + w["bias"][target, 0] - model.log_unit[target] - shift)
+        np.negative(push, out=push)
+        grads = np.concatenate([push[:, NOISE], -class_push])
+        self._move(("class", "class_bias"), class_rows, class_often, (np.ascontiguousarray(grads[:, :rank]), grads[:, rank:]), rate)
+
+        t_true = w["unit"].take(target, axis=0, mode="clip")
+        on = 1 - _logistic(model.log_unit[target] + np.float32(np.log(NOISE)) - np.einsum("ij,ij->i", q, t_true) - w["bias"][target, 0])
         t_true *= on[:, None]
         dq += t_true
-        rows, often = np.concatenate([target, noise.reshape(-1)]), np.concatenate([np.ones(len(target)), np.repeat(ends - starts, NOISE)]).astype(np.float32)
+        rows, often = np.concatenate([target, noise.reshape(-1)]), np.concatenate([np.ones(size, np.float32), np.repeat(often, NOISE)])
         grads = np.empty((len(rows), rank), np.float32)
-        np.multiply(on[:, None], q, out=grads[: len(c)])
-        np.negative(push[:, :NOISE, :rank].reshape(-1, rank), out=grads[len(c) :])
-        self._move(("unit", "bias"), rows, often, (grads, np.concatenate([on, -push[:, :NOISE, rank].reshape(-1)])[:, None]), rate)
+        np.multiply(on[:, None], q, out=grads[:size])
+        grads[size:] = push[:, :NOISE, :rank].reshape(-1, rank)
+        self._move(("unit", "bias"), rows, often, (grads, np.concatenate([on, push[:, :NOISE, rank].reshape(-1)])[:, None]), rate)
 
-        # contexts and their positions
-        place = np.stack([v.T @ dq for v in vectors])
-        self._move(("context",), context.T.reshape(-1), np.ones(context.size, np.float32), (np.concatenate([dq @ w["place"][k].T for k in range(ORDER)]),), rate)
-        self._move(("place",), np.arange(ORDER), np.full(ORDER, len(c), np.float32), (place,), rate / 10)
+        # contexts and their positions, from sums over the tokens that have a unit there
+        sums = [groups.sums(dq) for groups, _ in places]
+        place = np.stack([vectors.T @ s for (_, vectors), s in zip(places, sums, strict=True)])
+        rows, often = np.concatenate([groups.at for groups, _ in places]), np.concatenate([groups.often for groups, _ in places]).astype(np.float32)
+        self._move(("context",), rows, often, (np.concatenate([s @ w["place"][k].T for k, s in enumerate(sums)]),), rate)
+        self._move(("place",), np.arange(ORDER), np.full(ORDER, size, np.float32), (place,), rate / 10)
 
     def run(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         order = self.rng.permutation(len(target))
+        rows = np.concatenate([context, target[:, None]], axis=1).astype(np.uint16)  # numbers of units are below 2^14
         for k in range(0, len(order), STEP):
-            self.step(context[order[k : k + STEP]], target[order[k : k + STEP]], rate)
+            part = rows.take(order[k : k + STEP], axis=0).astype(np.int64)
+            self.step(part[:, :ORDER], part[:, ORDER], rate)
 
     def changes(self) -> Iterator[tuple[str, int, np.ndarray]]:
         """(table, first row, [times moved, times moved x change] of a block of rows) of what was moved."""
@@ -375,7 +474,7 @@ def train(texts: DataFrame, v: Vocabulary, rank: int = RANK, rounds: int = ROUND
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([total.tobytes()], pa.binary())], ["_table", "_first", "_block"])
 
         kind = "_table string, _first long, _block binary"
-        blocks = dealt.mapInArrow(learn, kind).repartition("_table", "_first").mapInArrow(added, kind).collect()  # the size of one model
+        blocks = dealt.mapInArrow(kept(learn), kind).repartition("_table", "_first").mapInArrow(added, kind).collect()  # the size of one model
         for r in blocks:
             x = model.w[r["_table"]]
             flat = x.reshape(len(x), -1)
@@ -398,7 +497,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = shared.value
         row = TaskContext.get().partitionId() << 36
-        base, log_total = v.base(v.counts), np.log10(v.group_total)
+        scorer, base, log_total = Scorer(model), v.base(v.counts), np.log10(v.group_total)
         inside = np.log10(v.counts + 1.0)
         for batch in batches:
             for a, b, w in _scan(batch.column(1)):
@@ -408,7 +507,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 doc = np.repeat(np.arange(n), w.per_doc + 1)
                 grouped = unit <= ENDINGS
                 own = found.nonzero()[0]
-                model_part = np.bincount(doc, model.log10(context, target), n) - np.bincount(w.doc[grouped], log_total[unit[grouped]], n)
+                model_part = np.bincount(doc, scorer.log10(context, target), n) - np.bincount(w.doc[grouped], log_total[unit[grouped]], n)
                 share = (found & grouped).nonzero()[0]
                 model_part += np.bincount(w.doc[share], inside[at[share]], n)
                 base_part = np.bincount(w.doc[own], base[at[own]], n) + v.base(np.array(v.ends))
@@ -429,9 +528,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     names = ["_row", "_id", "_tokens", "_known", "_base", "_model", "_h", "_k"]
     kind = rows.schema["_id"].dataType.simpleString()
-    scanned = stored(rows.mapInArrow(score, f"_row long, _id {kind}, _tokens long, _known long, _base double, _model double, _h array<long>, _k array<int>"), "scanned")
+    scanned = stored(rows.mapInArrow(kept(score), f"_row long, _id {kind}, _tokens long, _known long, _base double, _model double, _h array<long>, _k array<int>"), "scanned")
     rare = scanned.select("_row", F.explode(F.arrays_zip("_h", "_k")).alias("x")).select("_row", F.col("x._h").alias("_h"), F.col("x._k").cast("long").alias("_k"))
-    met = rare.join(counts.select("_h", "_c"), "_h", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    met = rare.join(counts.select("_h", "_c").hint("shuffle_hash"), "_h", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
     more = met.groupBy("_row").agg(
         F.sum(F.when(F.col("_c") > 0, F.col("_k")).otherwise(0)).alias("_more_known"),
         F.sum(F.col("_k") * F.log10((F.col("_c") + 1) / F.lit(float(v.tokens + v.distinct + 1)))).alias("_more_base"),

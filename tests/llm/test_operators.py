@@ -470,6 +470,41 @@ def test_steps_of_learning_match_plain_sums():
         assert np.allclose((trainer.w[k] - w[k]).reshape(len(g), -1), step[:, None] * flat, atol=2e-4), k
 
 
+@pytest.mark.parametrize("columns", [1, 4])
+def test_sums_of_groups(columns):
+    """Groups of one, of few and of many places."""
+    rng = np.random.default_rng(columns)
+    for rows in (np.array([7]), np.zeros(50, int), rng.integers(0, 300, 200), np.minimum(rng.geometric(0.02, 5000) * 60, 16_383)):
+        g = rng.normal(size=(len(rows), columns)).astype(np.float32)
+        groups = lm_score.Groups(rows)
+        want = np.zeros((1 << 14, columns))
+        np.add.at(want, rows, g)
+        assert np.allclose(groups.sums(g), want[groups.at], atol=1e-3) and sorted(groups.at) == sorted(set(rows.tolist()))
+        assert (groups.at[groups.of] == rows).all() and (groups.often == np.bincount(rows)[groups.at]).all()
+
+
+def test_class_exponentials_are_made_once_for_a_unit(monkeypatch):
+    """A token takes exponentials of the units of its class only, unless products are too large for those of its positions."""
+    rng = np.random.default_rng(8)
+    model = lm_score.Model(rng.integers(0, 50, lm_score.CLASS**2).astype(float), rank=8)
+    context, target = rng.integers(0, 16_384, (3000, lm_score.ORDER)), rng.integers(0, 16_384, 3000)
+    plain, rows = lm_score._log_share, []
+    monkeypatch.setattr(lm_score, "_log_share", lambda q, *more: rows.append(len(q)) or plain(q, *more))
+    got = model.log10(context, target)
+    assert sum(rows) == len(target)
+    monkeypatch.setattr(lm_score, "LARGEST", 0.0)
+    rows.clear()
+    assert np.allclose(got, model.log10(context, target), atol=1e-5) and sum(rows) == 2 * len(target)
+    monkeypatch.setattr(lm_score, "LARGEST", 25.0)
+    model.w["class_bias"] = rng.normal(0, 60, model.w["class_bias"].shape).astype(np.float32)
+    got = model.log10(context, target)
+    monkeypatch.setattr(lm_score, "LARGEST", 0.0)
+    assert np.allclose(got, model.log10(context, target), rtol=1e-5, atol=1e-5)
+    monkeypatch.setattr(lm_score, "LARGEST", 25.0)
+    model.w["context"] *= 500
+    assert np.isfinite(model.log10(context, target)).all() and not lm_score.Scorer(model).powers
+
+
 @pytest.mark.parametrize("same", [0, 30, 60])
 def test_frequent_words_are_found_by_their_hashes(same):
     """Also hashes with equal leading bits, and ones below, between and above all others."""
